@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, mixing, quality, substring_dedup
+from . import chat, decontaminate, embedding_dedup, html_text, licenses, minhash_dedup, mixing, quality, substring_dedup, url_filter
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its licenses, and each finding with its span and wording differences."""
+    out = licenses.summary(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_findings", "licenses", F.to_json("findings").alias("findings"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.contamination(docs, load(spark, sf_dir, "benchmark"))
@@ -27,6 +33,25 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each transcript made of the conversations: recovered roles, and the canonical chat.
+
+    The model learns from all conversations whose crc32 mod 5 is not 0; ``held_out`` marks the others.
+    """
+    raw = chat.marked_transcripts(load(spark, sf_dir, "conversations"))
+    held_out = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 == 0
+    out = chat.parsed(raw, chat.train(raw.where(~held_out)))
+    return out.select(
+        "conv_id", "segment", held_out.alias("held_out"), F.size("roles").cast("long").alias("n_turns"), F.size("turns").cast("long").alias("n_recovered"),
+        F.array_join("roles", ",", "?").alias("roles"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("recovered"), "chat",
+    )
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extracted(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.plan_mix(load(spark, sf_dir, "documents"))
     return mix.taken().join(mix.sources, "i").select("doc_id", "size", "source_size", "target", "taken")
@@ -49,8 +74,25 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages. A page is labelled where its path names a labelled document."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    doc = F.expr("try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)', 1) as bigint)")
+    marks = load(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg((F.max("quality") == 0).alias("bad"))
+    labelled = pages.select("url", doc.alias("doc_id")).join(marks, "doc_id").select("url", "bad")
+    return url_filter.judged(pages, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_decontaminate, op5_mix, op6_quality, op7_substring_dedup, op8_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_decontaminate, op3_chat_format, op4_html_text, op5_mix, op6_quality,
+        op7_substring_dedup, op8_near_dedup, op9_embedding_dedup, op10_url_filter,
+    )
 }
 
 SQL: dict[str, str] = {}

@@ -16,6 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lower_ascii
 from .udf import text_udf
 
 #: Words of a window.
@@ -25,7 +26,7 @@ WINDOW = 10
 AUTOMATON_BYTES = 16 << 20
 _SEPARATORS = [c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122)]
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in _SEPARATORS else c for c in range(256))
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(rb"[^ ]+")
 
 SCAN = "struct<n_words:long,n_hit:long,items:array<string>,hits:array<struct<start:long,end:long>>>"
 
@@ -79,7 +80,7 @@ def _hits(text: bytes, words: list[bytes], ends: list[tuple[int, int, int]], hol
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
-    spans = [m.span() for m in _WORD.finditer(text)]
+    spans = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
     chars, at, spot = {}, 0, 0
     for b in sorted({x for r in runs for x in (spans[r[0]][0], spans[r[1] - 1][1])}):
         spot += len(text[at:b].decode("utf-8"))
@@ -129,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     word = F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
     def words_in(h: Column) -> Column:
-        return F.regexp_count(F.substring(F.col("text"), h["start"].cast("int") + 1, (h["end"] - h["start"]).cast("int")), word)
+        return F.regexp_count(F.substring(lower_ascii(F.col("text")), h["start"].cast("int") + 1, (h["end"] - h["start"]).cast("int")), word)
 
     n_hit = F.aggregate("scan.hits", F.lit(0).cast("long"), lambda n, h: n + words_in(h))
     scan = F.struct("scan.n_words", n_hit.alias("n_hit"), "scan.items", "scan.hits")

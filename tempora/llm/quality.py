@@ -68,15 +68,22 @@ def features(text: bytes, tools: list[zstandard.ZstdCompressor]) -> list[float]:
     return [(bad - good) / n, (bad - good) / (bad + good), good / n, bad / n, plain / n, math.log(n)]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton's method, with a ridge on all weights but the last."""
-    z = np.c_[x, np.ones(len(x))]
-    w, penalty = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-9]
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Logistic regression by Newton's method with step halving, and a ridge on all weights but the last."""
+    z, penalty = np.c_[x, np.ones(len(x))], np.r_[np.full(x.shape[1], ridge), 1e-9]
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).sum() + (penalty * w * w).sum() / 2)
+
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w += size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 

@@ -52,7 +52,11 @@ def to_history(messages: Column) -> Column:
 def flatten_content_parts(parts: Column) -> Column:
     """Parts (type, text, path) as one text with tags in place of media, and lists of their paths."""
     text = F.array_join(F.transform(parts, lambda p: F.when(p["type"] == "text", p["text"]).otherwise(F.concat(F.lit("<"), p["type"], F.lit(">")))), "")
-    paths = [F.transform(F.filter(parts, lambda p, m=m: p["type"] == m), lambda p: p["path"]).alias(f"{m}s") for m in MEDIA]
+
+    def of(kind: str) -> Column:
+        return F.transform(F.filter(parts, lambda p: p["type"] == kind), lambda p: p["path"]).alias(f"{kind}s")
+
+    paths = [of(m) for m in MEDIA]
     return F.struct(text.alias("text"), *paths)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import data_queries, reward_queries, timeline_queries  # noqa: F401
+from . import chat_queries, data_queries, reward_queries, timeline_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -95,4 +95,38 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """
+    sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a, b FROM sym UNION SELECT r.a, t.b FROM reach r JOIN sym t ON r.b = t.a),
+    least_id AS (SELECT a, MIN(b) AS m FROM reach GROUP BY a)"""
+
+#: The queries that SQL can express; tests hold the others against plain Python.
+SQL: dict[str, str] = {
+    "op2_decontaminate": rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+    win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS g FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(k) WHERE len(w) > 0),
+    dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM win) s, unnest(range(1, len(w) - n + 2)) t(k)),
+    hits AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN win ON dw.n = win.n AND dw.g = win.g),
+    nh AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) u(p) GROUP BY doc_id),
+    ni AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN nh ON d.doc_id = nh.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id""",
+    "op8_near_dedup": rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, w[k] || ' ' || w[k + 1] AS s FROM d, unnest(range(1, len(w))) t(k) UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1)),
+    n AS (SELECT doc_id, COUNT(*) AS n FROM sh GROUP BY doc_id),
+    links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+              WHERE 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * COUNT(*) >= 80 * (p.n + q.n - COUNT(*))),
+    {_REACH.strip()}
+    SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, least(d.doc_id, COALESCE(m, d.doc_id)) AS component_id, COALESCE(m, d.doc_id) >= d.doc_id AS kept
+    FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least_id l ON l.a = d.doc_id""",
+    "op9_embedding_dedup": f"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda q: CAST(q AS DOUBLE)) AS e FROM embeddings),
+    links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+    {_REACH.strip()},
+    nl AS (SELECT a, COUNT(*) AS n FROM sym GROUP BY a)
+    SELECT vec_id, COALESCE(nl.n, 0) AS n_links, least(vec_id, COALESCE(m, vec_id)) AS component_id, COALESCE(m, vec_id) >= vec_id AS kept
+    FROM v LEFT JOIN nl ON nl.a = vec_id LEFT JOIN least_id l ON l.a = vec_id""",
+}

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .graph import components
 
-#: Directions that a pair at the threshold shares on the average: it shares none with exp(-12) if
-#: they were independent; the shared codewords make that a little more.
-SHARED = 12.0
+#: Independent product codes, and directions that a pair at the threshold shares in all of them on
+#: the average. Pairs of one code share directions by codewords in common, so that several codes
+#: find more for the same number of directions; tests measure the recall at the threshold.
+CODES, SHARED = 4, 32.0
 #: Vectors of a part of a bucket. Larger buckets are compared part by part.
 PART = 1500
 
@@ -30,7 +31,7 @@ def _tail(x: np.ndarray) -> np.ndarray:
     return np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in np.atleast_1d(x)])
 
 
-def cap_height(n_directions: int, cosine: float, shared: float = SHARED) -> float:
+def cap_height(n_directions: int, cosine: float, shared: float) -> float:
     """Height (in standard deviations) at which a pair of this cosine shares ``shared`` directions."""
     x = np.linspace(0, 9, 1801)
 
@@ -79,13 +80,15 @@ def _units(column: pa.Array) -> np.ndarray:
 
 def _filters(size: int, cosine: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        height = cap_height(size * size, cosine)
+        height = cap_height(size * size, cosine, SHARED / CODES)
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                found = _decode(_units(part.column("embedding")), _codes(int(dim), size, seed), height * math.sqrt(2 / dim))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([np.sort(f) for f in found], pa.list_(pa.int64()))], ["node", "filters"])
+                unit = _units(part.column("embedding"))
+                found = [_decode(unit, _codes(int(dim), size, seed + r), height * math.sqrt(2 / dim)) for r in range(CODES)]
+                each = [np.sort(np.concatenate([f + r * size * size for r, f in enumerate(fs)])) for fs in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(each, pa.list_(pa.int64()))], ["node", "filters"])
 
     return run
 
@@ -165,7 +168,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, part: int = PAR
     )
     nodes = materialize(classes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("embedding")}), "classes")
     most = nodes.groupBy("label", "dim").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    size = min(2048, 1 << max(4, math.ceil(math.log2(max(1, most * SHARED)) / 2)))
+    size = min(2048, 1 << max(4, math.ceil(math.log2(max(1, most * SHARED / CODES)) / 2)))
     found = materialize(nodes.select("node", "dim", "embedding").mapInArrow(_filters(size, cosine, seed), "node long, filters array<long>"), "filters")
     each = found.join(nodes.select("node", "label", "dim"), "node").select("node", "label", "dim", F.explode("filters").alias("f"))
     crowd = each.groupBy("label", "dim", "f").agg(F.count("*").alias("n")).where("n > 1")

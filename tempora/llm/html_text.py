@@ -171,6 +171,8 @@ def main_text(page: str) -> str:
         regions.append((max(sums[i:j]), i, j))
         i = j
     kept = [r for r in regions if r[0] >= SURGE] or ([max(regions, key=lambda r: r[0])] if regions else [])
+    if not kept:  # anchors alone
+        kept = [(0, 0, n)]
     return " ".join(lines[k][0] for _, a, b in kept for k in range(a, b) if lines[k][0])
 
 

@@ -1,8 +1,8 @@
 """Repeated passages removed by hashing paragraphs of sentences.
 
 A text falls into units: a unit starts at a line's start, after a word that ends in ``.``, ``!`` or
-``?``, and at a capitalised word. From each unit a paragraph runs over as few whole units as hold
-``min_words`` words. Paragraphs are normalised (A to Z lower-cased, white space folded) and hashed;
+``?``, and at a capitalised word. From the start of each unit, and back from its end, a paragraph runs
+over as few whole units as hold ``min_words`` words. Paragraphs are normalised (A to Z lower-cased, white space folded) and hashed;
 digests are grouped over the whole corpus, the earliest ranked occurrence stays and the rest goes,
 as spans of characters of the original text. As paragraphs start at every unit, a passage is found
 wherever it stands in a line.
@@ -44,12 +44,13 @@ def paragraphs(text: bytes | None, min_words: int) -> tuple[np.ndarray, np.ndarr
     opens[0] = True
     opens[1:] |= (lines[start[1:]] > lines[start[:-1]]) | np.isin(last[:-1], (33, 46, 63))
     edges = np.r_[np.flatnonzero(opens), n]
+    # whole units from each edge on, and back from each edge: the former find a passage's start, the latter its end
     upto = np.searchsorted(edges, edges[:-1] + min_words)
-    a = edges[:-1][upto < len(edges)]
-    b = edges[upto[upto < len(edges)]]
-    tail = edges[np.searchsorted(edges, n - min_words, "right") - 1]  # the last paragraph ends with the text
-    if not len(b) or b[-1] != n:
-        a, b = np.r_[a, tail], np.r_[b, n]
+    on = upto < len(edges)
+    back = edges[edges >= min_words]
+    a = np.r_[edges[:-1][on], edges[np.searchsorted(edges, back - min_words, "right") - 1]]
+    b = np.r_[edges[upto[on]], back]
+    a, b = np.divmod(np.unique(a * (n + 1) + b), n + 1)
     power, inverse = _power_tables(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words * power[:n], out=total[1:])

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 from ..functions import chat as ch
 from ..functions import tokens as tk
+from ..functions.intervals import clamp
+from ..operators import advantage as adv
 from ..operators import annotate as an
+from ..operators import evaluate as ev
 from ..operators import prepare as pr
+from ..operators import rewards as rw
 from ..operators import sampling as sp
 from ..operators.judging import last_wins
 from ..sources import files as io
 from ..streaming import jobs
 from .registry import Inputs, query, rounded
+from .reward_queries import SIDES, sides
+from .timeline_queries import PAIRS, pairs
 
 _ROOT: list[str] = []
 
@@ -252,6 +258,46 @@ def write_jsonl(x: Inputs) -> DataFrame:
     return io.read_jsonl(x.spark, path, "idx long, length long")
 
 
+@query("SELECT idx, length FROM fx_lengths")
+def strict_mode(x: Inputs) -> DataFrame:
+    path = scratch(x, "strict")
+    io.write_jsonl(x.fx_lengths, path)
+    return io.read_jsonl(x.spark, path, "idx long, length long", strict=True)
+
+
+@query(f"WITH {PAIRS} SELECT video_id, pred_count, gt_count, compared FROM pv")
+def write_metrics_report(x: Inputs) -> DataFrame:
+    path, p = scratch(x, "report"), pairs(x)
+    io.write_metrics_report(ev.eval_overall(p), ev.eval_per_video(p).drop("_iou"), path)
+    return x.spark.read.schema("video_id long, pred_count long, gt_count long, compared long").json(f"{path}/per_video")
+
+
+@query(f"WITH {SIDES[:-1]} SELECT request_id, round(least(length(completion), 500) / 500.0, 6) AS brevity, CAST(NULL AS DOUBLE) AS missing, round(least(length(completion), 500) / 500.0, 6) AS total FROM ct")
+def reward_registry(x: Inputs) -> DataFrame:
+    """Rewards that a user adds: a batch function over completions, and one that is missing."""
+
+    @F.pandas_udf("double")
+    def brevity(texts: pd.Series) -> pd.Series:
+        return texts.str.len().clip(upper=500) / 500.0
+
+    rw.register_reward("brevity", lambda requests, pred, truth: requests.select("request_id", brevity("completion").alias("reward")))
+    rw.register_reward("missing", lambda requests, pred, truth: requests.select("request_id", F.lit(None).cast("double").alias("reward")))
+    requests, _, truth = sides(x)
+    out = rw.score(requests, truth, ("brevity", "missing"))
+    return rounded(out.withColumn("total", rw.weighted_reward(out, {"brevity": 1.0, "missing": 1.0})), "brevity", "total")
+
+
+@query("SELECT event_id, least(greatest(start_ds, 50), 40 + end_ds % 100) AS clamped FROM fx_raw_segments")
+def clamp_times(x: Inputs) -> DataFrame:
+    return x.fx_raw_segments.select("event_id", clamp(F.col("start_ds"), F.lit(50), 40 + F.col("end_ds") % 100).alias("clamped"))
+
+
+@query("SELECT prompt_id AS query_id, request_id AS positive FROM fx_rollouts")
+def all_choices(x: Inputs) -> DataFrame:
+    rows = x.fx_rollouts.select(F.col("prompt_id").alias("query_id"), F.col("pos").alias("idx"), F.col("request_id").alias("choice"))
+    return adv.all_choices(rows).select("query_id", "positive")
+
+
 @query("SELECT c_custkey AS id, c_nationkey AS nation FROM customer")
 def read_dataset(x: Inputs) -> DataFrame:
     path = scratch(x, "table") + ".csv"

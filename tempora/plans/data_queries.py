@@ -250,7 +250,7 @@ def concat_packed(x: Inputs) -> DataFrame:
     return out.select("block", "bin", F.size("input_ids").alias("n_tokens"), F.array_max("position_ids").alias("last_position"), F.aggregate("position_ids", F.lit(0).cast("long"), lambda s, v: s + v).alias("sum_positions"))
 
 
-@query("SELECT idx, CASE WHEN length > 64 THEN 64 ELSE length END AS n_kept, CASE WHEN length > 64 THEN length ELSE length END AS last_kept FROM fx_lengths WHERE length > 0")
+@query("SELECT idx, CASE WHEN length > 64 THEN 64 ELSE length END AS n_kept, length AS last_kept FROM fx_lengths WHERE length > 0")
 def truncate_tokens(x: Inputs) -> DataFrame:
     ids = F.sequence(F.lit(1), F.col("length").cast("int"))
     rows = x.fx_lengths.where("length > 0").withColumn("p", tk.take(ids, tk.truncate_tokens(ids, 64, "left")))

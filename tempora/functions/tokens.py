@@ -82,8 +82,11 @@ def overlong_penalty(length: Column, max_len: int, cache: int) -> Column:
 def repetition_penalty(text: Column, n: int = 3, most: float = -1.0) -> Column:
     """``most`` times the share of word n-grams that repeat; 0 for a text of fewer words."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < n, 0.0).otherwise((1 - F.size(F.array_distinct(grams)) / F.size(grams)) * most)
+    grams = words
+    for k in range(2, n + 1):  # a lambda must not refer to words: it would split the text for each element
+        grams = F.zip_with(grams, F.slice(words, k, F.greatest(F.size(words), F.lit(1))), lambda g, w: F.concat(g, F.lit(" "), w))
+    grams = F.array_compact(grams)
+    return F.when(F.size(words) < n, 0.0).otherwise((1 - F.size(F.array_distinct(grams)) / F.greatest(F.size(grams), F.lit(1))) * most)
 
 
 def format_match(text: Column, variant: str = "answer") -> Column:

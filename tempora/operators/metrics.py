@@ -149,16 +149,11 @@ def ranking_metrics(df: DataFrame, order: str = "pos") -> DataFrame:
     return g.where("n > 1").agg(F.coalesce(F.avg(1 / F.col("best")), F.lit(0.0)).alias("mrr"), F.coalesce(F.avg(F.try_divide("dcg", "idcg")), F.lit(0.0)).alias("ndcg"), F.count("*").alias("n_queries"))
 
 
-def rouge_n(pred: Column, ref: Column, n: int) -> Column:
+def _rouge_n(p: list[str], r: list[str], n: int) -> float:
     """F1 of word n-grams with their counts."""
-    def grams(text: Column) -> Column:
-        w = words(F.lower(text))
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    p, r = grams(pred), grams(ref)
-    count = lambda arr, g: F.size(F.filter(arr, lambda x: x == g))
-    both = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda s, g: s + F.least(count(p, g), count(r, g)))
-    return F.coalesce(F.try_divide(2.0 * both, F.size(p) + F.size(r)), F.lit(0.0))
+    a, b = (Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (p, r))
+    total = a.total() + b.total()
+    return 2 * (a & b).total() / total if total else 0.0
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -193,16 +188,16 @@ def text_overlap(df: DataFrame) -> DataFrame:
     def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for preds, refs in frames:
             out = []
-            for p, r in zip(preds, refs, strict=True):
+            for p, r in zip(map(list, preds), map(list, refs), strict=True):
                 both = _lcs(p, r)
-                out.append((2 * both / (len(p) + len(r)) if len(p) + len(r) else 0.0, _bleu(list(p), list(r))))
-            yield pd.DataFrame(out, columns=["rougeL", "bleu4"])
+                out.append((_rouge_n(p, r, 1), _rouge_n(p, r, 2), 2 * both / (len(p) + len(r)), _bleu(p, r)))
+            yield pd.DataFrame(out, columns=["rouge1", "rouge2", "rougeL", "bleu4"])
 
     run.__annotations__ = {"frames": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    slow = F.pandas_udf(run, "rougeL double, bleu4 double")
+    scores = F.pandas_udf(run, "rouge1 double, rouge2 double, rougeL double, bleu4 double")
     full = df.where((F.size(words(F.col("pred"))) > 0) & (F.size(words(F.col("ref"))) > 0))
-    scored = full.withColumn("_s", slow(words(F.lower("pred")), words(F.lower("ref"))))
-    return scored.withColumns({"rouge1": rouge_n(F.col("pred"), F.col("ref"), 1), "rouge2": rouge_n(F.col("pred"), F.col("ref"), 2), "rougeL": F.col("_s.rougeL"), "bleu4": F.col("_s.bleu4")}).drop("_s")
+    scored = full.withColumn("_s", scores(words(F.lower("pred")), words(F.lower("ref"))))
+    return scored.withColumns({c: F.col(f"_s.{c}") for c in ("rouge1", "rouge2", "rougeL", "bleu4")}).drop("_s")
 
 
 def text_overlap_metrics(df: DataFrame) -> DataFrame:

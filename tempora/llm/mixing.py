@@ -213,4 +213,5 @@ def _drawn(spark: SparkSession, sources: DataFrame, block: int, shard: int, seed
     by_shard = Window.partitionBy("shard").orderBy("i")
     placed = draws.withColumns({"first": F.sum("n").over(by_source) - F.col("n"), "slot": F.sum("n").over(by_shard) - F.col("n")})
     totals = spark.sparkContext.broadcast(drawn)
-    return placed.mapInPandas(_slots(shared, totals, seed), "shard long, slot long, i long, block long")
+    # written, as the planner takes the slots for as small as the draws and would broadcast them
+    return materialize(placed.mapInPandas(_slots(shared, totals, seed), "shard long, slot long, i long, block long"), "slots")

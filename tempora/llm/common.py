@@ -40,8 +40,31 @@ class Table:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_made: list[Table] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    return Table(df, name).df
+    _made.append(Table(df, name))
+    return _made[-1].df
+
+
+class Sweep:
+    """Deletes the tables materialized in its block, less those that are kept, at its end."""
+
+    def __enter__(self) -> Sweep:
+        self.first, self.kept = len(_made), set()
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        self.kept.add(_made[-1].path)
+        return out
+
+    def __exit__(self, *_: object) -> None:
+        for table in _made[self.first :]:
+            if table.path not in self.kept:
+                table.drop()
+        _made[self.first :] = [t for t in _made[self.first :] if t.path in self.kept]
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

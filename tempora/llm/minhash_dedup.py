@@ -8,14 +8,18 @@ join documents to components.
 How it stays linear and whole under skew:
 
 * documents with one and the same shingle set fold into a class first; a class is one node;
-* a list of at most ``list_limit`` classes gives all its pairs. A longer one is a *hot* list: its
-  members are first linked to one of them, then, once components are known, the members outside the
-  list's largest component are paired with the others if that makes few pairs;
-* a class for which too few lists are settled that way to be sure of its links is searched again by
-  prefixes of its full set in order of rarity, which misses no pair at the threshold.
-
-A linked pair has at least 80 % of either set in common, so that it is missed with probability of
-0.2 to the power of the settled lists, below 1e-8 for 12 of them (see :data:`SURE`).
+* each node is first tried with the node that stands for most of its lists: the member whose lists
+  are longest, which in a group of copies is the one with the fewest changes. These links join most
+  of each group to one component;
+* a list of at most ``list_limit`` nodes, or of one component, is *settled*: the former gives all its
+  pairs across components. All others are *open*;
+* nodes with too few settled lists to be sure of their links are compared with each other in blocks:
+  the nodes of a list, in parts of bounded size, meet in a task, which counts the common elements of
+  full sets by matrix products and gives no pairs but a spanning set of links.
+
+A linked pair has at least 80 % of either set in common, so that it is missed with probability 0.2
+to the power of the lists that could show it: below 1e-8 for :data:`SURE` settled lists and below
+1e-6 for :data:`BLOCK_LISTS` open ones.
 """
 
 from __future__ import annotations
@@ -24,24 +28,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, materialize
+from .common import Sweep, materialize
 from .graph import components
 from .hashing import mix, shingle_set
 
 #: Hashes that a sketch retains.
 K = 24
-#: Classes up to which an inverted list gives all its pairs.
-LIST_LIMIT = 48
-#: Settled lists of a class that make its links sure.
+#: Nodes up to which an inverted list gives its pairs.
+LIST_LIMIT = 32
+#: Settled lists of a node that make its links sure.
 SURE = 12
 #: Values that two linked classes have in common at least, unless their sets are equal: sets of up to
 #: four shingles must be equal, and of 24 retained values three or fewer are common with 1e-11.
 LEAST_LISTS = 4
-#: Members outside a hot list's largest component that are paired with all its members.
-OUTSIDE = 16
+#: Nodes that a node is tried with first.
+STARS = 2
+#: Least values by which unsure nodes meet, and nodes of a part of such a list.
+BLOCK_LISTS, PART = 8, 1000
 #: Least share of the union sketch that two sketches must have in common: about six standard
 #: deviations below what a similarity of 0.8 gives on 24 values.
 LEAST_SHARE = 0.33
@@ -70,9 +77,12 @@ def _print(s: np.ndarray) -> str | None:
     return f"{len(s):x}-{a:x}-{b:x}" if len(s) else None
 
 
-def _sets(n: int):
+def _sets(n: int, wanted: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
+            at = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             sets = [shingle_set(t.as_py(), n) for t in batch.column("text").cast(pa.binary())]
             full = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.string()), full], ["print", "full"])
@@ -114,42 +124,71 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Data
     return pairs.join(a, "a").join(b, "b").where(fits).where(shared >= LEAST_SHARE * F.size(union)).select("a", "b")
 
 
-def _pairs_in_lists(entries: DataFrame) -> DataFrame:
-    """All pairs ``a < b`` of the members of each (short) list, with the lists that they share."""
-    lists = entries.groupBy("value").agg(F.array_sort(F.collect_set("node")).alias("m")).where("size(m) > 1")
-    each = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b))))")
+def _pairs_in_lists(members: DataFrame) -> DataFrame:
+    """a < b and n_lists: the pairs of the members (value, node, root, u) of each short list that aren't
+    of one component and not both unsure."""
+    lists = members.groupBy("value").agg(F.array_sort(F.collect_set(F.struct("node", "root", "u"))).alias("m"))
+    others = "filter(slice(m, i + 2, size(m)), y -> y.root <> x.root and not (x.u and y.u))"
+    each = F.expr(f"flatten(transform(m, (x, i) -> transform({others}, y -> struct(x.node as a, y.node as b))))")
     return lists.select(F.explode(each).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n_lists"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs that the links so far do not join."""
-    ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+def _block_links(percent: int):
+    """Links of the nodes of a (list, part, part): each node with the least node of its component there."""
+    def group(rows: pa.Table) -> dict[str, np.ndarray] | None:
+        node, size, c = (rows.column(x).to_numpy() for x in ("node", "n_shingles", "c"))
+        full = rows.column("full").combine_chunks()
+        owner = np.repeat(np.arange(len(rows)), np.diff(full.offsets.to_numpy()))
+        names, code, often = np.unique(full.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        keep = often[code] > 1
+        owner, (names, code) = owner[keep], np.unique(code[keep], return_inverse=True)
+        both = np.zeros((len(rows), len(rows)), np.float32)
+        for a in range(0, len(names), 1024):
+            at = (code >= a) & (code < a + 1024)
+            held = np.zeros((len(rows), min(1024, len(names) - a)), np.float32)
+            held[owner[at], code[at] - a] = 1
+            both += held @ held.T
+        link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        np.fill_diagonal(link, False)
+        if rows.column("ci")[0].as_py() != rows.column("cj")[0].as_py():
+            link &= c[:, None] != c[None, :]
+        if not link.any():
+            return None
+        root = np.arange(len(rows))
+        while True:
+            least = np.minimum(root, np.where(link, root[None, :], len(rows)).min(1))
+            if (least == root).all():
+                return {"a": node, "b": node[root]}
+            root = least
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            keys = [table.column(x).to_numpy() for x in ("value", "ci", "cj")]
+            starts = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if (out := group(table.slice(a, b - a)) if b - a > 1 else None) is not None:
+                    yield pa.RecordBatch.from_pydict(out)
+            rest = table.slice(starts[-1])
+        if rest is not None and len(rest) > 1 and (out := group(rest)) is not None:
+            yield pa.RecordBatch.from_pydict(out)
 
-def _rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact candidates among ``nodes``: two sets at the threshold share an element of their prefixes
-    in order of rarity, each of the size of the set less ``percent`` of it, plus one.
+    return run
 
-    Elements are numbered by how many of the sets hold them, ties by hash. Lists join on themselves
-    by element with the size filter applied inside the join.
-    """
-    each = sets.join(nodes.select("node", "n_shingles"), "node").select("node", "n_shingles", F.explode("full").alias("e"))
-    often = each.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = (
-        each.join(often, "e")
-        .groupBy("node", "n_shingles")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("es"))
-        # elements held by one set come first in the order and use up the prefix
-        .withColumn("free", F.expr(f"size(es) + 1 - (n_shingles * {percent} + 99) div 100"))
-        .where("free > 0")
-        .select("node", "n_shingles", F.explode(F.expr("slice(es, 1, cast(least(free, size(es)) as int))")).alias("x"))
-        .select("node", "n_shingles", F.col("x.e").alias("e"))
-    )
-    ranked = materialize(ranked, "prefixes")
-    a, b = (ranked.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), "e") for s in ("a", "b"))
-    return a.join(b, "e").where("a < b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+
+def _links_in_blocks(unsure: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among ``unsure`` nodes (node, n_shingles, sketch) that share one of their least values."""
+    each = unsure.select("node", F.explode(F.slice("sketch", 1, BLOCK_LISTS)).alias("value"))
+    crowd = each.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    k = F.ceil(F.col("n") / PART).cast("long")
+    placed = each.join(crowd, "value").withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    placed = placed.select("node", "value", "c", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"))
+    full = placed.join(unsure.select("node", "n_shingles"), "node").join(sets, "node")
+    full = full.repartition("value", "ci", "cj").sortWithinPartitions("value", "ci", "cj")
+    return full.mapInArrow(_block_links(percent), "a long, b long").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k: int = K, list_limit: int = LIST_LIMIT) -> DataFrame:
@@ -163,7 +202,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
     with a null doc_id never are a component's id: where all ids of a component are null,
     component_id is null and kept true; an empty table gives an empty result.
     """
-    return _grouped(docs, shingle, percent, k, list_limit).select("doc_id", "n_shingles", "component_id", "kept")
+    with Sweep() as sweep:
+        groups = sweep.keep(_grouped(docs, shingle, percent, k, list_limit), "groups")
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int, k: int, list_limit: int) -> DataFrame:
@@ -183,54 +224,44 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, k: int, list_limit: in
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, k: int, list_limit: int) -> DataFrame:
-    """node, root of every linked class."""
+    """node, root of every linked node."""
     entries = nodes.select("node", F.explode("sketch").alias("value"))
-    lists = entries.groupBy("value").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("value", "node")).alias("rep")).where("n > 1")
+    lists = entries.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     held = materialize(entries.join(lists, "value"), "entries")
-    hot = held.where(F.col("n") > list_limit)
-    short = _pairs_in_lists(held.where(F.col("n") <= list_limit).select("node", "value"))
-    # two classes at the threshold that aren't equal share four values at least, some of them maybe by hot lists
-    hot_of = hot.groupBy("node").agg(F.count("*").alias("n_hot"))
-    ha, hb = (hot_of.select(F.col("node").alias(s), F.col("n_hot").alias(f"hot_{s}")) for s in ("a", "b"))
-    by_hot = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-    likely = short.join(ha, "a", "left").join(hb, "b", "left").where(F.col("n_lists") + by_hot >= LEAST_LISTS)
-    candidates = materialize(_estimated(likely.select("a", "b"), nodes, k, percent), "candidates")
-    # each member of a hot list is tried with the member that stands for most of its hot lists
-    star = hot.where("rep <> node").groupBy("node", "rep").agg(F.count("*").alias("c"))
-    star = star.groupBy("node").agg(F.max_by("rep", F.struct("c", "rep")).alias("rep"))
-    star = star.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
-    stars = materialize(_estimated(star.distinct(), nodes, k, percent), "stars")
-    sets = _full_sets(docs, nodes, _ends(candidates.unionByName(stars)), shingle)
-    # one link a class first, which joins most; then the candidates that are still apart
-    first = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(stars).distinct()
-    links = materialize(_verified(first, sets, nodes, percent), "links")
-    roots = materialize(components(links), "roots")
-    links = links.unionByName(materialize(_verified(_apart(candidates, roots), sets, nodes, percent), "links"))
+    # each node is tried with the nodes that stand for most of its lists
+    weight = held.groupBy("node").agg(F.sum("n").alias("w"))
+    reps = held.join(weight, "node").groupBy("value").agg(F.max_by("node", F.struct("w", "node")).alias("rep"))
+    star = held.join(reps, "value").where("rep <> node").groupBy("node", "rep").agg(F.count("*").alias("c")).where("c > 1")
+    best = star.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "rep")), asc=False), 1, STARS).alias("t"))
+    star = best.select("node", F.explode("t.rep").alias("rep")).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+    star = materialize(_estimated(star, nodes, k, percent), "stars")
+    sets = _full_sets(docs, nodes, _ends(star), shingle)
+    links = materialize(_verified(star, sets, nodes, percent), "links")
     roots = materialize(components(links), "roots")
-    # hot lists: how many members each component has in each
-    at = hot.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
-    at = materialize(at, "hot")
-    per = at.groupBy("value", "root").agg(F.count("*").alias("c"))
-    top = per.groupBy("value").agg(F.sum("c").alias("n"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"))
-    top = materialize(top, "tops")
-    few = f"n - most between 1 and {OUTSIDE}"
-    outside = at.join(top.where(few).select("value", "main"), "value").where("root <> main").select("value", F.col("node").alias("x"), F.col("root").alias("rx"))
-    cross = outside.join(at.select("value", F.col("node").alias("y"), F.col("root").alias("ry")), "value").where("rx <> ry")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = materialize(_estimated(cross, nodes, k, percent), "cross")
-    # classes for which the settled lists do not suffice
-    open_lists = at.join(top.where(f"n - most > {OUTSIDE}").select("value"), "value", "left_semi").groupBy("node").agg(F.count("*").alias("n_open"))
+    # which lists are settled, and which nodes are unsure
+    at = materialize(held.join(roots, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root")), "members")
+    mixed = at.groupBy("value", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = materialize(mixed.select("value", "n"), "mixed")
+    open_ = at.join(mixed.where(F.col("n") > list_limit).select("value"), "value", "left_semi").groupBy("node").agg(F.count("*").alias("n_open"))
     enough = F.least(F.lit(SURE), F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1)
-    unsure = nodes.join(open_lists, "node").where(F.size("sketch") - F.col("n_open") < enough)
-    unsure = materialize(unsure.select("node", "n_shingles"), "unsure")
-    late = _ends(cross).unionByName(unsure.select("node")).distinct()
-    if late.isEmpty():
+    unsure = nodes.join(open_, "node").where(F.size("sketch") - F.col("n_open") < enough)
+    unsure = materialize(unsure.select("node", "n_shingles", "sketch"), "unsure")
+    # pairs of short lists, across components, unless both are unsure
+    short = at.join(mixed.where(F.col("n") <= list_limit).select("value"), "value").select("value", "node", "root")
+    short = short.join(unsure.select("node", F.lit(True).alias("u")), "node", "left").withColumn("u", F.coalesce("u", F.lit(False)))
+    likely = _pairs_in_lists(short).join(open_.select(F.col("node").alias("a"), F.col("n_open").alias("oa")), "a", "left")
+    likely = likely.join(open_.select(F.col("node").alias("b"), F.col("n_open").alias("ob")), "b", "left")
+    by_open = F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
+    likely = likely.where(F.col("n_lists") + by_open >= LEAST_LISTS).select("a", "b")
+    pairs = materialize(_estimated(likely, nodes, k, percent), "pairs")
+    wanted = _ends(pairs).unionByName(unsure.select("node")).distinct()
+    if wanted.isEmpty():
         return roots
-    sets = _full_sets(docs, nodes, late, shingle)
-    rest = _rare_prefix_pairs(unsure, sets, percent)
-    rest = _estimated(_apart(rest, roots), nodes, k, percent)
-    links = links.unionByName(_verified(cross.unionByName(rest).distinct(), sets, nodes, percent))
-    return components(links)
+    sets = _full_sets(docs, nodes, wanted, shingle)
+    found = _verified(pairs, sets, nodes, percent)
+    if not unsure.isEmpty():
+        found = found.unionByName(_links_in_blocks(unsure, sets, percent))
+    return components(links.unionByName(found))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -238,13 +269,24 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node and full set of the wanted classes, each made from the text of one of its documents."""
+    """node and full set of the wanted nodes, each made from the text of one of its documents.
+
+    Texts are not shuffled: a bit for each hash of a wanted doc_id, 16 MB of bits at most, tells
+    which texts to hash, and their sets meet the nodes by the set's print, so that a text that
+    shares its bit by chance costs time, but no wrong row.
+    """
     ids = materialize(nodes.join(wanted, "node").select("node", "print", "least"), "wanted")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    least = ids.select(F.coalesce("least", F.lit(-(1 << 63))).alias("key")).distinct()
-    texts = docs.select(key.alias("key"), F.col("text")).join(least, "key", "left_semi")
-    made = texts.mapInArrow(_sets(shingle), "print string, full array<long>").join(ids, "print")
-    return materialize(made.groupBy("node").agg(F.first("full").alias("full")), "sets")
+    n_bits = 1 << min(27, max(15, (8 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(-(1 << 63)))), F.lit(n_bits))
+    ones = ids.select((place(F.col("least")) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    bits = np.zeros(n_bits // 8 + 4096, np.uint8)
+    for r in ones.collect():  # n_bits / 8 bytes at most
+        start = (r["b"] - 1) * 4096
+        bits[start : start + 4096] |= np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    texts = docs.where("text is not null").select(place(F.col("doc_id").cast("long")).alias("bit"), "text")
+    made = texts.mapInArrow(_sets(shingle, shared), "print string, full array<long>").join(ids.select("print", "node"), "print")
+    return materialize(made.groupBy("print", "node").agg(F.first("full").alias("full")).select("node", "full"), "sets")
 
 
 def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -256,7 +298,8 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> Dat
     """
     names = docs.columns
     plain = docs.toDF(*(c if c in ("doc_id", "text") else f"__{i}" for i, c in enumerate(names)))
-    groups = materialize(_grouped(plain, shingle, percent, K, LIST_LIMIT), "groups")
+    with Sweep() as sweep:
+        groups = sweep.keep(_grouped(plain, shingle, percent, K, LIST_LIMIT), "groups")
     chosen = groups.where("kept and doc_id is not null and print is not null")
     chosen = chosen.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
     chosen = chosen.join(groups.groupBy("doc_id", "h").agg(F.count("*").alias("n")), ["doc_id", "h"])

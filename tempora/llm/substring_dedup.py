@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Sweep, materialize
 from .hashing import _power_tables, mix, word_spans
 
 #: Words that a paragraph holds at least. A passage of twice as many words is found even where a
@@ -97,9 +97,10 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     doc, h = _key()
     found = docs.where("text is not null").select(doc.alias("doc"), h.alias("h"), "text")
     found = materialize(found.mapInArrow(_paragraph_rows(min_words), "digest long, doc long, h long, span long"), "paragraphs")
-    often = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    # written, so that the joins on them have exchanges of their own, which Spark can split at a hot digest
+    often = materialize(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "often")
     copies = materialize(found.join(often, "digest", "left_semi"), "copies")
-    kept = copies.groupBy("digest").agg(F.min(F.struct("doc", "h", "span")).alias("kept"))
+    kept = materialize(copies.groupBy("digest").agg(F.min(F.struct("doc", "h", "span")).alias("kept")), "kept")
     again = copies.join(kept, "digest").where("struct(doc, h, span) <> kept")
     own = (F.col("doc") == F.col("kept.doc")) & (F.col("h") == F.col("kept.h"))
     start, end = F.shiftright("span", 32), F.col("span").bitwiseAND(0xFFFFFFFF)
@@ -130,7 +131,8 @@ def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, details: bool =
     """
     names = docs.columns
     doc, h = _key()
-    spans = repeated_spans(docs.select("doc_id", "text"), min_words=min_words)
+    with Sweep() as sweep:
+        spans = sweep.keep(repeated_spans(docs.select("doc_id", "text"), min_words=min_words), "spans")
     plain = docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"__{i}" for i, c in enumerate(names)))
     joined = plain.withColumns({"__doc": doc, "__h": h}).join(
         spans.select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("spans").alias("__spans")), ["__doc", "__h"], "left"

@@ -1,11 +1,15 @@
-"""Repeated passages removed by hashing paragraphs of sentences.
+"""Repeated passages removed by hashing paragraphs, of sentences and cut by content.
 
 A text falls into units: a unit starts at a line's start, after a word that ends in ``.``, ``!`` or
 ``?``, and at a capitalised word. From the start of each unit, and back from its end, a paragraph runs
-over as few whole units as hold ``min_words`` words. Paragraphs are normalised (A to Z lower-cased, white space folded) and hashed;
-digests are grouped over the whole corpus, the earliest ranked occurrence stays and the rest goes,
-as spans of characters of the original text. As paragraphs start at every unit, a passage is found
-wherever it stands in a line.
+over as few whole units as hold ``min_words`` words. Of the sequences of exactly ``min_words`` words
+those are paragraphs too whose hash is the least among ``REACH`` neighbouring ones (winnowing). That
+depends on nothing but these words, so that of a repeated passage of ``min_words + REACH - 1`` words
+or more the same ones are taken wherever it starts and ends, whatever its case and punctuation.
+Paragraphs are normalised (A to Z lower-cased, white space folded) and hashed; digests are grouped
+over the whole corpus, the earliest ranked occurrence stays and the rest goes, as spans of
+characters of the original text. Of a passage fewer than ``REACH`` words at either end may stay,
+where no unit starts or ends there.
 """
 
 from __future__ import annotations
@@ -20,18 +24,46 @@ from pyspark.sql import functions as F
 from .common import Sweep, materialize
 from .hashing import _power_tables, mix, word_spans
 
-#: Words that a paragraph holds at least. A passage of twice as many words is found even where a
-#: unit of it runs into the text around it.
+#: Words that a paragraph holds at least. A passage of twice as many words is always found.
 MIN_WORDS = 25
+#: Of so many neighbouring sequences of ``MIN_WORDS`` words one at least is a paragraph.
+REACH = 13
 SPANS = "array<struct<start:int,end:int>>"
 
 
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`word_spans`, with each character from U+3000 to U+9FFF (script without blanks) as a word."""
+    raw = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero((raw >= 0xE3) & (raw <= 0xE9))
+    if not len(at):
+        return word_spans(text)
+    sides = np.r_[at, at + 3]
+    words, start, end = word_spans(np.insert(raw, sides, 32).tobytes())
+    origin = np.insert(np.arange(len(raw)), sides, -1)
+    return words, origin[start], origin[end - 1] + 1
+
+
+def _over(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """``least`` (or greatest) of each ``width`` neighbours."""
+    step = 1
+    while 2 * step <= width:
+        x, step = least(x[:-step], x[step:]), 2 * step
+    return least(x[: len(x) - width + step], x[width - step :])
+
+
+def winnowed(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """Where the hashes stand that are the least of some ``reach`` neighbours, or of all if there are fewer."""
+    reach = min(reach, len(hashes))
+    least = np.pad(_over(hashes, reach, np.minimum), reach - 1)
+    return np.flatnonzero(_over(least, reach, np.maximum) == hashes)
+
+
 def paragraphs(text: bytes | None, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, first character and end character of each paragraph of a text."""
     none = np.empty(0, np.int64)
     if not text:
         return none, none, none
-    words, start, end = word_spans(text)
+    words, start, end = _words(text)
     n = len(words)
     if n < min_words:
         return none, none, none
@@ -48,12 +80,13 @@ def paragraphs(text: bytes | None, min_words: int) -> tuple[np.ndarray, np.ndarr
     upto = np.searchsorted(edges, edges[:-1] + min_words)
     on = upto < len(edges)
     back = edges[edges >= min_words]
-    a = np.r_[edges[:-1][on], edges[np.searchsorted(edges, back - min_words, "right") - 1]]
-    b = np.r_[edges[upto[on]], back]
-    a, b = np.divmod(np.unique(a * (n + 1) + b), n + 1)
     power, inverse = _power_tables(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words * power[:n], out=total[1:])
+    cut = winnowed(mix((total[min_words:] - total[:-min_words]) * inverse[: n - min_words + 1] + np.uint64(min_words)), REACH)
+    a = np.r_[edges[:-1][on], edges[np.searchsorted(edges, back - min_words, "right") - 1], cut]
+    b = np.r_[edges[upto[on]], back, cut + min_words]
+    a, b = np.divmod(np.unique(a * (n + 1) + b), n + 1)
     digest = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
     chars = np.cumsum((raw & 0xC0) != 0x80)
     return digest.view(np.int64), chars[start[a]] - 1, chars[end[b - 1] - 1]

@@ -157,6 +157,27 @@ def test_substring_dedup_cuts_repeats_and_keeps_the_first(spark):
     assert substring_dedup.deduplicated(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["lower", "Capitals.", "cjk"])
+def test_substring_dedup_finds_passages_cut_anywhere(spark, kind):
+    rng = random.Random(14)
+    word = {"lower": lambda: f"w{rng.randrange(10**6)}", "Capitals.": lambda: rng.choice(["W{}", "w{}.", "w{}", "w{}"]).format(rng.randrange(10**6)), "cjk": lambda: chr(rng.randrange(0x4E00, 0x9FA0))}[kind]
+    glue = "" if kind == "cjk" else " "
+    source = [word() for _ in range(3000)]
+    rows, passages = [(0, glue.join(source))], {}
+    for i in range(1, 60):
+        n = rng.randint(50, 70) if i < 50 else 2 * substring_dedup.MIN_WORDS
+        at = rng.randrange(len(source) - n)
+        before, after = ([word() for _ in range(rng.randint(5, 60))] for _ in range(2))
+        passages[i] = before, source[at : at + n], after
+        rows.append((i, glue.join(before + source[at : at + n] + after)))
+    got = {r.doc_id: r.text for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for i, (before, passage, after) in passages.items():
+        left = list(got[i]) if kind == "cjk" else got[i].split()
+        assert left[: len(before)] == before and left[-len(after) :] == after
+        assert len(left) - len(before) - len(after) <= 2 * (substring_dedup.REACH - 1) and len(left) < len(before + passage + after)
+
+
 def test_mix_meets_targets(spark, docs):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 900)), rng.choice(["a", "b", "b", "b", "c", None, "ä"])) for i in range(300)]

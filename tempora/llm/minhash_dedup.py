@@ -17,9 +17,12 @@ How it stays linear and whole under skew:
   the nodes of a list, in parts of bounded size, meet in a task, which counts the common elements of
   full sets by matrix products and gives no pairs but a spanning set of links.
 
-A linked pair has at least 80 % of either set in common, so that it is missed with probability 0.2
-to the power of the lists that could show it: below 1e-8 for :data:`SURE` settled lists and below
-1e-6 for :data:`BLOCK_LISTS` open ones.
+A linked pair has at least 80 % of either set in common. A node that only has values of its own
+besides open lists is compared in blocks; there a pair is missed where none of the
+:data:`BLOCK_LISTS` least values of a node is among its partner's, with a probability of about
+0.2 to the power of 8, 3e-6. :data:`SURE` settled lists that others are in give 0.2 to the power of
+12, 4e-9, if a partner is as likely in one list of the node as in another; no bound is known where
+the lists a partner is in are just the open ones.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from .hashing import mix, shingle_set
 K = 24
 #: Nodes up to which an inverted list gives its pairs.
 LIST_LIMIT = 32
-#: Settled lists of a node that make its links sure.
+#: Settled lists of a node, with others in them, that make its links sure.
 SURE = 12
 #: Values that two linked classes have in common at least, unless their sets are equal: sets of up to
 #: four shingles must be equal, and of 24 retained values three or fewer are common with 1e-11.
@@ -243,8 +246,10 @@ def _linked(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, k: in
     mixed = at.groupBy("value", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     mixed = materialize(mixed.select("value", "n"), "mixed")
     open_ = at.join(mixed.where(F.col("n") > list_limit).select("value"), "value", "left_semi").groupBy("node").agg(F.count("*").alias("n_open"))
-    enough = F.least(F.lit(SURE), F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1)
-    unsure = nodes.join(open_, "node").where(F.size("sketch") - F.col("n_open") < enough)
+    # a node is sure by settled lists that others are in, or if a partner can't lack all its settled values
+    lacking = F.floor(F.col("n_shingles") * (100 - percent) / 100)
+    shared = held.groupBy("node").agg(F.count("*").alias("n_held"))
+    unsure = nodes.join(open_, "node").join(shared, "node").where((F.col("n_held") - F.col("n_open") < SURE) & (F.size("sketch") - F.col("n_open") <= lacking))
     unsure = materialize(unsure.select("node", "n_shingles", "sketch"), "unsure")
     # pairs of short lists, across components, unless both are unsure
     short = at.join(mixed.where(F.col("n") <= list_limit).select("value"), "value").select("value", "node", "root")

@@ -157,6 +157,19 @@ def test_substring_dedup_cuts_repeats_and_keeps_the_first(spark):
     assert substring_dedup.deduplicated(frame.limit(0)).count() == 0
 
 
+def test_near_duplicates_whose_common_values_lie_in_long_lists(spark):
+    ranked = sorted((int(shingle_set(w.encode(), 1)[0]), w) for w in (f"v{i}" for i in range(40_000)))
+    low, high = [w for _, w in ranked[:60]], iter([w for _, w in ranked[100:]])
+    common, extra, more, very = low[:24:2], low[1:24:2], low[24:36], low[36:48]
+    private = lambda n: [next(high) for _ in range(n)]
+    base = common + more + private(76)
+    rows = [base, base + extra + private(13)]  # similarity 0.8; half of the second's sketch is its own
+    rows += [common + very + private(300) for _ in range(45)] + [very + private(300) for _ in range(45)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame, shingle=1).collect()}
+    assert got == {i: 0 if i == 1 else i for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("kind", ["lower", "Capitals.", "cjk"])
 def test_substring_dedup_finds_passages_cut_anywhere(spark, kind):
     rng = random.Random(14)

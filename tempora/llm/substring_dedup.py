@@ -158,8 +158,8 @@ def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, details: bool =
 
     With ``details``, also spans (of the original text), removed_chars and original_chars. Every row
     stays. Defined cases: a null text stays null; an empty text, or one of fewer words than
-    ``min_words``, stays as it is; a text that repeats as a whole becomes empty in all but the first
-    document; rows that repeat doc_id and text are one document and get the same result; a null
+    ``min_words``, stays as it is; a text of ``min_words`` or more that repeats as a whole becomes empty in all
+    but the first document; repeated lines below ``min_words`` stay; rows that repeat doc_id and text are one document and get the same result; a null
     doc_id ranks last; other columns, whatever their names, stay.
     """
     names = docs.columns

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +15,28 @@ _own_root: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, which every executor shares.
+    """The folder for intermediate tables: a folder of this application in ``spark.checkpoint.dir``,
+    which every executor shares.
 
-    Where the session has none (tests on one machine), a new folder under the system's temp
-    folder is made once per process.
+    Where the session has none and all runs on one machine (tests), a new folder under the system's
+    temp folder is made once per process; on a cluster that is an error, as tables would be lost.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="spark-"))
     return _own_root[0]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Table:
     """A DataFrame written as Parquet to the shared scratch folder, so that its lineage is cut."""
 
@@ -36,35 +48,78 @@ class Table:
 
     def drop(self) -> None:
         """Delete the files; nothing may read ``df`` after this."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
-_made: list[Table] = []
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """A table that a result reads: it stays until :func:`clear`."""
+    return Table(df, name).df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    _made.append(Table(df, name))
-    return _made[-1].df
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has left; results that read them end with them."""
+    _delete(spark, scratch_root(spark))
+
 
+class Scratch:
+    """The intermediate tables of one call, dropped when their readers are done, at the block's end
+    at the latest. Calls in other threads have tables of their own."""
 
-class Sweep:
-    """Deletes the tables materialized in its block, less those that are kept, at its end."""
+    def __init__(self) -> None:
+        self.tables: dict[str, Table] = {}
 
-    def __enter__(self) -> Sweep:
-        self.first, self.kept = len(_made), set()
+    def __enter__(self) -> Scratch:
         return self
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        out = materialize(df, name)
-        self.kept.add(_made[-1].path)
-        return out
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.done(name)
+        self.tables[name] = Table(df, name)
+        return self.tables[name].df
+
+    def done(self, *names: str) -> None:
+        for name in names:
+            if name in self.tables:
+                self.tables.pop(name).drop()
 
     def __exit__(self, *_: object) -> None:
-        for table in _made[self.first :]:
-            if table.path not in self.kept:
-                table.drop()
-        _made[self.first :] = [t for t in _made[self.first :] if t.path in self.kept]
+        self.done(*self.tables)
+
+
+def bit_sets(places: DataFrame, n_bits: int, conditions: list[str]) -> list[np.ndarray]:
+    """For each condition one bit for each of the ``n_bits`` places (column p, from 0) that occurs with
+    it, packed by eight; ``n_bits / 8`` bytes a condition reach the driver at most."""
+    ones = places.withColumn("__p", F.col("p") + 1).groupBy(F.bitmap_bucket_number("__p").alias("b"))
+    out = [np.zeros(n_bits // 8 + 4096, np.uint8) for _ in conditions]
+    for r in ones.agg(*(F.expr(f"bitmap_construct_agg(bitmap_bit_position(__p)) filter (where {c})") for c in conditions)).collect():
+        start = (r[0] - 1) * 4096
+        for bits, m in zip(out, r[1:], strict=True):
+            bits[start : start + 4096] |= np.frombuffer(bytes(m), np.uint8)
+    return out
+
+
+def bit_set(places: DataFrame, n_bits: int) -> np.ndarray:
+    return bit_sets(places, n_bits, ["true"])[0]
+
+
+def bits_at(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
+def bits_for(n: int) -> int:
+    """Places of a bit set for ``n`` members: 8 to 16 for each, 2**27 at most (16 MB)."""
+    return 1 << min(27, max(15, (8 * n).bit_length()))
+
+
+def in_bits(bits: np.ndarray, spark: SparkSession) -> Callable[[Column], Column]:
+    """A column function: is the bit at this place set? The bits are broadcast."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(bits_at(shared.value, batch.to_numpy(zero_copy_only=False)))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "boolean")
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

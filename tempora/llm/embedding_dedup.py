@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 from .graph import components
 
 #: Independent product codes, and directions that a pair at the threshold shares in all of them on
@@ -158,18 +158,23 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, part: int = PAR
     counts as a link but is no component's id (its component_id may be null, kept then true); an
     empty table gives an empty result.
     """
+    with Scratch() as scratch:
+        return materialize(_linked(scratch, vectors, cosine, part, seed), "vectors")
+
+
+def _linked(scratch: Scratch, vectors: DataFrame, cosine: float, part: int, seed: int) -> DataFrame:
     x = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0) & F.col("label").isNotNull(), F.lit(False))
     print_ = F.when(sound, F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), "label", x)), F.hex(F.xxhash64(F.lit(2), "label", x))))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding", print_.alias("print"))
-    rows = materialize(rows, "vectors")
+    rows = scratch(rows, "vectors")
     classes = rows.where("print is not null").groupBy("print").agg(
         F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
-    nodes = materialize(classes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("embedding")}), "classes")
+    nodes = scratch(classes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("embedding")}), "classes")
     most = nodes.groupBy("label", "dim").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     size = min(2048, 1 << max(4, math.ceil(math.log2(max(1, most * SHARED / CODES)) / 2)))
-    found = materialize(nodes.select("node", "dim", "embedding").mapInArrow(_filters(size, cosine, seed), "node long, filters array<long>"), "filters")
+    found = scratch(nodes.select("node", "dim", "embedding").mapInArrow(_filters(size, cosine, seed), "node long, filters array<long>"), "filters")
     each = found.join(nodes.select("node", "label", "dim"), "node").select("node", "label", "dim", F.explode("filters").alias("f"))
     crowd = each.groupBy("label", "dim", "f").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / part).cast("long")
@@ -179,9 +184,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, part: int = PAR
     full = placed.join(nodes.select("node", "weight", "embedding"), "node").join(found, "node")
     keys = ["label", "dim", "f", "ci", "cj"]
     full = full.repartition(*keys).sortWithinPartitions(*keys)
-    got = materialize(full.mapInArrow(_compare(cosine), "node long, links long, root long"), "links")
+    got = scratch(full.mapInArrow(_compare(cosine), "node long, links long, root long"), "links")
     links = got.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(got.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+    roots = components(got.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), scratch)
     named = nodes.select("print", "node", "least", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     own = named.join(ids, "root").select("print", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Scratch
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,24 +24,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """``links`` (a long, b long) to ``node, root``: each linked node with the least node it reaches.
 
     Self-links and nulls are ignored; nodes without a link have no row; an empty table gives none.
-    Every round is one written table, so a lost executor repeats one round at most. Only a row
-    count and a checksum reach the driver.
+    Every round is one written table, so a lost executor repeats one round at most; the last one, which
+    the result reads, is ``scratch``'s table ``name``. Only a row count and a checksum reach the driver.
     """
     pairs = links.where("a is not null and b is not null and a <> b")
-    now = Table(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    last = None
+    now = scratch(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    last, turn = None, 0
     while True:
-        mark = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last or not mark[0]:
-            return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        last = mark
-        big = Table(_stars(now.df, True), "stars")
-        now.drop()
-        now = Table(_stars(big.df, False), "stars")
-        big.drop()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        last, turn = mark, turn + 1
+        big = scratch(_stars(now, True), f"{name}-large")
+        now = scratch(_stars(big, False), f"{name}-{turn}")
+        scratch.done(f"{name}-{turn - 1}")

@@ -8,34 +8,39 @@ join documents to components.
 How it stays linear and whole under skew:
 
 * documents with one and the same shingle set fold into a class first; a class is one node;
-* each node is first tried with the node that stands for most of its lists: the member whose lists
-  are longest, which in a group of copies is the one with the fewest changes. These links join most
-  of each group to one component;
-* a list of at most ``list_limit`` nodes, or of one component, is *settled*: the former gives all its
-  pairs across components. All others are *open*;
-* nodes with too few settled lists to be sure of their links are compared with each other in blocks:
-  the nodes of a list, in parts of bounded size, meet in a task, which counts the common elements of
-  full sets by matrix products and gives no pairs but a spanning set of links.
-
-A linked pair has at least 80 % of either set in common. A node that only has values of its own
-besides open lists is compared in blocks; there a pair is missed where none of the
-:data:`BLOCK_LISTS` least values of a node is among its partner's, with a probability of about
-0.2 to the power of 8, 3e-6. :data:`SURE` settled lists that others are in give 0.2 to the power of
-12, 4e-9, if a partner is as likely in one list of the node as in another; no bound is known where
-the lists a partner is in are just the open ones.
+* each node is first tried with the nodes that stand for most of its lists: the members whose lists
+  are longest, which in a group of copies are those with the fewest changes. These links join most
+  of each group to one component, and only pairs across components are looked for from there on;
+* a list of at most ``list_limit`` nodes gives its pairs. Of a longer one, nodes meet by classes of
+  set sizes, as linked sets differ by a quarter of their size at most; such a part gives its pairs
+  if it is of ``list_limit`` nodes at most, and nothing if it is of one component. Else it is *open*;
+* a pair must have ``LEAST_SHARE`` of the union sketch in common. So a node with fewer values in open
+  lists than that shares a list that gives pairs with each partner it has. The others are *unsure*;
+* unsure nodes meet by their full sets, of which the rarest fifth decides: two sets with 80 % in
+  common share one of the rarest elements of either, whatever the order, if it is one for all. Rarity
+  is counted in buckets of hashes, so that no element is shuffled. Lists of these elements give their
+  pairs as above, and nodes in open ones meet in blocks: the nodes of a sketch value's list, in
+  parts of bounded size, meet in a task, which counts the common elements of full sets by matrix
+  products and gives no pairs but a spanning set of links.
+
+A linked pair is missed where fewer than :data:`LEAST_SHARE` of its union sketch are in common, with a
+probability of about 1e-7 for 24 values at a similarity of 0.8; or where it only meets in blocks and
+none of the :data:`BLOCK_LISTS` least values of a node is among its partner's, with a probability of
+about 0.2 to the power of 8, 3e-6. All else is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sweep, materialize
+from .common import Scratch, bit_set, bit_sets, bits_at, bits_for, in_bits, materialize
 from .graph import components
 from .hashing import mix, shingle_set
 
@@ -43,14 +48,11 @@ from .hashing import mix, shingle_set
 K = 24
 #: Nodes up to which an inverted list gives its pairs.
 LIST_LIMIT = 32
-#: Settled lists of a node, with others in them, that make its links sure.
-SURE = 12
-#: Values that two linked classes have in common at least, unless their sets are equal: sets of up to
-#: four shingles must be equal, and of 24 retained values three or fewer are common with 1e-11.
-LEAST_LISTS = 4
 #: Nodes that a node is tried with first.
 STARS = 2
-#: Least values by which unsure nodes meet, and nodes of a part of such a list.
+#: Buckets in which the elements of unsure nodes are counted, and the counts that tell buckets apart.
+BUCKETS, COUNTS = 1 << 21, [2**i for i in range(1, 17)]
+#: Least values by which nodes meet in blocks, and nodes of a part of such a list.
 BLOCK_LISTS, PART = 8, 1000
 #: Least share of the union sketch that two sketches must have in common: about six standard
 #: deviations below what a similarity of 0.8 gives on 24 values.
@@ -85,7 +87,7 @@ def _sets(n: int, wanted: Broadcast):
         bits = wanted.value
         for batch in batches:
             at = batch.column("bit").to_numpy()
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(bits_at(bits, at)))
             sets = [shingle_set(t.as_py(), n) for t in batch.column("text").cast(pa.binary())]
             full = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.string()), full], ["print", "full"])
@@ -127,13 +129,69 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Data
     return pairs.join(a, "a").join(b, "b").where(fits).where(shared >= LEAST_SHARE * F.size(union)).select("a", "b")
 
 
-def _pairs_in_lists(members: DataFrame) -> DataFrame:
-    """a < b and n_lists: the pairs of the members (value, node, root, u) of each short list that aren't
-    of one component and not both unsure."""
-    lists = members.groupBy("value").agg(F.array_sort(F.collect_set(F.struct("node", "root", "u"))).alias("m"))
-    others = "filter(slice(m, i + 2, size(m)), y -> y.root <> x.root and not (x.u and y.u))"
-    each = F.expr(f"flatten(transform(m, (x, i) -> transform({others}, y -> struct(x.node as a, y.node as b))))")
-    return lists.select(F.explode(each).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n_lists"))
+def _need(sketch: Column) -> Column:
+    """Values that a sketch must have in common with that of a linked node, at least."""
+    return F.ceil(F.size(sketch) * LEAST_SHARE).cast("int")
+
+
+def _size_class(n_shingles: Column, percent: int) -> Column:
+    """Classes of sizes such that linked sets are of one class or of two neighbouring ones."""
+    return F.floor(F.log(n_shingles.cast("double")) / math.log(100.001 / percent)).cast("int")
+
+
+def _pairs_in_lists(members: DataFrame, percent: int) -> DataFrame:
+    """a < b and n_lists, need, room: the pairs of the members of each list (value, cls) that are across
+    components, aren't both unsure and whose sizes allow a link. In a list of a size class (cls 0 or
+    more) one of a pair must be of this class, so that a pair meets once by a value. ``room`` is the
+    number of values that they may share in open lists."""
+    held = F.array_sort(F.collect_set(F.struct("node", "root", "n_shingles", "c", "n_open", "need")))
+    lists = members.groupBy("value", "cls").agg(held.alias("m"))
+    fits = f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
+    other = f"y.root <> x.root and (cls < 0 or x.c = cls or y.c = cls) and (x.n_open < x.need or y.n_open < y.need) and {fits}"
+    pair = "struct(x.node as a, y.node as b, greatest(x.need, y.need) as need, least(x.n_open, y.n_open) as room)"
+    each = F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> {other}), y -> {pair})))")
+    pairs = lists.select(F.explode(each).alias("p")).select("p.*")
+    return pairs.groupBy("a", "b", "need", "room").agg(F.count("*").alias("n_lists"))
+
+
+_SLOT = 2654435761  # spreads size classes over the places of a bit set
+
+
+def _open_counts(bits: Broadcast, n_bits: int):
+    """node and n_open, the values of its sketch whose list of the node's size class is open."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = batch.column("sketch")
+            owner = np.repeat(np.arange(len(batch)), np.diff(sketch.offsets.to_numpy()))
+            value, c = sketch.flatten().to_numpy(), batch.column("c").to_numpy().astype(np.int64)[owner]
+            place = [(value & (n_bits - 1)) ^ (k * _SLOT & (n_bits - 1)) for k in (c, c + 1)]
+            hit = bits_at(bits.value, place[0]) | bits_at(bits.value, place[1])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.bincount(owner[hit], minlength=len(batch)).astype(np.int32))], ["node", "n_open"])
+
+    return run
+
+
+def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the buckets of elements occur in a batch of sets."""
+    for batch in batches:
+        at, n = np.unique(batch.column("full").flatten().to_numpy() & (BUCKETS - 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["p", "n"])
+
+
+def _rarest(levels: Broadcast, percent: int):
+    """The elements of each set that decide, less those that no other set has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, full, rare = batch.column("node").to_numpy(), batch.column("full"), []
+            at = full.offsets.to_numpy()
+            for i in range(len(batch)):
+                s = full.values[at[i] : at[i + 1]].to_numpy()
+                level = sum(bits_at(b, s & (BUCKETS - 1)).astype(np.int8) for b in levels.value)
+                first = np.lexsort((s, level))[: len(s) - -(-percent * len(s) // 100) + 1]
+                rare.append(s[first[level[first] > 0]])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(rare, pa.list_(pa.int64()))], ["node", "rare"])
+
+    return run
 
 
 def _block_links(percent: int):
@@ -182,14 +240,14 @@ def _block_links(percent: int):
 
 
 def _links_in_blocks(unsure: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among ``unsure`` nodes (node, n_shingles, sketch) that share one of their least values."""
+    """Links among nodes (node, n_shingles, sketch) that share one of their least values."""
     each = unsure.select("node", F.explode(F.slice("sketch", 1, BLOCK_LISTS)).alias("value"))
     crowd = each.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     k = F.ceil(F.col("n") / PART).cast("long")
     placed = each.join(crowd, "value").withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     placed = placed.select("node", "value", "c", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"))
-    full = placed.join(unsure.select("node", "n_shingles"), "node").join(sets, "node")
+    full = placed.join(unsure.select("node", "n_shingles"), "node").join(sets.select("node", "full"), "node")
     full = full.repartition("value", "ci", "cj").sortWithinPartitions("value", "ci", "cj")
     return full.mapInArrow(_block_links(percent), "a long, b long").where("a <> b")
 
@@ -205,19 +263,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
     with a null doc_id never are a component's id: where all ids of a component are null,
     component_id is null and kept true; an empty table gives an empty result.
     """
-    with Sweep() as sweep:
-        groups = sweep.keep(_grouped(docs, shingle, percent, k, list_limit), "groups")
+    with Scratch() as scratch:
+        groups = materialize(_grouped(scratch, docs, shingle, percent, k, list_limit), "groups")
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _grouped(docs: DataFrame, shingle: int, percent: int, k: int, list_limit: int) -> DataFrame:
+def _grouped(scratch: Scratch, docs: DataFrame, shingle: int, percent: int, k: int, list_limit: int) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.col("text"))
-    rows = materialize(keyed.mapInArrow(_sketches(shingle, k), "doc_id long, h long, n_shingles long, print string, sketch array<long>"), "sketches")
+    rows = scratch(keyed.mapInArrow(_sketches(shingle, k), "doc_id long, h long, n_shingles long, print string, sketch array<long>"), "sketches")
     folded = rows.where("print is not null").groupBy("print").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
     )
-    nodes = materialize(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = _linked(docs, nodes, shingle, percent, k, list_limit)
+    folded = folded.withColumns({"node": F.monotonically_increasing_id(), "c": _size_class(F.col("n_shingles"), percent)})
+    nodes = scratch(folded, "nodes")
+    roots = _linked(scratch, docs, nodes, shingle, percent, k, list_limit)
     named = nodes.select("print", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(ids, "root").select("print", "component_id")
@@ -226,72 +285,94 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, k: int, list_limit: in
     return out.select("doc_id", "h", "print", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, k: int, list_limit: int) -> DataFrame:
+def _linked(scratch: Scratch, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, k: int, list_limit: int) -> DataFrame:
     """node, root of every linked node."""
     entries = nodes.select("node", F.explode("sketch").alias("value"))
     lists = entries.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    held = materialize(entries.join(lists, "value"), "entries")
+    held = scratch(entries.join(lists, "value"), "entries")
     # each node is tried with the nodes that stand for most of its lists
     weight = held.groupBy("node").agg(F.sum("n").alias("w"))
     reps = held.join(weight, "node").groupBy("value").agg(F.max_by("node", F.struct("w", "node")).alias("rep"))
     star = held.join(reps, "value").where("rep <> node").groupBy("node", "rep").agg(F.count("*").alias("c")).where("c > 1")
     best = star.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "rep")), asc=False), 1, STARS).alias("t"))
     star = best.select("node", F.explode("t.rep").alias("rep")).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
-    star = materialize(_estimated(star, nodes, k, percent), "stars")
-    sets = _full_sets(docs, nodes, _ends(star), shingle)
-    links = materialize(_verified(star, sets, nodes, percent), "links")
-    roots = materialize(components(links), "roots")
-    # which lists are settled, and which nodes are unsure
-    at = materialize(held.join(roots, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root")), "members")
-    mixed = at.groupBy("value", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    mixed = materialize(mixed.select("value", "n"), "mixed")
-    open_ = at.join(mixed.where(F.col("n") > list_limit).select("value"), "value", "left_semi").groupBy("node").agg(F.count("*").alias("n_open"))
-    # a node is sure by settled lists that others are in, or if a partner can't lack all its settled values
-    lacking = F.floor(F.col("n_shingles") * (100 - percent) / 100)
-    shared = held.groupBy("node").agg(F.count("*").alias("n_held"))
-    unsure = nodes.join(open_, "node").join(shared, "node").where((F.col("n_held") - F.col("n_open") < SURE) & (F.size("sketch") - F.col("n_open") <= lacking))
-    unsure = materialize(unsure.select("node", "n_shingles", "sketch"), "unsure")
-    # pairs of short lists, across components, unless both are unsure
-    short = at.join(mixed.where(F.col("n") <= list_limit).select("value"), "value").select("value", "node", "root")
-    short = short.join(unsure.select("node", F.lit(True).alias("u")), "node", "left").withColumn("u", F.coalesce("u", F.lit(False)))
-    likely = _pairs_in_lists(short).join(open_.select(F.col("node").alias("a"), F.col("n_open").alias("oa")), "a", "left")
-    likely = likely.join(open_.select(F.col("node").alias("b"), F.col("n_open").alias("ob")), "b", "left")
-    by_open = F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
-    likely = likely.where(F.col("n_lists") + by_open >= LEAST_LISTS).select("a", "b")
-    pairs = materialize(_estimated(likely, nodes, k, percent), "pairs")
-    wanted = _ends(pairs).unionByName(unsure.select("node")).distinct()
+    star = scratch(_estimated(star, nodes, k, percent), "stars")
+    sets = _full_sets(scratch, docs, nodes, _ends(star), shingle)
+    links = scratch(_verified(star, sets, nodes, percent), "links")
+    scratch.done("stars", "sets")
+    roots = scratch(components(links, scratch, "first"), "roots")
+    # pairs across components: of short lists, and of parts of long ones by size classes
+    known = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_shingles", "c", "sketch")
+    known = scratch(known, "known")
+    wide = held.where(F.col("n") > list_limit).select("value", "node").join(known.select("node", "root", "c"), "node")
+    wide = wide.select("value", "root", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("cls"))
+    parts = wide.groupBy("value", "cls").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    parts = scratch(parts.where("lo <> hi").select("value", "cls", "n"), "parts")
+    crowd = parts.where(F.col("n") > list_limit)
+    n_bits = bits_for(crowd.count())
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(crowd.select(F.expr(f"(value & {n_bits - 1}L) ^ ((cls * {_SLOT}L) & {n_bits - 1}L)").alias("p")), n_bits))
+    counted = known.select("node", "c", "sketch").mapInArrow(_open_counts(bits, n_bits), "node long, n_open int")
+    status = scratch(known.join(counted, "node").select("node", "root", "n_shingles", "c", "n_open", _need(F.col("sketch")).alias("need")), "status")
+    unsure = scratch(status.where("n_open >= need").join(known.select("node", "sketch"), "node"), "unsure")
+    at = held.join(status, "node")
+    short = at.where(F.col("n") <= list_limit).withColumn("cls", F.lit(-1)).drop("n")
+    split = at.where(F.col("n") > list_limit).drop("n").withColumn("cls", F.explode(F.array(F.col("c"), F.col("c") + 1)))
+    split = split.join(parts.where(F.col("n") <= list_limit).select("value", "cls"), ["value", "cls"])
+    pairs = _pairs_in_lists(short, percent).unionByName(_pairs_in_lists(split, percent)).groupBy("a", "b", "need", "room").agg(F.sum("n_lists").alias("n_lists"))
+    pairs = scratch(_estimated(pairs.where("n_lists + room >= need").select("a", "b"), nodes, k, percent), "pairs")
+    scratch.done("entries", "parts", "status", "known")
+    wanted = _ends(pairs).withColumn("unsure", F.lit(False)).unionByName(unsure.select("node", F.lit(True).alias("unsure")))
+    wanted = wanted.groupBy("node").agg(F.max("unsure").alias("unsure"))
     if wanted.isEmpty():
         return roots
-    sets = _full_sets(docs, nodes, wanted, shingle)
+    sets = _full_sets(scratch, docs, nodes, wanted, shingle)
     found = _verified(pairs, sets, nodes, percent)
     if not unsure.isEmpty():
-        found = found.unionByName(_links_in_blocks(unsure, sets, percent))
-    return components(links.unionByName(found))
+        found = found.unionByName(_unsure_links(scratch, unsure, nodes, sets, percent, k, list_limit))
+    found = scratch(links.unionByName(found), "found")
+    scratch.done("links", "pairs", "sets", "met", "crowded", "rare", "unsure")
+    return components(found, scratch)
+
+
+def _unsure_links(scratch: Scratch, unsure: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, k: int, list_limit: int) -> DataFrame:
+    """Links across components among ``unsure`` nodes, by the rarest elements of their full sets."""
+    own = sets.where("unsure")
+    buckets = own.select("full").mapInArrow(_bucketed, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1")
+    levels = bit_sets(buckets, BUCKETS, [f"n >= {t}" for t in COUNTS])  # 4 MB in all
+    levels = unsure.sparkSession.sparkContext.broadcast(levels)
+    rare = own.select("node", "full").mapInArrow(_rarest(levels, percent), "node long, rare array<long>")
+    rare = rare.select("node", F.explode("rare").alias("value")).join(unsure.select("node", "root", "n_shingles", "c"), "node")
+    rare = scratch(rare.withColumn("cls", F.explode(F.array(F.col("c"), F.col("c") + 1))), "rare")
+    lists = rare.groupBy("value", "cls").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    lists = scratch(lists.select("value", "cls", "n"), "lists")
+    short = rare.join(lists.where(F.col("n") <= list_limit).select("value", "cls"), ["value", "cls"])
+    met = _pairs_in_lists(short.withColumns({"n_open": F.lit(0), "need": F.lit(1)}), percent).select("a", "b")
+    met = scratch(_estimated(met, nodes, k, percent), "met")
+    crowded = rare.join(lists.where(F.col("n") > list_limit).select("value", "cls"), ["value", "cls"], "left_semi").select("node").distinct()
+    crowded = scratch(unsure.join(crowded, "node", "left_semi").select("node", "n_shingles", "sketch"), "crowded")
+    scratch.done("lists", "rare")
+    found = _verified(met, sets, nodes, percent)
+    return found if crowded.isEmpty() else found.unionByName(_links_in_blocks(crowded, sets, percent))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node and full set of the wanted nodes, each made from the text of one of its documents.
+def _full_sets(scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``wanted`` (node and more) with the full set of each node, made from the text of one of its documents.
 
     Texts are not shuffled: a bit for each hash of a wanted doc_id, 16 MB of bits at most, tells
     which texts to hash, and their sets meet the nodes by the set's print, so that a text that
     shares its bit by chance costs time, but no wrong row.
     """
-    ids = materialize(nodes.join(wanted, "node").select("node", "print", "least"), "wanted")
-    n_bits = 1 << min(27, max(15, (8 * ids.count()).bit_length()))
+    ids = scratch(nodes.select("node", "print", "least").join(wanted, "node"), "wanted")
+    n_bits = bits_for(ids.count())
     place = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(-(1 << 63)))), F.lit(n_bits))
-    ones = ids.select((place(F.col("least")) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    bits = np.zeros(n_bits // 8 + 4096, np.uint8)
-    for r in ones.collect():  # n_bits / 8 bytes at most
-        start = (r["b"] - 1) * 4096
-        bits[start : start + 4096] |= np.frombuffer(bytes(r["m"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(ids.select(place(F.col("least")).alias("p")), n_bits))
     texts = docs.where("text is not null").select(place(F.col("doc_id").cast("long")).alias("bit"), "text")
-    made = texts.mapInArrow(_sets(shingle, shared), "print string, full array<long>").join(ids.select("print", "node"), "print")
-    return materialize(made.groupBy("print", "node").agg(F.first("full").alias("full")).select("node", "full"), "sets")
+    made = texts.mapInArrow(_sets(shingle, bits), "print string, full array<long>").join(ids.drop("least"), "print")
+    return scratch(made.groupBy("print", *wanted.columns).agg(F.first("full").alias("full")).drop("print"), "sets")
 
 
 def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -299,24 +380,28 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> Dat
     least doc_id (of several texts with this id, that of the least hash; of equal rows, one).
 
     Rows without a set (null, empty or blank texts) and rows with a null doc_id whose component has
-    no id all stay.
+    no id all stay; an empty table gives an empty result. Rows that stay for certain, by a bit for each
+    (doc_id, hash) that goes or repeats, are passed on as they are; only the texts of the others meet
+    the exact list of what goes.
     """
     names = docs.columns
     plain = docs.toDF(*(c if c in ("doc_id", "text") else f"__{i}" for i, c in enumerate(names)))
-    with Sweep() as sweep:
-        groups = sweep.keep(_grouped(plain, shingle, percent, K, LIST_LIMIT), "groups")
-    chosen = groups.where("kept and doc_id is not null and print is not null")
-    chosen = chosen.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
-    chosen = chosen.join(groups.groupBy("doc_id", "h").agg(F.count("*").alias("n")), ["doc_id", "h"])
-    chosen = materialize(chosen.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "n"), "chosen")
-    keyed = plain.withColumns({"__d": F.col("doc_id").cast("long"), "__h": F.xxhash64("text")})
-    out = keyed.join(chosen.where("n = 1"), ["__d", "__h"], "left_semi")
-    repeated = chosen.where("n > 1")
+    with Scratch() as scratch:
+        groups = scratch(_grouped(scratch, plain.select("doc_id", "text"), shingle, percent, K, LIST_LIMIT), "groups")
+        groups = groups.withColumn("free", F.col("kept") & (F.col("doc_id").isNull() | F.col("print").isNull()))
+        each = groups.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.first("free").alias("free"), F.first("kept").alias("kept"), F.first("component_id").alias("component_id"))
+        first = each.where("kept and not free").groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k"))
+        each = each.join(first.select("k.doc_id", "k.h", F.lit(True).alias("first")), ["doc_id", "h"], "left")
+        each = each.withColumn("stays", F.col("free") | F.coalesce("first", F.lit(False)))
+        doubtful = each.where("not stays or (n > 1 and not free)").select(F.col("doc_id").alias("d"), F.col("h").alias("t"), "stays")
+        doubtful = materialize(doubtful, "doubtful")
+    n_bits = bits_for(doubtful.count())
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n_bits))
+    seen = in_bits(bit_set(doubtful.select(place("d", "t").alias("p")), n_bits), docs.sparkSession)
+    keyed = plain.withColumns({"__d": F.col("doc_id").cast("long"), "__h": F.xxhash64("text")}).withColumn("__seen", seen(place("__d", "__h")))
+    rest, same = keyed.where("__seen"), F.col("__d").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("t"))
+    out = keyed.where("not __seen").unionByName(rest.join(doubtful, same, "left_anti"))
+    repeated = doubtful.where("stays")
     if not repeated.isEmpty():
-        out = out.unionByName(keyed.join(repeated, ["__d", "__h"], "left_semi").dropDuplicates(["__d", "__h"]))
-    free = groups.where("kept and (doc_id is null or print is null)").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    if not free.isEmpty():
-        free = free.select(F.coalesce("__d", F.lit(-(1 << 63))).alias("__e"), "__h")
-        rest = keyed.withColumn("__e", F.coalesce("__d", F.lit(-(1 << 63)))).join(free, ["__e", "__h"], "left_semi")
-        out = out.unionByName(rest.drop("__e"))
-    return out.drop("__d", "__h").toDF(*names)
+        out = out.unionByName(rest.join(repeated, same, "left_semi").dropDuplicates(["__d", "__h"]))
+    return out.drop("__d", "__h", "__seen").toDF(*names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Sweep, materialize
+from .common import Scratch, materialize
 from .hashing import _power_tables, mix, word_spans
 
 #: Words that a paragraph holds at least. A passage of twice as many words is always found.

@@ -4,15 +4,17 @@ import numpy as np
 import pytest
 
 from tempora.llm import chat, embedding_dedup, html_text, url_filter
+from tempora.llm.common import Scratch
 from tempora.llm.graph import components
 from tempora.llm.queries import op3_chat_format
 
 
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 30)] + [(5, 5), (None, 3), (40, 41), (41, 40)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 100 for i in range(100, 161)} | {i: 1 for i in range(1, 30)} | {40: 40, 41: 40}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with Scratch() as scratch:
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+        assert got == {i: 100 for i in range(100, 161)} | {i: 1 for i in range(1, 30)} | {40: 40, 41: 40}
+        assert components(spark.createDataFrame([], "a long, b long"), scratch, "none").count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>

@@ -85,29 +85,24 @@ class Scratch:
         self.done(*self.tables)
 
 
-def bit_sets(places: DataFrame, n_bits: int, conditions: list[str]) -> list[np.ndarray]:
-    """For each condition one bit for each of the ``n_bits`` places (column p, from 0) that occurs with
-    it, packed by eight; ``n_bits / 8`` bytes a condition reach the driver at most."""
-    ones = places.withColumn("__p", F.col("p") + 1).groupBy(F.bitmap_bucket_number("__p").alias("b"))
-    out = [np.zeros(n_bits // 8 + 4096, np.uint8) for _ in conditions]
-    for r in ones.agg(*(F.expr(f"bitmap_construct_agg(bitmap_bit_position(__p)) filter (where {c})") for c in conditions)).collect():
-        start = (r[0] - 1) * 4096
-        for bits, m in zip(out, r[1:], strict=True):
-            bits[start : start + 4096] |= np.frombuffer(bytes(m), np.uint8)
-    return out
-
-
 def bit_set(places: DataFrame, n_bits: int) -> np.ndarray:
-    return bit_sets(places, n_bits, ["true"])[0]
+    """One bit for each of the ``n_bits`` places (column p, from 0) that occurs, packed by eight;
+    ``n_bits / 8`` bytes reach the driver at most."""
+    ones = places.select((F.col("p") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
+    bits = np.zeros(n_bits // 8 + 4096, np.uint8)
+    for r in ones.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect():
+        start = (r["b"] - 1) * 4096
+        bits[start : start + 4096] |= np.frombuffer(bytes(r["m"]), np.uint8)
+    return bits
 
 
 def bits_at(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
 
 
-def bits_for(n: int) -> int:
-    """Places of a bit set for ``n`` members: 8 to 16 for each, 2**27 at most (16 MB)."""
-    return 1 << min(27, max(15, (8 * n).bit_length()))
+def bits_for(n: int, each: int = 32) -> int:
+    """Places of a bit set for ``n`` members: ``each`` to twice as many for each, 2**27 at most (16 MB)."""
+    return 1 << min(27, max(15, (each * n).bit_length()))
 
 
 def in_bits(bits: np.ndarray, spark: SparkSession) -> Callable[[Column], Column]:

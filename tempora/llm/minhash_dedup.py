@@ -17,11 +17,12 @@ How it stays linear and whole under skew:
 * a pair must have ``LEAST_SHARE`` of the union sketch in common. So a node with fewer values in open
   lists than that shares a list that gives pairs with each partner it has. The others are *unsure*;
 * unsure nodes meet by their full sets, of which the rarest fifth decides: two sets with 80 % in
-  common share one of the rarest elements of either, whatever the order, if it is one for all. Rarity
-  is counted in buckets of hashes, so that no element is shuffled. Lists of these elements give their
-  pairs as above, and nodes in open ones meet in blocks: the nodes of a sketch value's list, in
-  parts of bounded size, meet in a task, which counts the common elements of full sets by matrix
-  products and gives no pairs but a spanning set of links.
+  common share one of the rarest elements of either, whatever the order, if it is one for all. Elements
+  are counted, and bit sets of those in 2, 4, ... nodes tell each task their rarity, where a bit shared
+  by chance changes the order for all sets alike. Lists of these elements give their pairs as above, and
+  nodes in open ones meet in blocks: the nodes of a sketch value's list, in parts of bounded size,
+  meet in a task, which counts the common elements of full sets by matrix products and gives no pairs
+  but a spanning set of links.
 
 A linked pair is missed where fewer than :data:`LEAST_SHARE` of its union sketch are in common, with a
 probability of about 1e-7 for 24 values at a similarity of 0.8; or where it only meets in blocks and
@@ -40,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_set, bit_sets, bits_at, bits_for, in_bits, materialize
+from .common import Scratch, bit_set, bits_at, bits_for, in_bits, materialize
 from .graph import components
 from .hashing import mix, shingle_set
 
@@ -50,8 +51,8 @@ K = 24
 LIST_LIMIT = 32
 #: Nodes that a node is tried with first.
 STARS = 2
-#: Buckets in which the elements of unsure nodes are counted, and the counts that tell buckets apart.
-BUCKETS, COUNTS = 1 << 21, [2**i for i in range(1, 17)]
+#: Numbers of unsure nodes that tell the rarity of an element.
+LEVELS = (2, 4, 8, 16, 64, 256)
 #: Least values by which nodes meet in blocks, and nodes of a part of such a list.
 BLOCK_LISTS, PART = 8, 1000
 #: Least share of the union sketch that two sketches must have in common: about six standard
@@ -171,11 +172,11 @@ def _open_counts(bits: Broadcast, n_bits: int):
     return run
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often the buckets of elements occur in a batch of sets."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the elements occur in the sets of a batch."""
     for batch in batches:
-        at, n = np.unique(batch.column("full").flatten().to_numpy() & (BUCKETS - 1), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["p", "n"])
+        value, n = np.unique(batch.column("full").flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["value", "n"])
 
 
 def _rarest(levels: Broadcast, percent: int):
@@ -186,7 +187,7 @@ def _rarest(levels: Broadcast, percent: int):
             at = full.offsets.to_numpy()
             for i in range(len(batch)):
                 s = full.values[at[i] : at[i + 1]].to_numpy()
-                level = sum(bits_at(b, s & (BUCKETS - 1)).astype(np.int8) for b in levels.value)
+                level = sum(bits_at(b, s & (8 * (len(b) - 4096) - 1)).astype(np.int8) for b in levels.value)
                 first = np.lexsort((s, level))[: len(s) - -(-percent * len(s) // 100) + 1]
                 rare.append(s[first[level[first] > 0]])
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(rare, pa.list_(pa.int64()))], ["node", "rare"])
@@ -309,7 +310,7 @@ def _linked(scratch: Scratch, docs: DataFrame, nodes: DataFrame, shingle: int, p
     parts = wide.groupBy("value", "cls").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     parts = scratch(parts.where("lo <> hi").select("value", "cls", "n"), "parts")
     crowd = parts.where(F.col("n") > list_limit)
-    n_bits = bits_for(crowd.count())
+    n_bits = bits_for(crowd.count(), 512)  # a bit set by chance makes a node unsure for nothing
     bits = docs.sparkSession.sparkContext.broadcast(bit_set(crowd.select(F.expr(f"(value & {n_bits - 1}L) ^ ((cls * {_SLOT}L) & {n_bits - 1}L)").alias("p")), n_bits))
     counted = known.select("node", "c", "sketch").mapInArrow(_open_counts(bits, n_bits), "node long, n_open int")
     status = scratch(known.join(counted, "node").select("node", "root", "n_shingles", "c", "n_open", _need(F.col("sketch")).alias("need")), "status")
@@ -326,19 +327,27 @@ def _linked(scratch: Scratch, docs: DataFrame, nodes: DataFrame, shingle: int, p
     if wanted.isEmpty():
         return roots
     sets = _full_sets(scratch, docs, nodes, wanted, shingle)
-    found = _verified(pairs, sets, nodes, percent)
-    if not unsure.isEmpty():
-        found = found.unionByName(_unsure_links(scratch, unsure, nodes, sets, percent, k, list_limit))
-    found = scratch(links.unionByName(found), "found")
-    scratch.done("links", "pairs", "sets", "met", "crowded", "rare", "unsure")
+    if unsure.isEmpty():
+        found = links.unionByName(_verified(pairs, sets, nodes, percent))
+    else:
+        met, crowded = _unsure_pairs(scratch, unsure, nodes, sets, percent, k, list_limit)
+        found = links.unionByName(_verified(pairs.unionByName(met).distinct(), sets, nodes, percent))
+        if not crowded.isEmpty():
+            found = found.unionByName(_links_in_blocks(crowded, sets, percent))
+    found = scratch(found, "found")
+    scratch.done("links", "pairs", "sets", "met", "crowded", "unsure")
     return components(found, scratch)
 
 
-def _unsure_links(scratch: Scratch, unsure: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, k: int, list_limit: int) -> DataFrame:
-    """Links across components among ``unsure`` nodes, by the rarest elements of their full sets."""
+def _unsure_pairs(scratch: Scratch, unsure: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, k: int, list_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs across components of ``unsure`` nodes that share one of the rarest elements of their full
+    sets, by the estimate; and the nodes in open lists of such elements, which are to meet in blocks."""
     own = sets.where("unsure")
-    buckets = own.select("full").mapInArrow(_bucketed, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1")
-    levels = bit_sets(buckets, BUCKETS, [f"n >= {t}" for t in COUNTS])  # 4 MB in all
+    often = own.select("full").mapInArrow(_counted, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where("n > 1")
+    often = scratch(often, "often")
+    sizes = [min(1 << 26, bits_for(n)) for n in often.agg(*(F.count_if(F.col("n") >= t) for t in LEVELS)).first()]  # 48 MB of bits at most
+    levels = [bit_set(often.where(F.col("n") >= t).select(F.col("value").bitwiseAND(m - 1).alias("p")), m) for t, m in zip(LEVELS, sizes, strict=True)]
+    scratch.done("often")
     levels = unsure.sparkSession.sparkContext.broadcast(levels)
     rare = own.select("node", "full").mapInArrow(_rarest(levels, percent), "node long, rare array<long>")
     rare = rare.select("node", F.explode("rare").alias("value")).join(unsure.select("node", "root", "n_shingles", "c"), "node")
@@ -351,8 +360,7 @@ def _unsure_links(scratch: Scratch, unsure: DataFrame, nodes: DataFrame, sets: D
     crowded = rare.join(lists.where(F.col("n") > list_limit).select("value", "cls"), ["value", "cls"], "left_semi").select("node").distinct()
     crowded = scratch(unsure.join(crowded, "node", "left_semi").select("node", "n_shingles", "sketch"), "crowded")
     scratch.done("lists", "rare")
-    found = _verified(met, sets, nodes, percent)
-    return found if crowded.isEmpty() else found.unionByName(_links_in_blocks(crowded, sets, percent))
+    return met, crowded
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

@@ -1,15 +1,15 @@
-"""Repeated passages removed by hashing paragraphs, of sentences and cut by content.
-
-A text falls into units: a unit starts at a line's start, after a word that ends in ``.``, ``!`` or
-``?``, and at a capitalised word. From the start of each unit, and back from its end, a paragraph runs
-over as few whole units as hold ``min_words`` words. Of the sequences of exactly ``min_words`` words
-those are paragraphs too whose hash is the least among ``REACH`` neighbouring ones (winnowing). That
-depends on nothing but these words, so that of a repeated passage of ``min_words + REACH - 1`` words
-or more the same ones are taken wherever it starts and ends, whatever its case and punctuation.
-Paragraphs are normalised (A to Z lower-cased, white space folded) and hashed; digests are grouped
-over the whole corpus, the earliest ranked occurrence stays and the rest goes, as spans of
-characters of the original text. Of a passage fewer than ``REACH`` words at either end may stay,
-where no unit starts or ends there.
+"""Repeated passages removed by hashing paragraphs that are cut by content.
+
+A paragraph is a sequence of ``min_words`` words whose hash is the least among ``REACH`` neighbouring
+sequences (winnowing). That depends on nothing but these words, so that of a repeated passage of
+``min_words + REACH - 1`` words or more one paragraph at least is taken wherever the passage starts and
+ends, whatever its case and punctuation. Paragraphs are normalised (A to Z lower-cased, white space
+folded) and hashed to 128 bits; digests are grouped over the whole corpus, the earliest ranked
+occurrence stays and the rest goes, as spans of characters of the original text.
+
+Neighbouring paragraphs of a text overlap or touch, so a run of repeated ones is one span. Its two
+ends are then moved word by word as far as the words are those around the kept occurrence, by up to
+``REACH - 1`` words, which is to where the passage really starts and ends.
 """
 
 from __future__ import annotations
@@ -18,17 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import Scratch, materialize
+from .common import Scratch, bit_set, bits_at, bits_for, in_bits, materialize
 from .hashing import _power_tables, mix, word_spans
 
-#: Words that a paragraph holds at least. A passage of twice as many words is always found.
+#: Words of a paragraph.
 MIN_WORDS = 25
-#: Of so many neighbouring sequences of ``MIN_WORDS`` words one at least is a paragraph.
-REACH = 13
+#: Of so many neighbouring sequences of words one at least is a paragraph; ``MIN_WORDS`` at most, so
+#: that neighbouring paragraphs leave no gap.
+REACH = 25
 SPANS = "array<struct<start:int,end:int>>"
+MATCHES = "array<struct<at:int,clip:int,left:binary,right:binary>>"
 
 
 def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,92 +63,141 @@ def winnowed(hashes: np.ndarray, reach: int) -> np.ndarray:
     return np.flatnonzero(_over(least, reach, np.maximum) == hashes)
 
 
-def paragraphs(text: bytes | None, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, first character and end character of each paragraph of a text."""
-    none = np.empty(0, np.int64)
-    if not text:
-        return none, none, none
-    words, start, end = _words(text)
+def paragraphs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two digests and the first word's place of each paragraph of a text's word hashes."""
     n = len(words)
     if n < min_words:
-        return none, none, none
-    raw = np.frombuffer(text, np.uint8)
-    lines = np.r_[0, np.cumsum(raw == 10)]
-    first, last = raw[start], raw[end - 1]
-    second = raw[np.minimum(start + 1, len(raw) - 1)]
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    opens = capital.copy()
-    opens[0] = True
-    opens[1:] |= (lines[start[1:]] > lines[start[:-1]]) | np.isin(last[:-1], (33, 46, 63))
-    edges = np.r_[np.flatnonzero(opens), n]
-    # whole units from each edge on, and back from each edge: the former find a passage's start, the latter its end
-    upto = np.searchsorted(edges, edges[:-1] + min_words)
-    on = upto < len(edges)
-    back = edges[edges >= min_words]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     power, inverse = _power_tables(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * power[:n], out=total[1:])
-    cut = winnowed(mix((total[min_words:] - total[:-min_words]) * inverse[: n - min_words + 1] + np.uint64(min_words)), REACH)
-    a = np.r_[edges[:-1][on], edges[np.searchsorted(edges, back - min_words, "right") - 1], cut]
-    b = np.r_[edges[upto[on]], back, cut + min_words]
-    a, b = np.divmod(np.unique(a * (n + 1) + b), n + 1)
-    digest = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-    chars = np.cumsum((raw & 0xC0) != 0x80)
-    return digest.view(np.int64), chars[start[a]] - 1, chars[end[b - 1] - 1]
+    both = []
+    for w in (words, mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5))):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(w * power[:n], out=total[1:])
+        both.append(mix((total[min_words:] - total[:-min_words]) * inverse[: n - min_words + 1] + np.uint64(min_words)))
+    at = winnowed(both[0], min(REACH, min_words))
+    return both[0][at].view(np.int64), both[1][at].view(np.int64), at
 
 
 def _paragraph_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            parts, rows, held = [], [], 0
-            for i, text in enumerate(batch.column(2).cast(pa.binary())):
-                found = paragraphs(text.as_py(), min_words)
-                if len(found[0]):
-                    parts.append(found)
-                    rows.append(np.full(len(found[0]), i))
-                    held += len(found[0])
-                if parts and (held > 50_000 or i == len(batch) - 1):
-                    digest, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    at = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(docs[at]), pa.array(hashes[at]), pa.array(a << 32 | b)], ["digest", "doc", "h", "span"])
-                    parts, rows, held = [], [], 0
-            if parts:
-                digest, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-                at = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(docs[at]), pa.array(hashes[at]), pa.array(a << 32 | b)], ["digest", "doc", "h", "span"])
+            doc, h, text = (batch.column(x) for x in ("doc", "h", "text"))
+            found = [paragraphs(_words(t.as_py())[0], min_words) for t in text.cast(pa.binary())]
+            n = np.array([len(f[0]) for f in found], np.int64)
+            for a in range(0, len(n), 256):  # texts of a batch of rows
+                part, m = found[a : a + 256], n[a : a + 256]
+                row = pa.array(np.repeat(np.arange(a, a + len(m)), m))
+                d1, d2, at = (np.concatenate(x) for x in zip(*part, strict=True))
+                i = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), doc.take(row), h.take(row), pa.array(i.astype(np.int32)), pa.array(at.astype(np.int32))], ["d1", "d2", "doc", "h", "i", "at"])
+
+    return run
+
+
+def _context_rows(min_words: int, docs: Broadcast, digests: Broadcast):
+    """The paragraphs whose bits are set, with the words around them as 32-bit hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_bits = 8 * (len(digests.value) - 4096)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits_at(docs.value, batch.column("bit").to_numpy())))
+            for row in range(len(batch)):
+                words = _words(batch.column("text")[row].as_py().encode())[0]
+                d1, d2, at = paragraphs(words, min_words)
+                pick = np.flatnonzero(bits_at(digests.value, d1 & (n_bits - 1)))
+                if not len(pick):
+                    continue
+                small = words.astype(np.uint32)
+                left = [small[max(0, k - REACH + 1) : k].tobytes() for k in at[pick]]
+                right = [small[k + min_words : k + min_words + REACH - 1].tobytes() for k in at[pick]]
+                own = pa.array(np.full(len(pick), row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d1[pick]), pa.array(d2[pick]), batch.column("doc").take(own), batch.column("h").take(own), pa.array(at[pick].astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                    ["d1", "d2", "doc", "h", "at", "left", "right"],
+                )
 
     return run
 
 
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two sequences have in common from their start on."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _spans_of(min_words: int):
+    """Spans of characters to remove from a text, by its matches."""
+    kind = to_arrow_type(_parse_datatype_string(SPANS))
+
+    def spans(text: bytes, matches: list[dict]) -> list[dict]:
+        words, start, end = _words(text)
+        small, runs = words.astype(np.uint32), []
+        for m in matches:
+            a, b = m["at"], m["at"] + min_words
+            if m["left"]:
+                a -= _same(small[:a][::-1], np.frombuffer(m["left"], np.uint32)[::-1])
+            if m["right"]:
+                b += _same(small[b:], np.frombuffer(m["right"], np.uint32))
+            runs.append((max(a, m["clip"]), b))
+        merged: list[list[int]] = []
+        for a, b in sorted(r for r in runs if r[0] < r[1]):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        chars = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+        return [{"start": int(chars[start[a]]) - 1, "end": int(chars[end[b - 1] - 1])} for a, b in merged]
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, matches in batches:
+            each = zip(text.cast(pa.binary()), matches, strict=True)
+            yield pa.array([spans(t.as_py(), m.as_py()) if m.is_valid and t.is_valid else None for t, m in each], kind)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, SPANS)
+
+
 def _key() -> tuple[Column, Column]:
     """What names a document: its doc_id (null last) and its text's hash, as ids may repeat."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64("text")
 
 
-def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, h (see :func:`_key`) and the merged spans [start, end) to remove, for the texts that have any.
+def repeated(scratch: Scratch, docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, h (see :func:`_key`) and matches of the texts that hold a paragraph again.
 
-    The earliest occurrence by doc_id, then position, is kept. An occurrence that overlaps the kept
-    one in its own text gives up only what follows it. One task holds the spans of one text at most.
+    The earliest occurrence of a paragraph by doc_id, then place, is kept. An occurrence that overlaps
+    the kept one in its own text gives up only what follows it (``clip``). A match has the kept
+    occurrence's words around it where it is the first or last of a run of paragraphs that one text
+    has kept. One task holds the matches of one text at most.
     """
     doc, h = _key()
-    found = docs.where("text is not null").select(doc.alias("doc"), h.alias("h"), "text")
-    found = materialize(found.mapInArrow(_paragraph_rows(min_words), "digest long, doc long, h long, span long"), "paragraphs")
+    texts = docs.where("text is not null").select(doc.alias("doc"), h.alias("h"), "text")
+    key = ["d1", "d2"]
+    found = scratch(texts.mapInArrow(_paragraph_rows(min_words), "d1 long, d2 long, doc long, h long, i int, at int"), "paragraphs")
     # written, so that the joins on them have exchanges of their own, which Spark can split at a hot digest
-    often = materialize(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "often")
-    copies = materialize(found.join(often, "digest", "left_semi"), "copies")
-    kept = materialize(copies.groupBy("digest").agg(F.min(F.struct("doc", "h", "span")).alias("kept")), "kept")
-    again = copies.join(kept, "digest").where("struct(doc, h, span) <> kept")
+    often = scratch(found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "often")
+    copies = scratch(found.join(often, key, "left_semi"), "copies")
+    scratch.done("paragraphs", "often")
+    kept = scratch(copies.groupBy(*key).agg(F.min(F.struct("doc", "h", "at")).alias("kept")), "kept")
+    again = copies.join(kept, key).where("struct(doc, h, at) <> kept")
     own = (F.col("doc") == F.col("kept.doc")) & (F.col("h") == F.col("kept.h"))
-    start, end = F.shiftright("span", 32), F.col("span").bitwiseAND(0xFFFFFFFF)
-    start = F.when(own, F.greatest(start, F.col("kept.span").bitwiseAND(0xFFFFFFFF))).otherwise(start)
-    spans = again.select("doc", "h", start.alias("start"), end.alias("end")).where("start < end").groupBy("doc", "h", "start").agg(F.max("end").alias("end"))
-    order = Window.partitionBy("doc", "h").orderBy("start")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int")).withColumn("island", F.sum("new").over(order))
-    merged = islands.groupBy("doc", "h", "island").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"))
-    return merged.groupBy("doc", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    again = again.select(*key, "doc", "h", "i", "at", F.when(own, F.col("kept.at") + min_words).otherwise(0).alias("clip"), F.struct("kept.doc", "kept.h").alias("of"))
+    run = Window.partitionBy("doc", "h").orderBy("i")  # within one text
+    goes_on = lambda other, step: F.coalesce((other("i").over(run) == F.col("i") + step) & (other("of").over(run) == F.col("of")), F.lit(False))
+    again = scratch(again.withColumns({"first": ~goes_on(F.lag, -1), "last": ~goes_on(F.lead, 1)}).drop("of"), "again")
+    scratch.done("copies")
+    edges = again.where("first or last")
+    wanted = kept.join(edges.select(*key).distinct(), key).select(*key, "kept.*")
+    wanted = scratch(wanted, "wanted")
+    spark, n_bits = docs.sparkSession, bits_for(wanted.count())
+    place = F.pmod(F.xxhash64("doc", "h"), F.lit(n_bits))
+    in_docs, in_digests = (spark.sparkContext.broadcast(bit_set(wanted.select(p.alias("p")), n_bits)) for p in (place, F.col("d1").bitwiseAND(n_bits - 1)))
+    around = texts.select("doc", "h", "text", place.alias("bit")).mapInArrow(_context_rows(min_words, in_docs, in_digests), "d1 long, d2 long, doc long, h long, at int, left binary, right binary")
+    around = around.join(wanted, [*key, "doc", "h", "at"], "left_semi").dropDuplicates(key).select(*key, "left", "right")
+    edges = edges.join(scratch(around, "around"), key)
+    at_edges = edges.select("doc", "h", "at", "clip", F.when(F.col("first"), F.col("left")).alias("left"), F.when(F.col("last"), F.col("right")).alias("right"))
+    inner = again.where("not (first or last)").select("doc", "h", "at", "clip", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"))
+    return at_edges.unionByName(inner).groupBy("doc", "h").agg(F.collect_list(F.struct("at", "clip", "left", "right")).alias("matches"))
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -159,17 +213,23 @@ def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, details: bool =
     With ``details``, also spans (of the original text), removed_chars and original_chars. Every row
     stays. Defined cases: a null text stays null; an empty text, or one of fewer words than
     ``min_words``, stays as it is; a text of ``min_words`` or more that repeats as a whole becomes empty in all
-    but the first document; repeated lines below ``min_words`` stay; rows that repeat doc_id and text are one document and get the same result; a null
-    doc_id ranks last; other columns, whatever their names, stay.
+    but the first document (white space at its ends stays); repeated passages below ``min_words`` stay; rows that repeat doc_id and text are one document and get the same result; a null
+    doc_id ranks last; other columns, whatever their names, stay; an empty table gives an empty result.
+
+    Texts without a repeated passage are passed on where they are; only the others meet their matches.
     """
     names = docs.columns
     doc, h = _key()
-    with Sweep() as sweep:
-        spans = sweep.keep(repeated_spans(docs.select("doc_id", "text"), min_words=min_words), "spans")
+    with Scratch() as scratch:
+        matches = materialize(repeated(scratch, docs.select("doc_id", "text"), min_words=min_words), "matches")
+    n_bits = bits_for(matches.count())
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n_bits))
+    seen = in_bits(bit_set(matches.select(place("doc", "h").alias("p")), n_bits), docs.sparkSession)
     plain = docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"__{i}" for i, c in enumerate(names)))
-    joined = plain.withColumns({"__doc": doc, "__h": h}).join(
-        spans.select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("spans").alias("__spans")), ["__doc", "__h"], "left"
-    )
+    keyed = plain.withColumns({"__doc": doc, "__h": h}).withColumn("__seen", seen(place("__doc", "__h")))
+    matched = keyed.where("__seen").join(matches.toDF("__doc", "__h", "__matches"), ["__doc", "__h"], "left")
+    matched = matched.withColumn("__spans", _spans_of(min_words)("text", "__matches")).drop("__matches")
+    joined = keyed.where("not __seen").withColumn("__spans", F.lit(None).cast(SPANS)).unionByName(matched)
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("__spans")))
     out = joined.withColumns({"__original": F.length("text").cast("long"), "text": text})
     if "n_chars" in names:

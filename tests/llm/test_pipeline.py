@@ -1,12 +1,11 @@
 """Each stage of the pipeline against plain Python, on what the stage before it kept."""
 
 import re
-from collections import defaultdict
 
 import corpus_pipeline
-from tempora.llm import quality
+from test_documents import removal_is_right
+from tempora.llm import quality, substring_dedup
 from tempora.llm.common import load, materialize
-from tempora.llm.substring_dedup import MIN_WORDS, paragraphs
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -46,14 +45,10 @@ def test_stages(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert set(alone) == {i for i in sets if find(i) == i}
-    # 7: spans of paragraphs that stand earlier
-    first, spans = {}, defaultdict(list)
-    for i in sorted(alone):
-        for d, a, b in sorted(zip(*map(list, paragraphs((alone[i] or "").encode(), MIN_WORDS))), key=lambda x: x[1:]):
-            if d not in first:
-                first[d] = (i, b)
-            else:
-                spans[i].append((max(a, first[d][1]) if first[d][0] == i else a, b))
+    # 7: spans of sequences of words that stand earlier
+    out = substring_dedup.deduplicated(kept[1], details=True).select("doc_id", "spans").collect()
+    spans = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in out}
+    removal_is_right(alone, spans)
     for i, t in alone.items():
         gone = {k for a, b in spans[i] for k in range(a, b)}
         assert cut[i] == "".join(c for k, c in enumerate(t) if k not in gone)

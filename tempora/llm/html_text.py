@@ -1,9 +1,14 @@
 """Main text of web pages by the distribution of line blocks.
 
-Markup is stripped to lines, one for each block of text, and elements that never are main text
-leave blank lines. Text lengths are summed over sliding windows of lines (anchor text counts
-nothing); where a sum surges above a threshold a region starts, and where it dives to nothing the
-region ends. The text between these points is kept.
+Markup is stripped to lines, one for each block of text. Text lengths are summed over sliding windows
+of lines (anchor text counts nothing); where a sum surges above a threshold a region starts, and where
+it dives to nothing the region ends. The text between these points is kept.
+
+Tags and marks (words of class, id and role) only weigh lines. A line of an element that never is main
+text counts nothing. So does a line under a weak mark, one that wrappers of main text carry as well,
+unless most of the text around it is under this mark. A line in an article surges by itself; on a page
+with an article, a region outside needs more text than half of the article's. Short regions follow the
+long ones that they stand between or next to, if they are prose.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -30,39 +36,60 @@ BLOCKS = (
     "tbody td tfoot th thead tr ul"
 ).split()
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-# Words of class, id and role that mark what is no main text.
-MARKS = (
-    "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright disqus feedback footer gdpr header login masthead menu modal nav navbar navigation "
-    "newsletter notice notices pager pagination popup promo promoted promotion recommended related reply "
-    "respond replies search share sharing sidebar signup social sponsor sponsored subscribe subscription "
-    "toolbar widget widgets alert complementary contentinfo"
+# Words of class, id and role that mark what is no main text, and words that mark it
+# unless most of the text is under them.
+STRONG = (
+    "ad ads adv advert advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager "
+    "pagination popup promo promoted recommended respond replies signup sponsor sponsored subscribe subscription "
+    "toolbar alert complementary contentinfo"
 ).split()
+WEAK = "banner feedback promotion related reply search share sharing sidebar social widget widgets header".split()
+# Words before a mark that turn it round.
+NOT = ("has", "with", "no", "without", "non", "post", "article", "entry", "story", "content")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
-_RAW, _BOILERPLATE, _OPEN_ENDED, _BLOCKS, _VOID, _MARKS = map(frozenset, (RAW, BOILERPLATE, OPEN_ENDED, BLOCKS, VOID, MARKS))
+_RAW, _BOILERPLATE, _OPEN_ENDED, _BLOCKS, _VOID, _STRONG, _WEAK, _NOT = map(frozenset, (RAW, BOILERPLATE, OPEN_ENDED, BLOCKS, VOID, STRONG, WEAK, NOT))
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(BLOCKS)})\b", re.I)
+_SENTENCE = re.compile(r"[.!?…。！？]['\"»”)]*$")
 
 
-def _marked(attributes: str) -> bool:
-    """Does an element's class, id or role say that it is no main text?"""
+def _mark(attributes: str) -> int:
+    """2 if an element's class, id or role says that it is no main text, 1 if it may say so, else 0."""
+    mark = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" and (not m[2] or value in ("", "hidden")) or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in _MARKS for w in _WORDS.findall(value)):
-            return True
-    return False
+            return 2
+        for token in value.split() if name in ("class", "id", "role") else ():
+            words = [w.lower() for w in _WORDS.findall(token)]
+            for before, w in zip(["", *words], words):
+                if before not in _NOT and (w in _STRONG or w in _WEAK):
+                    mark = max(mark, 2 if w in _STRONG else 1)
+    return mark
+
+
+@dataclass
+class Line:
+    """A block of text: its characters outside anchors, is it in an article, and the weak marks over it.
+    A blank line stands for what is skipped."""
+
+    text: str
+    own: int
+    inside: bool
+    groups: tuple[int, ...]
 
 
 class _Lines:
-    """Lines of text in page order: (text, characters of it outside anchors, inside the article)."""
+    """Collects text up to the end of each block."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[Line] = []
         self.parts: list[str] = []
         self.linked = 0
         self.mute = False
@@ -72,30 +99,37 @@ class _Lines:
             self.parts.append(raw)
             self.linked += len(raw) if in_anchor else 0
 
-    def close(self, inside: bool, blank: int = 0) -> None:
+    def close(self, inside: bool, groups: tuple[int, ...], blank: int = 0) -> None:
         line = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip() if self.parts else ""
         if line:
-            self.lines.append((line, max(0, len(line) - self.linked), inside))
-        elif blank and self.lines and self.lines[-1][0]:
-            self.lines.extend([("", 0, inside)] * blank)
+            self.lines.append(Line(line, max(0, len(line) - self.linked), inside, groups))
+        elif blank and self.lines and self.lines[-1].text:
+            self.lines.extend([Line("", 0, inside, groups)] * blank)
         self.parts, self.linked, self.mute = [], 0, False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
+def lines_of(page: str) -> list[Line]:
     out, at, end = _Lines(), 0, len(page)
-    open_: list[str] = []  # open elements inside the outermost one that is skipped
-    skipping, anchor, article = False, 0, 0
+    open_: list[tuple[str, int]] = []  # open elements from the outermost marked one on, with 0, a weak mark's number, or -1: skipped
+    n_groups, anchor, article = 0, 0, 0
+
+    def skipping() -> bool:
+        return any(k < 0 for _, k in open_)
+
+    def groups() -> tuple[int, ...]:
+        return tuple(k for _, k in open_ if k > 0)
+
     while at < end:
         lt = page.find("<", at)
-        if lt < 0:
-            lt = end
-        if not skipping:
+        lt = end if lt < 0 else lt
+        skips = skipping() if open_ else False
+        if not skips:
             out.text(page[at:lt], anchor > 0)
         if lt == end:
             break
         m = _TOKEN.match(page, lt) or _LOOSE.match(page, lt)
         if m is None:  # a bare <
-            if not skipping:
+            if not skips:
                 out.text("<", anchor > 0)
             at = lt + 1
             continue
@@ -103,63 +137,87 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if m.lastindex is None or not m[2]:
             continue
         closing, name = bool(m[1]), m[2].lower()
-        if skipping:
-            if closing:
-                if name in open_:
-                    while open_.pop() != name:
-                        pass
-                    skipping = bool(open_)
-                elif name in ("article", "main", "body", "html"):  # what is skipped was never closed
-                    open_, skipping = [], False
-                    article = max(0, article - (name in ("article", "main")))
-            elif name in _RAW:
-                at = _raw_end(page, at, name)
-            elif name in ("article", "main") and not article and open_[0] not in ("form", "dialog"):
-                open_, skipping, article = [], False, 1
-            elif name not in _VOID and not m[3].endswith("/") and name not in _OPEN_ENDED:
-                open_.append(name)
-            continue
         if name in _RAW:
-            if not closing:
+            if not closing and not m[3].endswith("/"):
                 at = _raw_end(page, at, name)
             continue
         if name == "a":
             anchor = 0 if closing else 1
             continue
-        if name in ("article", "main"):
-            out.close(article > 0)
-            article = max(0, article - 1) if closing else article + 1
+        names = [n for n, _ in open_]
+        outermost = name in ("article", "main", "body", "html")
+        if skips and not closing and name in ("article", "main") and not article and not {"form", "dialog"} & set(names):
+            open_ = []  # an article isn't part of what was left open before it
+            skips = False
+        if skips and not (closing and (name in names or outermost)):
+            if not closing and name not in _VOID and not m[3].endswith("/") and name not in _OPEN_ENDED:
+                open_.append((name, 0))
+            continue
+        if name in _BLOCKS or open_ and name in names:
+            if not skips:
+                out.close(article > 0, groups())
             anchor = 0
+        if closing:
+            if name in names:
+                while open_.pop()[0] != name:
+                    pass
+                if not any(k for _, k in open_):
+                    open_ = []
+            elif outermost:  # what is marked was never closed
+                open_ = []
+            if name in ("article", "main"):
+                article = max(0, article - 1)
             continue
+        if name in ("article", "main"):
+            article += 1
+        ends = name in _VOID or m[3].endswith("/")
         structural = name in _BOILERPLATE and not (name == "header" and article)
-        skip = not closing and name not in _VOID and name not in ("body", "html") and (structural or m[3].strip() != "" and _marked(m[3]))
-        if name in _BLOCKS or skip:
-            out.close(article > 0, 0 if not skip else WINDOW if structural and not article else 1)
-            anchor = 0
-        if skip and name in _OPEN_ENDED:
+        mark = 0 if ends or name in ("body", "html", "article", "main") else 2 if structural and name != "form" else max(_mark(m[3]) if m[3].strip() else 0, int(structural))
+        if mark and name not in _BLOCKS:
+            out.close(article > 0, groups())
+        if mark and name in _OPEN_ENDED:
             out.mute = True  # up to the next block
-        elif skip and not m[3].endswith("/"):
-            open_, skipping = [name], True
-    out.close(article > 0)
+        elif mark or open_ and not ends and name not in _OPEN_ENDED:
+            n_groups += mark == 1
+            if mark == 2:
+                out.close(article > 0, groups(), WINDOW if structural and not article else 1)
+            open_.append((name, (0, n_groups, -1)[mark]))
+    out.close(article > 0, groups())
     return out.lines
 
 
 def _raw_end(page: str, at: int, name: str) -> int:
-    m = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-    return m.end() if m else len(page)
+    """The end of an element of raw text; one that is never closed ends at the next block's tag."""
+    m = _RAW_END[name].search(page, at)
+    if m:
+        return m.end()
+    m = _BLOCK_TAG.search(page, at)
+    return m.start() if m else len(page)
 
 
-def main_text(page: str) -> str:
-    """The text between surge and dive points."""
-    lines = lines_of(page)
-    if any(inside and text for text, _, inside in lines):  # the page names its article
-        lines = [x for x in lines if x[2]]
-    n = len(lines)
-    upto = [0]
-    for _, own, _ in lines:
-        upto.append(upto[-1] + own)
+def _weighed(lines: list[Line]) -> list[Line]:
+    """Lines under a weak mark become blank, unless most of the text around them is under it: of the
+    article's if the mark is in one, else of the page's."""
+    total = {x: sum(line.own for line in lines if line.inside or not x) for x in (True, False)}
+    under: dict[int, int] = {}
+    within: dict[int, bool] = {}
+    for line in lines:
+        for g in line.groups:
+            under[g] = under.get(g, 0) + line.own
+            within[g] = within.get(g, True) and line.inside
+    off = {g for g, n in under.items() if 2 * n <= total[within[g]]}
+    return [Line("", 0, x.inside, ()) if off.intersection(x.groups) else x for x in lines]
+
+
+def regions_of(lines: list[Line]) -> list[tuple[int, int]]:
+    """Start and end of the runs of lines between a surge and a dive point."""
+    lengths = [SURGE if x.inside and x.text else x.own for x in lines]
+    n, upto = len(lines), [0]
+    for x in lengths:
+        upto.append(upto[-1] + x)
     sums = [upto[min(n, i + WINDOW)] - upto[i] for i in range(n)]
-    regions, i = [], 0
+    article = sum(x.own for x in lines if x.inside)
+    found, i = [], 0
     while i < n:
         if not sums[i]:
             i += 1
@@ -168,12 +226,35 @@ def main_text(page: str) -> str:
         while j < n and sums[j]:
             j += 1
         j = min(n, j + WINDOW - 1) if j < n else n  # sums look ahead, so the last lines are in the window
-        regions.append((max(sums[i:j]), i, j))
+        a, b = i, j
+        while a < b and not lengths[a] and not (lines[a].text and a + 1 < b and lengths[a + 1] and a == i):
+            a += 1
+        while b > a and not lengths[b - 1]:
+            b -= 1
+        found.append((a, b, max(sums[i:j])))
         i = j
-    kept = [r for r in regions if r[0] >= SURGE] or ([max(regions, key=lambda r: r[0])] if regions else [])
-    if not kept:  # anchors alone
-        kept = [(0, 0, n)]
-    return " ".join(lines[k][0] for _, a, b in kept for k in range(a, b) if lines[k][0])
+    whole = any(x.inside and x.text for x in lines)
+    text = lambda a, b: sum(x.own for x in lines[a:b] if not x.inside)
+    surged = [r[2] >= SURGE and (not whole or any(x.inside for x in lines[r[0] : r[1]]) or 2 * text(r[0], r[1]) > article) for r in found]
+    if not any(surged):
+        if not found:  # anchors alone
+            return [(0, n)]
+        surged = [r[2] == max(x[2] for x in found) for r in found]
+    first, last = surged.index(True), len(surged) - 1 - surged[::-1].index(True)
+    kept = []
+    for k, (a, b, _) in enumerate(found):
+        prose = 2 * text(a, b) >= sum(len(x.text) for x in lines[a:b])
+        between = first < k < last
+        beside = k in (first - 1, last + 1) and any(_SENTENCE.search(x.text) for x in lines[a:b])
+        if surged[k] or not whole and prose and (between or beside):
+            kept.append((a, b))
+    return kept
+
+
+def main_text(page: str) -> str:
+    """The text between surge and dive points."""
+    lines = _weighed(lines_of(page))
+    return " ".join(x.text for a, b in regions_of(lines) for x in lines[a:b] if x.text)
 
 
 def extractor() -> Callable[[bytes | None], str]:
@@ -181,10 +262,11 @@ def extractor() -> Callable[[bytes | None], str]:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """``pages`` (with html) plus text.
+    """``pages`` (with html) plus text (a column of this name is replaced).
 
     Defined cases: a null or empty page, or one without text, gives an empty string; markup that is
-    not closed ends with the element around it; repeated rows give equal texts; pages are read whole
-    however long; an empty table gives an empty result.
+    not closed ends with the element around it, a script or another element of raw text at the next
+    block; repeated rows give equal texts; pages are read whole however long; an empty table gives an
+    empty result.
     """
     return pages.withColumn("text", text_udf("string", extractor)("html"))

@@ -84,7 +84,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.expr("try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)', 1) as bigint)")
     marks = load(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg((F.max("quality") == 0).alias("bad"))
     labelled = pages.select("url", doc.alias("doc_id")).join(marks, "doc_id").select("url", "bad")
-    return url_filter.judged(pages, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judged(pages, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
 QUERIES: dict[str, Query] = {

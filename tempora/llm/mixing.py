@@ -1,7 +1,7 @@
 """Mixing sources to target weights by drawing fixed-length blocks.
 
 The words of each source are laid out in a fixed pseudorandom order of its documents and packed into
-blocks of ``block`` words. Each output shard draws multinomial counts of the sources; the slots of a
+blocks of ``block`` words (of a small source shorter ones, so that it has 64 at least). Each output shard draws multinomial counts of the sources; the slots of a
 source map through pseudorandom permutations of its block indices, one permutation a pass; and the
 blocks join the slots by index.
 """
@@ -16,10 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 #: Words of a block, blocks of an output shard, and times that a mix may take a document.
 BLOCK, SHARD, REPEATS = 128, 4096, 3
+#: Blocks that a source has at least, if it has as many words; what it gives is exact to about a block.
+LEAST_BLOCKS = 64
+#: Copies of a row that one task lays out at most.
+CHUNK = 10_000
 #: Weights of the sources in the order of their names, again and again.
 WEIGHTS = (1, 2, 3)
 #: Sources whose block counts are broadcast at most (24 bytes each); more are refused, none dropped.
@@ -84,7 +88,7 @@ class Quotas:
     slots: np.ndarray
 
     @classmethod
-    def of(cls, source_size: np.ndarray, target: np.ndarray, block: int) -> Quotas:
+    def of(cls, source_size: np.ndarray, target: np.ndarray, block: np.ndarray) -> Quotas:
         blocks = -(-source_size // block)
         per = source_size / np.maximum(blocks, 1)  # words of a slot, on the average
         return cls(blocks, np.minimum(np.rint(target / np.maximum(per, 1e-9)).astype(np.int64), REPEATS * blocks) * (blocks > 0))
@@ -131,28 +135,27 @@ def _slots(shared, totals, seed: int):
 
 @dataclass
 class Mix:
-    """``laid``: a row for each row of the input, with d (doc_id), h (hash of the text), i (source),
-    size, at (its first word in the source). ``sources``: source, i, source_size, weight, target.
-    ``slots``: shard, slot, i, block."""
+    """``laid``: a row for each row of the input, with d (doc_id), h (hash of the text), i (source), b
+    (words of its blocks), size, at (its first word in the source). ``sources``: source, i, source_size,
+    weight, target, b. ``slots``: shard, slot, i, block. ``repeats``: are there rows of one id and text?"""
 
     laid: DataFrame
     sources: DataFrame
     slots: DataFrame
-    block: int
+    repeats: bool
 
     def pieces(self, laid: DataFrame) -> DataFrame:
         """``laid`` with a row for each block that a document is part of: block, from (its first word
         there, counted in the document) and words."""
-        b = self.block
-        each = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {b}"), F.expr(f"(at + size - 1) div {b}"))))
-        start = F.greatest(F.col("at"), F.col("block") * b)
-        end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b)
+        each = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr("at div b"), F.expr("(at + size - 1) div b"))))
+        start = F.greatest(F.col("at"), F.col("block") * F.col("b"))
+        end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("b"))
         return each.withColumns({"from": start - F.col("at"), "words": end - start})
 
     def taken(self) -> DataFrame:
         """doc_id, i, size, taken (words that the mix takes, repeats counted) for each row of the input."""
         times = self.slots.groupBy("i", "block").agg(F.count("*").alias("times"))
-        got = self.pieces(self.laid.select("i", "at", "size")).join(times, ["i", "block"])
+        got = self.pieces(self.laid.select("i", "b", "at", "size")).join(times, ["i", "block"])
         got = got.groupBy("i", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         out = self.laid.withColumn("at", F.when(F.col("size") > 0, F.col("at"))).join(got, ["i", "at"], "left")
         return out.select(F.col("d").alias("doc_id"), "i", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -163,12 +166,12 @@ class Mix:
         ``docs`` is the input of the plan. Texts are cut in their own rows and meet the slots by the
         index of the block; no task holds more than a document's text at once.
         """
-        own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text").where("text is not null").dropDuplicates(["d", "h"])
-        own = own.withColumn("d", F.coalesce("d", F.lit(-(1 << 63))))
-        laid = self.laid.where("size > 0").withColumn("d", F.coalesce("d", F.lit(-(1 << 63)))).join(own, ["d", "h"])
+        own = docs.select(F.col("doc_id").cast("long").alias("own_d"), F.xxhash64("text").alias("own_h"), "text").where("text is not null")
+        own = own.dropDuplicates(["own_d", "own_h"]) if self.repeats else own
+        laid = self.laid.where("size > 0").join(own, F.col("d").eqNullSafe(F.col("own_d")) & (F.col("h") == F.col("own_h")))
         cut = self.pieces(laid.withColumn("tokens", F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")).drop("text"))
         text = F.array_join(F.slice("tokens", (F.col("from") + 1).cast("int"), F.col("words").cast("int")), "")
-        cut = cut.select("i", "block", "at", F.when(F.col("d") > -(1 << 63), F.col("d")).alias("doc_id"), "words", text.alias("text"))
+        cut = cut.select("i", "block", "at", F.col("d").alias("doc_id"), "words", text.alias("text"))
         named = self.slots.join(self.sources.select("i", "source"), "i")
         return named.join(cut, ["i", "block"]).select("shard", "slot", "at", "source", "doc_id", "words", "text")
 
@@ -181,31 +184,41 @@ def plan_mix(docs: DataFrame, *, block: int = BLOCK, shard: int = SHARD, seed: i
     blank text has size 0 and is never taken; rows that repeat count each on its own; a null source
     is a source; null doc_ids are taken like others; an empty table gives an empty mix.
     """
-    keys = docs.select(F.col("doc_id").cast("long").alias("d"), "source", F.xxhash64("text").alias("h"), size_of(F.col("text")).alias("size"))
-    keys = materialize(keys, "sizes")
-    sources = source_targets(keys.groupBy("source").agg(F.sum("size").alias("source_size")))
-    sources = materialize(sources, "targets")
-    # the layout: documents fall into buckets by hash; sums of the buckets before, then inside a bucket
-    n_buckets = max(1, -(-keys.count() // BUCKET_ROWS))
-    keys = keys.join(sources.select(F.col("source").alias("s"), "i"), F.col("source").eqNullSafe(F.col("s"))).drop("source", "s")
-    keys = keys.withColumn("r", F.xxhash64("d", "h", "size", F.lit(seed))).withColumn("bucket", F.pmod("r", F.lit(n_buckets)))
-    per = keys.groupBy("i", "bucket").agg(F.sum("size").alias("sum"))
-    per = per.select("i", "bucket", (F.sum("sum").over(Window.partitionBy("i").orderBy("bucket")) - F.col("sum")).alias("before"))
-    inside = Window.partitionBy("i", "bucket").orderBy("r", "d", "h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = keys.withColumn("upto", F.sum("size").over(inside)).join(per, ["i", "bucket"])
-    laid = materialize(laid.select("d", "h", "i", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("at")), "laid")
-    return Mix(laid, sources, _drawn(docs.sparkSession, sources, block, shard, seed), block)
-
-
-def _drawn(spark: SparkSession, sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
+    with Scratch() as scratch:
+        keys = docs.select(F.col("doc_id").cast("long").alias("d"), "source", F.xxhash64("text").alias("h"), size_of(F.col("text")).alias("size"))
+        keys = scratch(keys, "sizes")
+        sources = source_targets(keys.groupBy("source").agg(F.sum("size").alias("source_size")))
+        own_block = F.least(F.lit(block), F.greatest(F.lit(1), F.expr(f"source_size div {LEAST_BLOCKS}"))).cast("long")
+        sources = materialize(sources.withColumn("b", own_block), "targets")
+        # equal rows are counted, and dealt anew by number, so that they fall into all buckets
+        rows = scratch(keys.groupBy("d", "source", "h", "size").agg(F.count("*").alias("n")), "rows")
+        repeats = not rows.where("n > 1").isEmpty()
+        n_buckets = max(1, -(-keys.count() // BUCKET_ROWS))
+        each = rows.where("n = 1").withColumn("k", F.lit(1).cast("long"))
+        if repeats:
+            parts = rows.where("n > 1").withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(CHUNK).cast("long")))).repartition(F.xxhash64("d", "h", "from"))
+            each = each.unionByName(parts.withColumn("k", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK - 1, F.col("n"))))).drop("from"))
+        # the layout: documents fall into buckets by hash; sums of the buckets before, then inside a bucket
+        keys = each.join(sources.select(F.col("source").alias("s"), "i", "b"), F.col("source").eqNullSafe(F.col("s"))).drop("source", "s", "n")
+        keys = keys.withColumn("r", F.xxhash64("d", "h", "size", "k", F.lit(seed))).withColumn("bucket", F.pmod("r", F.lit(n_buckets)))
+        per = keys.groupBy("i", "bucket").agg(F.sum("size").alias("sum"))
+        per = per.select("i", "bucket", (F.sum("sum").over(Window.partitionBy("i").orderBy("bucket")) - F.col("sum")).alias("before"))
+        inside = Window.partitionBy("i", "bucket").orderBy("r", "d", "h", "size", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        laid = keys.withColumn("upto", F.sum("size").over(inside)).join(per, ["i", "bucket"])
+        laid = materialize(laid.select("d", "h", "i", "b", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("at")), "laid")
+        return Mix(laid, sources, _drawn(scratch, sources, shard, seed), repeats)
+
+
+def _drawn(scratch: Scratch, sources: DataFrame, shard: int, seed: int) -> DataFrame:
+    spark = sources.sparkSession
     if sources.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sources.select("source_size", "target").orderBy("i").collect()
-    quota = Quotas.of(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), block)
+    rows = sources.select("source_size", "target", "b").orderBy("i").collect()
+    quota = Quotas.of(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], np.int64))
     total = int(quota.slots.sum())
     shared = spark.sparkContext.broadcast(quota)
     draws = spark.range(-(-total // shard)).mapInPandas(_draws(shared, shard, total, seed), "shard long, i long, n long")
-    draws = materialize(draws, "draws")
+    draws = scratch(draws, "draws")
     drawn = np.zeros(len(rows), np.int64)
     for r in draws.groupBy("i").agg(F.sum("n")).collect():  # a row a source
         drawn[r[0]] = r[1]

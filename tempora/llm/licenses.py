@@ -22,9 +22,9 @@ from .udf import text_udf
 BEST = 4
 #: Least share of a template's words that a block must hold in order, and least share of size saved.
 LEAST_WORDING, LEAST_REDUCTION = 0.8, 0.15
-#: Lines without a cue that a block may bridge, and characters of a block. A longer run of lines is
-#: scanned in overlapping blocks, whole.
-BRIDGE, BLOCK_CHARS = 3, 16_384
+#: Lines without a cue that a block may bridge, lines that it takes along on either side, and characters of
+#: a block. A longer run of lines is scanned in overlapping blocks, whole.
+BRIDGE, MARGIN, BLOCK_CHARS = 8, 3, 16_384
 LEVEL = 3
 FINDINGS = "array<struct<start:int,end:int,license:string,template:string,reduction:double,wording:double,missing:array<string>,added:array<string>>>"
 
@@ -39,22 +39,23 @@ def words(text: str) -> list[tuple[str, int, int]]:
 
 
 def blocks_of(text: str) -> list[tuple[int, int]]:
-    """Start and end of the candidate blocks: lines with a cue, and what they enclose."""
+    """Start and end of the candidate blocks: lines with a cue, and what they enclose and border on."""
+    lines = text.split("\n")
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
+    cued = [i for i, line in enumerate(lines) if any(c in low for low in [line.lower().encode("utf-8", "replace")] for c in CUES)]
     runs: list[list[int]] = []
-    at, plain = 0, 0
-    for line in text.split("\n"):
-        low = line.lower().encode("utf-8", "replace")
-        if any(c in low for c in CUES):
-            if runs and plain <= BRIDGE and len(line) < BLOCK_CHARS:
-                runs[-1][1] = at + len(line)
-            else:
-                runs.append([at, at + len(line)])
-            plain = 0
+    for i in cued:
+        if runs and i - runs[-1][1] <= BRIDGE and len(lines[i]) < BLOCK_CHARS:
+            runs[-1][1] = i + 1
         else:
-            plain += 1
-        at += len(line) + 1
-    out = []
-    for a, b in runs:
+            runs.append([i, i + 1])
+    out, done = [], 0
+    for k, (i, j) in enumerate(runs):
+        after = runs[k + 1][0] if k + 1 < len(runs) else len(lines)
+        i, j = max(done, i - MARGIN), min(after, j + MARGIN)
+        done, a, b = j, starts[i], starts[j] - 1
         step = BLOCK_CHARS // 2
         out += [(x, min(b, x + BLOCK_CHARS)) for x in range(a, max(a + 1, b - step), step)] if b - a > BLOCK_CHARS else [(a, b)]
     return out
@@ -119,7 +120,7 @@ class Scanner:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` (with text) plus findings: spans of the text, license, template, share of size saved,
+    """``docs`` (with text) plus findings (a column of this name is replaced): spans of the text, license, template, share of size saved,
     share of the template's wording, and the words that are missing or added.
 
     Defined cases: a null or empty text, or one without a cue, has no findings; overlapping blocks
@@ -129,6 +130,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """``docs`` plus findings, n_findings and licenses (distinct, sorted, joined by commas)."""
+    """``docs`` plus findings, n_findings and licenses (distinct, sorted, joined by commas); columns of
+    these names are replaced."""
     out = scanned(docs)
     return out.withColumns({"n_findings": F.size("findings").cast("long"), "licenses": F.array_join(F.array_sort(F.array_distinct("findings.license")), ",")})

@@ -23,6 +23,8 @@ from .graph import components
 #: the average. Pairs of one code share directions by codewords in common, so that several codes
 #: find more for the same number of directions; tests measure the recall at the threshold.
 CODES, SHARED = 4, 32.0
+#: Codewords of a half at most: 2**28 directions, enough for as many vectors of a label.
+MOST_CODEWORDS = 1 << 14
 #: Vectors of a part of a bucket. Larger buckets are compared part by part.
 PART = 1500
 
@@ -166,14 +168,15 @@ def _linked(scratch: Scratch, vectors: DataFrame, cosine: float, part: int, seed
     x = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0) & F.col("label").isNotNull(), F.lit(False))
     print_ = F.when(sound, F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), "label", x)), F.hex(F.xxhash64(F.lit(2), "label", x))))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding", print_.alias("print"))
+    whole = vectors.schema["label"].dataType.typeName() in ("byte", "short", "integer", "long")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long" if whole else "string"), "embedding", print_.alias("print"))
     rows = scratch(rows, "vectors")
     classes = rows.where("print is not null").groupBy("print").agg(
         F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
     nodes = scratch(classes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("embedding")}), "classes")
     most = nodes.groupBy("label", "dim").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    size = min(2048, 1 << max(4, math.ceil(math.log2(max(1, most * SHARED / CODES)) / 2)))
+    size = min(MOST_CODEWORDS, 1 << max(4, math.ceil(math.log2(max(1, most * SHARED / CODES)) / 2)))
     found = scratch(nodes.select("node", "dim", "embedding").mapInArrow(_filters(size, cosine, seed), "node long, filters array<long>"), "filters")
     each = found.join(nodes.select("node", "label", "dim"), "node").select("node", "label", "dim", F.explode("filters").alias("f"))
     crowd = each.groupBy("label", "dim", "f").agg(F.count("*").alias("n")).where("n > 1")

@@ -167,8 +167,10 @@ def lines_of(page: str) -> list[Line]:
                 open_ = []
             if name in ("article", "main"):
                 article = max(0, article - 1)
+                out.close(article > 0, groups(), WINDOW)
             continue
         if name in ("article", "main"):
+            out.close(article > 0, groups(), WINDOW)
             article += 1
         ends = name in _VOID or m[3].endswith("/")
         structural = name in _BOILERPLATE and not (name == "header" and article)
@@ -227,7 +229,7 @@ def regions_of(lines: list[Line]) -> list[tuple[int, int]]:
             j += 1
         j = min(n, j + WINDOW - 1) if j < n else n  # sums look ahead, so the last lines are in the window
         a, b = i, j
-        while a < b and not lengths[a] and not (lines[a].text and a + 1 < b and lengths[a + 1] and a == i):
+        while a < b and not lengths[a]:
             a += 1
         while b > a and not lengths[b - 1]:
             b -= 1

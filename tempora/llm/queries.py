@@ -40,10 +40,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     raw = chat.marked_transcripts(load(spark, sf_dir, "conversations"))
     held_out = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 == 0
-    out = chat.parsed(raw, chat.train(raw.where(~held_out)))
+    out = chat.parsed(raw, chat.train(raw.where(F.coalesce(~held_out, F.lit(True)))))
     return out.select(
-        "conv_id", "segment", held_out.alias("held_out"), F.size("roles").cast("long").alias("n_turns"), F.size("turns").cast("long").alias("n_recovered"),
-        F.array_join("roles", ",", "?").alias("roles"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("recovered"), "chat",
+        "conv_id", "segment", "part", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_blank", F.size("roles").cast("long").alias("n_turns"), F.size("turns").cast("long").alias("n_recovered"),
+        F.array_join("roles", ",").alias("roles"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("recovered"), "chat",
     )
 
 

@@ -1,6 +1,5 @@
 """Operators on documents against plain Python, with the awkward rows each must bear."""
 
-import hashlib
 import random
 import re
 from collections import defaultdict
@@ -102,7 +101,7 @@ def test_dedup_keeps_one_row_of_each_component(spark, docs):
     assert sum(i is None and t is not None for i, t in kept) == 2
 
 
-def test_decontamination_equals_brute_force(spark, docs):
+def test_decontamination_equals_brute_force(spark, docs, monkeypatch):
     rows = odd_rows()
     long_text, base = next(r[1] for r in rows if r[0] == 300).split(), next(r[1] for r in rows if r[0] == 12).split()
     items = [(1, "!".join(long_text[500:515]).upper()), (2, " ".join(base[3:40])), (10, "Solo"), (3, None), (4, "..."), (None, "a b c"), (2, " ".join(base[3:40])), (5, "b c")]
@@ -122,8 +121,9 @@ def test_decontamination_equals_brute_force(spark, docs):
                     hit |= set(range(k, k + len(g)))
                     found.add(str(i))
         want.append((r[0], len(w), len(hit), ",".join(sorted(found))))
-    for size in (1 << 20, 60):  # one automaton, and several
-        out = decontaminate.contamination(docs.select("doc_id", "text"), bench, automaton_bytes=size)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 12)
+    for size in (1 << 20, 5):  # one automaton, and several
+        out = decontaminate.contamination(docs.select("doc_id", "text"), bench, automaton_windows=size)
         got = [(r.doc_id, r.scan.n_words, r.scan.n_hit, ",".join(r.scan["items"])) for r in out.collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
         for r in out.where("scan.n_hit > 0").collect():
@@ -300,6 +300,20 @@ def test_quality_bears_odd_rows(spark, docs):
     assert kept.columns == docs.columns and quality.accepted(docs.limit(0), few).count() == 0
 
 
+def test_quality_of_very_long_texts(spark):
+    """Texts of over a million characters, made of those of one class, score like their class."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    told = docs.join(labels, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").orderBy("doc_id").select("quality", "text").collect()
+    long_ = []
+    for q in (0, 1):
+        text = "\n".join(r.text for r in told if r.quality == q)
+        long_.append((q, (text * (1_000_000 // len(text) + 1))[:1_100_000]))
+    model = quality.train(docs, labels).scorer()
+    got = {q: model(t.encode()) for q, t in long_}
+    assert got[0] < quality.THRESHOLD <= got[1]
+
+
 def test_license_scan(spark, docs):
     mit = next(t for i, n, t in licenses.TEMPLATES if (i, n) == ("MIT", "text"))
     rows = [
@@ -317,5 +331,53 @@ def test_license_scan(spark, docs):
     assert licenses.summary(docs.select("doc_id", "text")).agg(F.sum("n_findings")).first()[0] == 0
 
 
-def test_digest_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_license_findings_equal_brute_force(spark):
+    """Every template planted whole in prose is found at its place, as a scan that confirms all templates
+    without compression would find it; and prose gives nothing."""
+    rows, places = [], {}
+    for i, (license_, name, text) in enumerate(licenses.TEMPLATES):
+        cue = "" if any(c in text.lower().encode() for c in licenses.CUES) else "Licensed under "
+        before, after = f"Some prose about nothing.\n\n{cue}", "\n\nMore prose about nothing at all."
+        rows.append((i, before + text + after))
+        places[i] = license_, len(before), len(before) + len(text)
+    rows.append((-1, "Some prose about nothing.\n" * 50))
+    got = {r.doc_id: r.findings for r in licenses.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = {i: [w for w, _, _ in licenses.words(t)] for i, (_, _, t) in enumerate(licenses.TEMPLATES)}
+    missed = []
+    for i, (license_, a, b) in places.items():
+        best = [f for f in got[i] if f.license == license_]
+        holders = [license_ for j, w in wanted.items() if w == wanted[i] for license_ in [licenses.TEMPLATES[j][0]]]
+        if not best and not any(f.license in holders for f in got[i]):
+            missed.append((license_, licenses.TEMPLATES[i][1], [f.license for f in got[i]]))
+        assert all(a - 20 <= f.start < f.end <= b for f in got[i])
+    assert not missed and not got[-1]
+
+
+def test_empty_tables(spark, docs):
+    none, bench = docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 150)], "doc_id long, quality int")
+    assert licenses.summary(none).count() == decontaminate.contamination(none, bench).count() == minhash_dedup.near_duplicates(none).count() == 0
+    assert quality.scored(none, labels).count() == minhash_dedup.deduplicated(none).count() == mixing.plan_mix(none).texts(none).count() == 0
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "MIT License", 0, "x", "x", "x", "x")], "doc_id long, text string, score int, scan string, findings string, licenses string, n_findings string")
+    assert licenses.summary(frame).first().licenses == "MIT" or licenses.summary(frame).first().licenses == ""
+    bench = spark.createDataFrame([(1, "mit license")], "item_id long, text string")
+    assert decontaminate.contamination(frame, bench).first().scan.n_hit == 2
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.scored(frame, none).first().score == 0.5
+
+
+def test_small_sources_and_equal_rows_of_a_mix(spark):
+    rows = [(i, "w " * 1000, "big") for i in range(300)] + [(1000, "a b c d e " * 20, "tiny")] + [(None, "same text of all " * 5, "zz")] * 500 + [(-(1 << 63), "same text of all " * 5, "zz")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.plan_mix(frame)
+    got = mix.taken().join(mix.sources, "i").collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size
+    targets = {r.source: r.target for r in got}
+    assert len(got) == len(rows) and all(abs(taken[s] - targets[s]) <= max(1.0, 0.02 * targets[s]) for s in targets), (dict(taken), targets)
+    assert sum(r.words for r in mix.texts(frame).collect()) == sum(taken.values())

@@ -2,11 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tempora.llm import chat, embedding_dedup, html_text, url_filter
 from tempora.llm.common import Scratch
 from tempora.llm.graph import components
-from tempora.llm.queries import op3_chat_format
+from tempora.llm.queries import op3_chat_format, op10_url_filter
 
 
 def test_components_of_a_long_path_and_a_star(spark):
@@ -50,6 +51,64 @@ def test_pages_frame(spark):
     assert got[0].text == got[1].text == "" and got[2].text.startswith("First") and len(got[3].text) == 999_999
 
 
+STORY = "A long story in plain text that goes on and on for many words. " * 3
+
+
+@pytest.mark.parametrize("body,want", [
+    (f"<div class='content has-sidebar'><p>{STORY}</p></div><div class='sidebar'>Links and more of them.</div>", STORY),
+    (f"<main><div class='search-results-wrapper'><p>{STORY}</p></div></main>", STORY),
+    (f"<div class='post-header'><h1>The headline</h1></div><p>{STORY}</p>", "The headline " + STORY),
+    (f"<article><p>a</p></article><div><p>{STORY}</p></div>", "a " + STORY),
+    (f"<article><p>{STORY}</p></article><div><p>Some other words, fewer than the story has.</p></div>", STORY),
+    (f"<p>{STORY}</p><script>var x = '</q>'; <p>{STORY}</p>", STORY + STORY),
+    (f"<p>{STORY}</p><iframe src='x'><p>{STORY}</p>", STORY + STORY),
+    (f"<p>{STORY}</p><aside>Beside it.</aside><p>Thanks for reading.</p>", STORY + "Thanks for reading."),
+    (f"<p>{STORY}</p><aside>Beside it.</aside><p>Short.</p><aside>Beside it.</aside><p>{STORY}</p>", STORY + "Short. " + STORY),
+    (f"<p>{STORY}</p><br><br><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li><li><a href=4>Four</a></li></ul>", STORY),
+    (f"<form id=aspnet><p>{STORY}</p></form><form><p>Search</p></form>", STORY),
+])
+def test_windows_decide(body, want):
+    assert html_text.main_text(f"<html><body><nav><a href=1>Home</a></nav>{body}<footer>Foot of it.</footer></body></html>") == want.strip()
+
+
+def regions_by_definition(lengths, window):
+    """Lines whose window of following lines, or one that they are in, has text, as maximal runs."""
+    n, covered = len(lengths), set()
+    for i in range(n):
+        if sum(lengths[i : i + window]):
+            covered |= {i}
+    runs, i = [], 0
+    while i < n:
+        if i in covered:
+            j = i
+            while j in covered:
+                j += 1
+            stop = n if j >= n else min(n, j + window - 1)
+            text = [k for k in range(i, stop) if lengths[k]]
+            runs.append((text[0], text[-1] + 1, max(sum(lengths[k : k + window]) for k in range(i, j))))
+            i = j
+        else:
+            i += 1
+    return runs
+
+
+def test_regions_equal_their_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        lengths = [int(x) if x > 30 else 0 for x in rng.integers(0, 90, rng.integers(1, 25))]
+        lines = [html_text.Line("x" * n + "." if n else "", n, False, ()) for n in lengths]
+        runs = regions_by_definition(lengths, html_text.WINDOW)
+        surged = [r for r in runs if r[2] >= html_text.SURGE] or [r for r in runs if r[2] == max(x[2] for x in runs)]
+        got = html_text.regions_of(lines)
+        if not runs:
+            assert got == [(0, len(lines))]
+            continue
+        assert {r[:2] for r in surged} <= set(got) <= {r[:2] for r in runs}
+        first, last = runs.index(surged[0]), runs.index(surged[-1])
+        assert all(runs[k][:2] in got for k in range(max(0, first - 1), min(len(runs), last + 2)))
+        assert all(runs[k][:2] not in got for k in (*range(first - 1), *range(last + 2, len(runs))))
+
+
 def test_urls(spark):
     rows = [
         "https://A.Example.ORG/es/1?x#y", "http://example.org/en/12", "http://example.org/en/2", "http://x.com/fr/1", "http://com/de/", "http://xcom/de/1", "http://a.com?u=/de/", "http://a.org",
@@ -66,13 +125,54 @@ def test_urls(spark):
     assert got[8] == got[9] == got[13] == ("", "", None, "allow") and got[10] == ("one:", "//two/de/", None, "allow") and got[11] == got[12]
 
 
-def test_mined_rules_block(spark):
+def test_ties_and_joined_rules(spark):
+    rules = (("b.org", "/xx", "block"), ("bb.org", "/x", "allow"), ("org", "/a/b", "allow"), ("org", "/a", "block"), ("", "/", "allow"))
+    rows = ["http://b.org/xx", "http://bb.org/x", "http://a.b.org/xx/1", "http://c.org/a/b", "http://c.org/a/c", "http://c.org/", "no/scheme", None, "http:///a"]
+    frame = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(rows)], "page_id long, url string, rule string, __host string")
+    none = url_filter.mine(spark.createDataFrame([], "url string, bad boolean"))
+    one, two = ({r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judged(frame, none, rules=rules, inline=n).collect()} for n in (64, 0))
+    assert one == two and one[2] == ("a.b.org", "/xx/1", "b.org/xx", "block") and one[3][2] == "org/a/b"
+    assert url_filter.judged(frame.limit(0), none).count() == 0
+
+
+def planted_urls():
     rows = [(f"http://{h}.site.net/{p}/{i}", h == "spam" and p == "win") for i in range(40) for h in ("spam", "good") for p in ("win", "news")]
-    rules = url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean"), min_confidence=0.6)
-    best = rules.where("confidence = 1").collect()
-    assert any(set(r.tokens) == {"h:spam", "p:win"} for r in best)
-    pages = spark.createDataFrame([("http://spam.site.net/win/9",), ("http://good.site.net/win/9",), ("http://spam.site.net/win/9",)], "url string")
-    assert [r.verdict for r in url_filter.judged(pages, rules).orderBy("url").collect()] == ["allow", "block", "block"]
+    return rows + [(f"http://other.net/page/{i}?q={i % 7}", i % 6 == 0) for i in range(120)] + [(None, True), ("http://x.net/a", None)]
+
+
+def test_mined_rules_equal_brute_force(spark):
+    from itertools import combinations
+
+    rules = url_filter.mine(spark.createDataFrame(planted_urls(), "url string, bad boolean"))
+    got = {tuple(r.tokens): (r.n, r.n_bad) for r in rules.collect()}
+    tokens = {r.url: r.t for r in spark.createDataFrame(planted_urls(), "url string, bad boolean").where("url is not null").select("url", url_filter.tokens_of(F.col("url")).alias("t")).collect()}
+    rows = [(tokens[u], bad) for u, bad in planted_urls() if u is not None and bad is not None]
+    base, counts = sum(b for _, b in rows) / len(rows), {}
+    for t, bad in rows:
+        for k in range(1, len(t) + 1):
+            for c in combinations(sorted(t), k):
+                n, m = counts.get(c, (0, 0))
+                counts[c] = n + 1, m + bad
+    want = {}
+    for c, (n, m) in counts.items():
+        p, z = m / n, url_filter.SURE
+        low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        if m >= url_filter.MIN_COUNT and p >= url_filter.MIN_CONFIDENCE and low > base:
+            want[c] = n, m
+    assert got == want and ("h:spam", "p:win") in got and not any("h:other" in c for c in got)
+    pages = spark.createDataFrame([("http://spam.site.net/win/9",), ("http://good.site.net/win/9",), ("http://spam.site.net/win/9",), ("http://other.net/page/6?q=6",)], "url string")
+    judged = url_filter.judged(pages, rules.where("confidence > 0.6")).orderBy("url").collect()
+    assert [r.verdict for r in judged] == ["allow", "allow", "block", "block"] and judged[-1].mined
+
+
+def test_query_of_urls_with_planted_signal(spark, tmp_path):
+    """Pages name labelled documents; those of one section are bad."""
+    pages = [(i, f"http://n{i % 5}.example.net/{'casino' if i % 4 == 0 else 'news'}/{i}") for i in range(400)]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(0, 400, 2)]
+    spark.createDataFrame(pages, "page_id long, url string").withColumn("html", F.lit("")).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in op10_url_filter(spark, str(tmp_path)).collect()}
+    assert len(got) == 400 and all((got[i].verdict == "block") == (i % 4 == 0) and (got[i].mined is not None) == (i % 4 == 0) for i in got)
 
 
 def test_vectors_equal_brute_force(spark):
@@ -124,24 +224,94 @@ def test_recall_of_pairs_at_the_threshold(spark):
     assert got.where("n_links > 0").count() >= 0.97 * len(rows)
 
 
-def test_chat_roles_are_recovered(spark):
+def test_chat_roles_and_texts_are_recovered(spark):
+    messages = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    raw = chat.marked_transcripts(messages)
+    held_out = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 == 0
+    rows = chat.parsed(raw.withColumn("style", chat.style_of(F.col("conv_id"))), chat.train(raw.where(~held_out))).where(held_out).collect()
+    texts = {}
+    for m in messages.orderBy("conv_id", "turn", "role", "text").collect():
+        texts.setdefault(m.conv_id, []).append((m.role, (m.text or "").strip()))
+    for style, least in ((0, 0.99), (1, 0.99), (2, 0.99), (3, 0.9)):
+        held = [r for r in rows if r["style"] == style]
+        right = [[(t.role, t.text) for t in r.turns] == [t for t in texts[r.conv_id] if t[1]] for r in held]
+        assert held and sum(right) / len(held) >= least, (style, sum(right) / len(held))
+    assert all(chat.unrendered(r.chat) == [(t.role, t.text) for t in r.turns] for r in rows)
+
+
+@pytest.fixture(scope="module")
+def chat_model(spark):
+    return chat.train(chat.marked_transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")))
+
+
+def test_query_of_chats_accounts_for_every_row(spark):
     rows = op3_chat_format(spark, "/root/testdata/sf0.01").collect()
-    held = [r for r in rows if r.held_out]
-    assert held and sum(r.roles == r.recovered for r in rows) / len(rows) > 0.8
+    n = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").count()
+    assert sum(r.n_turns + r.n_blank for r in rows) == n
     assert all(r.chat.count("<|end|>") == r.n_recovered for r in rows)
 
 
-def test_marked_turns_are_parsed(spark):
-    model = chat.train(chat.marked_transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")))
-    frame = spark.createDataFrame([("User: May that be so?\nAssistant: It may.\nAnd then some more of it.\nUser: Is that all there is?",), ("",), (None,), ("Q: Which one is it?\nA: The second of them.",)], "transcript string")
-    got = [[(t.role, t.text) for t in r.turns] for r in chat.parsed(frame, model).collect()]
+def test_texts_stay_whole(spark, chat_model):
+    text = "User: So?\nAssistant: first\n\nsecond\n\nAnswer: 42\nUser: Thanks <|end|>\nfor <|user|> and more"
+    assert chat_model.turns(text) == [("user", "So?"), ("assistant", "first\n\nsecond\n\nAnswer: 42"), ("user", "Thanks <|end|>\nfor <|user|> and more")]
+    for body in ("<|end|>", "<||end|>", "a <| b <|| c |>", "<|user|>\nx\n<|end|>\n", ""):
+        assert chat.unrendered(chat.rendered([("user", body), ("assistant", "y")])) == [("user", body), ("assistant", "y")]
+
+
+def test_viterbi_equals_brute_force(chat_model):
+    from itertools import product
+
+    text = "User: May it be?\nIt may.\n\nAnswer: no\nBot: yes"
+    for starts in (True, False):
+        lines = chat.lines_of(text, starts)
+
+        def score(path):
+            s = chat_model.start[path[0]] if starts else 0.0
+            s += sum(chat_model.move[a, b] for a, b in zip(path, path[1:]))
+            return s + sum(t[q, v] for q, line in zip(path, lines) for t, v in zip(chat_model.emit, line.features))
+
+        best = max(score(p) for p in product(range(chat.STATES), repeat=len(lines)))
+        assert abs(score(chat_model.states(lines, starts)) - best) < 1e-9
+
+
+def test_marked_turns_are_parsed(spark, chat_model):
+    frame = spark.createDataFrame([("User: May that be so?\nAssistant: It may.\nAnd then some more of it.\nUser: Is that all there is?", "clash"), ("", "clash"), (None, "clash"), ("Q: Which one is it?\nA: The second of them.", "clash")], "transcript string, chat string")
+    got = [[(t.role, t.text) for t in r.turns] for r in chat.parsed(frame, chat_model).collect()]
     assert got == [[("user", "May that be so?"), ("assistant", "It may.\nAnd then some more of it."), ("user", "Is that all there is?")], [], [], [("user", "Which one is it?"), ("assistant", "The second of them.")]]
 
 
 def test_chat_bears_odd_rows(spark):
-    rows = [(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "user", "y"), (2, None, "robot", "z"), (2, None, "robot", "z"), (3, 200, "user", "late"), (3, 0, "user", "early"), (4, 0, "user", "w " * 50_000)]
-    raw = chat.marked_transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    rows = [(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "user", "y"), (2, None, "robot", "z"), (2, None, "robot", "z"), (3, 200, "user", "late"), (3, 0, "user", "early"), (4, 0, "user", "w " * 50_000), (5, 0, "user", " \n ")]
+    rows += [(6, 0, "user", f"same turn {i % 400}") for i in range(700)]
+    raw = chat.marked_transcripts(spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, part string"))
     out = chat.parsed(raw, chat.train(raw)).collect()
-    assert sorted((r.conv_id, r.segment) for r in out) == [(1, 0), (2, 0), (3, 0), (3, 3), (4, 0)]
+    assert sorted({(r.conv_id or -1, r.segment) for r in out}) == [(-1, 0), (1, 0), (2, 0), (3, 0), (3, 3), (4, 0), (5, 0), (6, 0)]
+    assert sum(len(r.roles) + r.n_blank for r in out) == len(rows) and sum(r.conv_id == 6 for r in out) == 3
+    assert {r.conv_id: r.n_blank for r in out if r.n_blank} == {1: 1, 5: 1}
     empty = chat.marked_transcripts(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert chat.parsed(empty, chat.train(empty)).count() == 0
+
+
+def test_operators_at_once_in_one_session(spark):
+    """Scratch tables belong to a call: calls in several threads don't touch each other's."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tempora.llm.queries import op5_mix, op7_substring_dedup, op9_embedding_dedup
+
+    sf = "/root/testdata/sf0.001"
+    alone = [sorted(map(repr, q(spark, sf).collect())) for q in (op5_mix, op7_substring_dedup, op9_embedding_dedup)]
+    with ThreadPoolExecutor(3) as pool:
+        runs = [pool.submit(lambda q=q: sorted(map(repr, q(spark, sf).collect()))) for q in (op5_mix, op7_substring_dedup, op9_embedding_dedup) * 2]
+    assert [r.result() for r in runs] == alone * 2
+
+
+def test_vectors_of_text_labels_and_none(spark):
+    one, two = [float(np.sin(i)) for i in range(64)], [float(np.sin(i)) + 0.01 * (i % 3) for i in range(64)]
+    rows = [(1, one, "a"), (2, two, "a"), (3, one, "b")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+    assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_empty_pages(spark):
+    assert html_text.extracted(spark.createDataFrame([], "page_id long, html string, text string")).columns == ["page_id", "html", "text"]

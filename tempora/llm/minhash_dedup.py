@@ -14,7 +14,7 @@ How it stays linear and whole under skew:
 * a list of at most ``list_limit`` nodes gives its pairs. Of a longer one, nodes meet by classes of
   set sizes, as linked sets differ by a quarter of their size at most; such a part gives its pairs
   if it is of ``list_limit`` nodes at most, and nothing if it is of one component. Else it is *open*;
-* a pair must have ``LEAST_SHARE`` of the union sketch in common. So a node with fewer values in open
+* a pair must have :func:`least_share` of the union sketch in common. So a node with fewer values in open
   lists than that shares a list that gives pairs with each partner it has. The others are *unsure*;
 * unsure nodes meet by their full sets, of which the rarest fifth decides: two sets with 80 % in
   common share one of the rarest elements of either, whatever the order, if it is one for all. Elements
@@ -24,8 +24,8 @@ How it stays linear and whole under skew:
   meet in a task, which counts the common elements of full sets by matrix products and gives no pairs
   but a spanning set of links.
 
-A linked pair is missed where fewer than :data:`LEAST_SHARE` of its union sketch are in common, with a
-probability of about 1e-7 for 24 values at a similarity of 0.8; or where it only meets in blocks and
+A linked pair is missed where fewer than :func:`least_share` of its union sketch are in common, with a
+probability of :data:`MISS` at a similarity of 0.8; or where it only meets in blocks and
 none of the :data:`BLOCK_LISTS` least values of a node is among its partner's, with a probability of
 about 0.2 to the power of 8, 3e-6. All else is exact.
 """
@@ -45,7 +45,8 @@ from .common import Scratch, bit_set, bits_at, bits_for, in_bits, materialize
 from .graph import components
 from .hashing import mix, shingle_set
 
-#: Hashes that a sketch retains.
+#: Hashes that a sketch retains. Short shingles are in many texts, and lists of their values are long: a larger
+#: sketch then tells linked pairs from chance by a larger share, and fewer nodes are unsure.
 K = 24
 #: Nodes up to which an inverted list gives its pairs.
 LIST_LIMIT = 32
@@ -55,9 +56,19 @@ STARS = 2
 LEVELS = (2, 4, 8, 16, 64, 256)
 #: Least values by which nodes meet in blocks, and nodes of a part of such a list.
 BLOCK_LISTS, PART = 8, 1000
-#: Least share of the union sketch that two sketches must have in common: about six standard
-#: deviations below what a similarity of 0.8 gives on 24 values.
-LEAST_SHARE = 0.33
+#: Probability that a linked pair has fewer common values in its union sketch than are asked for.
+MISS = 2e-7
+
+
+def least_share(k: int, percent: int) -> float:
+    """Least share of a union sketch of ``k`` values that a linked pair must have in common: by the binomial
+    distribution fewer are common with a probability of ``MISS`` at most. A third of 24 values, 17 of 40."""
+    p, below = percent / 100, 0.0
+    for m in range(k):
+        below += math.comb(k, m) * p**m * (1 - p) ** (k - m)
+        if below > MISS:
+            return m / k - 1e-9
+    return 1.0 - 1e-9
 
 
 def _sketches(n: int, k: int):
@@ -127,12 +138,12 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Data
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    return pairs.join(a, "a").join(b, "b").where(fits).where(shared >= LEAST_SHARE * F.size(union)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(fits).where(shared >= least_share(k, percent) * F.size(union)).select("a", "b")
 
 
-def _need(sketch: Column) -> Column:
+def _need(sketch: Column, k: int, percent: int) -> Column:
     """Values that a sketch must have in common with that of a linked node, at least."""
-    return F.ceil(F.size(sketch) * LEAST_SHARE).cast("int")
+    return F.ceil(F.size(sketch) * least_share(k, percent)).cast("int")
 
 
 def _size_class(n_shingles: Column, percent: int) -> Column:
@@ -313,7 +324,7 @@ def _linked(scratch: Scratch, docs: DataFrame, nodes: DataFrame, shingle: int, p
     n_bits = bits_for(crowd.count(), 512)  # a bit set by chance makes a node unsure for nothing
     bits = docs.sparkSession.sparkContext.broadcast(bit_set(crowd.select(F.expr(f"(value & {n_bits - 1}L) ^ ((cls * {_SLOT}L) & {n_bits - 1}L)").alias("p")), n_bits))
     counted = known.select("node", "c", "sketch").mapInArrow(_open_counts(bits, n_bits), "node long, n_open int")
-    status = scratch(known.join(counted, "node").select("node", "root", "n_shingles", "c", "n_open", _need(F.col("sketch")).alias("need")), "status")
+    status = scratch(known.join(counted, "node").select("node", "root", "n_shingles", "c", "n_open", _need(F.col("sketch"), k, percent).alias("need")), "status")
     unsure = scratch(status.where("n_open >= need").join(known.select("node", "sketch"), "node"), "unsure")
     at = held.join(status, "node")
     short = at.where(F.col("n") <= list_limit).withColumn("cls", F.lit(-1)).drop("n")

@@ -71,7 +71,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"), shingle=2, percent=80, k=40)
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,10 +68,11 @@ def components(sets, percent=80):
     return [find(i) for i in ids]
 
 
-@pytest.mark.parametrize("limits", [(24, 32, 0.33), (24, 3, 0.05), (24, 2, 0.33)])
+@pytest.mark.parametrize("limits", [(24, 32, None), (40, 3, 0.05), (24, 2, None)])
 def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, limits):
     k, list_limit, share = limits
-    monkeypatch.setattr(minhash_dedup, "LEAST_SHARE", share)
+    if share:
+        monkeypatch.setattr(minhash_dedup, "least_share", lambda k, percent: share)
     monkeypatch.setattr(minhash_dedup, "PART", 7)
     got = sorted(map(tuple, minhash_dedup.near_duplicates(docs, shingle=2, k=k, list_limit=list_limit).collect()), key=repr)
     rows = [(r[0], r[1]) for r in odd_rows()]

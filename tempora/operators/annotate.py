@@ -99,12 +99,12 @@ def annotate_with(requests: DataFrame, fn: Callable[[pd.DataFrame], list], *, re
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.reset_index(drop=True)
-            out = pd.DataFrame({"output": [None] * len(frame), "error": [None] * len(frame), "attempts": 0}, index=frame.index)
-            todo = frame.index
+            outputs, errors, attempts = ([x] * len(frame) for x in (None, None, 0))
+            todo = list(range(len(frame)))
             for attempt in range(retries + 1):
-                if not len(todo):
+                if not todo:
                     break
-                part = frame.loc[todo].assign(attempt=attempt, last_error=out.loc[todo, "error"])
+                part = frame.iloc[todo].assign(attempt=attempt, last_error=[errors[i] for i in todo])
                 try:
                     values, why = list(fn(part)), "no output"
                     if len(values) != len(part):
@@ -112,18 +112,30 @@ def annotate_with(requests: DataFrame, fn: Callable[[pd.DataFrame], list], *, re
                 except Exception as e:  # a model's failure must not fail the job
                     values, why = [None] * len(part), f"{type(e).__name__}: {e}"
                 for i, v in zip(todo, values, strict=True):
-                    out.loc[i, ["output", "error", "attempts"]] = [None if v is None else str(v), why if v is None else None, attempt + 1]
-                todo = [i for i in todo if out.loc[i, "output"] is None]
-            yield pd.concat([frame, out], axis=1)
+                    outputs[i], errors[i], attempts[i] = None if v is None else str(v), why if v is None else None, attempt + 1
+                todo = [i for i in todo if outputs[i] is None]
+            yield frame.assign(output=outputs, error=errors, attempts=attempts)
 
     return requests.mapInPandas(run, f"{schema}, output string, error string, attempts int")
 
 
-def annotate_rounds(requests: DataFrame, fn: Callable[[pd.DataFrame], list], done: Callable[[Column], Column], *, rounds: int = 2) -> DataFrame:
-    """Ask again, up to ``rounds`` times, for the rows whose output isn't done yet."""
-    got = annotate_with(requests, fn, retries=0)
-    for _ in range(rounds - 1):
+def annotate_rounds(requests: DataFrame, fn: Callable[[pd.DataFrame], list], done: Callable[[Column], Column], path: str, *, rounds: int = 2) -> DataFrame:
+    """Ask again, up to ``rounds`` times, for the rows whose output isn't done yet.
+
+    ``fn`` also gets round (from 1) and last_output (null in the first round). Returns the requests plus
+    round, output, error and attempts, each row once: as the first round that was done left it, or the
+    last. Each round is written under ``path``, a new folder that all executors share, so that the
+    function runs once for a row and round.
+    """
+    todo, out = requests.withColumn("last_output", F.lit(None).cast("string")), None
+    for k in range(1, rounds + 1):
+        got = annotate_with(todo.withColumn("round", F.lit(k)), fn, retries=0)
+        got.write.parquet(f"{path}/round-{k}")
+        got = requests.sparkSession.read.schema(got.schema).parquet(f"{path}/round-{k}")
         ok = F.coalesce(done(F.col("output")), F.lit(False))
-        again = annotate_with(got.where(~ok).select(requests.columns), fn, retries=0)
-        got = got.where(ok).unionByName(again)
-    return got
+        settled = (got if k == rounds else got.where(ok)).drop("last_output")
+        out = settled if out is None else out.unionByName(settled)
+        todo = got.where(~ok).select(*requests.columns, F.col("output").alias("last_output"))
+        if k < rounds and todo.isEmpty():
+            break
+    return out

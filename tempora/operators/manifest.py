@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,15 +137,21 @@ def media_check_stats(checked: DataFrame) -> DataFrame:
 
 
 def top_terms(df: DataFrame, *, max_terms: int = 8) -> DataFrame:
-    """id, terms: the words of text by count, then by word; stopwords and short words left out.
-
-    Words are counted before they are ranked, so the shuffle carries one row for each word of a text.
-    """
-    each = df.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{2,}"), F.lit(0))).alias("w"))
-    each = each.select("id", F.regexp_replace("w", r"^-+|-+$", "").alias("w")).where((F.length("w") >= 3) & ~F.col("w").isin(*STOPWORDS))
-    counts = each.groupBy("id", "w").agg(F.count("*").alias("n"))
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "w"))).where(F.col("r") <= max_terms)
-    return top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "w"))).alias("t")).select("id", F.col("t.w").alias("terms"))
+    """id, terms: the words of text by count, then by word; stopwords and short words left out, and texts
+    without a word. A row is counted where it is, without a shuffle."""
+    word, edges = re.compile(r"[a-z][a-z\-]{2,}"), "-"
+
+    def best(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in frames:
+            out = []
+            for text in texts:
+                counts = Counter(w for w in (m.strip(edges) for m in word.findall(text or "")) if len(w) >= 3 and w not in STOPWORDS)
+                out.append([w for w, _ in heapq.nsmallest(max_terms, counts.items(), key=lambda x: (-x[1], x[0]))])
+            yield pd.Series(out)
+
+    best.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    terms = F.pandas_udf(best, "array<string>")(F.lower("text"))
+    return df.select("id", terms.alias("terms")).where(F.size("terms") > 0)
 
 
 def grounding_filter(terms: DataFrame, detections: DataFrame, *, score: float = 0.25, min_terms: int = 1) -> DataFrame:

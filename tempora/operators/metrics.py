@@ -85,14 +85,6 @@ def paired_similarities(df: DataFrame, id_: str = "vec_id") -> DataFrame:
     return j.select("pair", "label", (_dot(x, y) / F.sqrt(_dot(x, x) * _dot(y, y))).alias("cosine"), (-F.sqrt(add(diff, lambda v: v * v))).alias("euclidean"), (-add(diff, F.abs)).alias("manhattan"), _dot(x, y).alias("dot"))
 
 
-def average_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs, by counts of distinct values."""
-    counts = df.groupBy(col).agg(F.count("*").alias("_n"))
-    at = with_row_index(counts, [col], "_i")
-    upto = prefix_sums(at, "_i", "_n", "_upto")
-    return df.join(upto.select(col, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name)), col)
-
-
 def prefix_sums(df: DataFrame, index: str, value: str, name: str, step: int = 4096) -> DataFrame:
     """Sums of ``value`` up to each row in the order of ``index``: sums inside blocks of ``step`` places
     plus the sums of the blocks before, which are few."""
@@ -103,16 +95,27 @@ def prefix_sums(df: DataFrame, index: str, value: str, name: str, step: int = 40
     return out.withColumn("_inside", inside).join(F.broadcast(blocks), "_b").withColumn(name, F.col("_inside") + F.col("_before")).drop("_b", "_inside", "_before")
 
 
+def average_ranks(long_: DataFrame) -> DataFrame:
+    """``long_`` (kind, value and more) plus rank: from 1 inside each kind, equal values sharing the mean
+    of theirs. All kinds are ranked in one global order of their distinct values."""
+    counts = long_.groupBy("kind", "value").agg(F.count("*").alias("_n"))
+    upto = prefix_sums(with_row_index(counts, ["kind", "value"], "_i"), "_i", "_n", "_upto")
+    before = upto.groupBy("kind").agg(F.min(F.col("_upto") - F.col("_n")).alias("_before"))  # one row a kind
+    ranks = upto.join(F.broadcast(before), "kind")
+    return long_.join(ranks.select("kind", "value", (F.col("_upto") - F.col("_before") - F.col("_n") + (F.col("_n") + 1) / 2).alias("rank")), ["kind", "value"])
+
+
 def paired_similarity_correlation(df: DataFrame, id_: str = "vec_id") -> DataFrame:
     """One row: Pearson and Spearman correlation of each similarity with the label."""
-    sims = paired_similarities(df, id_).persist()
     kinds = ("cosine", "euclidean", "manhattan", "dot")
-    out = sims.agg(*[F.corr(k, "label").alias(f"{k}_pearson") for k in kinds])
-    ranked = average_ranks(sims, "label", "_l")
-    for k in kinds:
-        r = average_ranks(ranked.select("pair", k, "_l"), k, "_r")
-        out = out.crossJoin(F.broadcast(r.agg(F.corr("_r", "_l").alias(f"{k}_spearman"))))
-    return out
+    sims = paired_similarities(df, id_)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("value")) for k in (*kinds, "label"))))
+    ranked = average_ranks(sims.select("pair", each.alias("e")).select("pair", "e.*"))
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    wide = ranked.groupBy("pair").agg(*(of(k, c).alias(f"{k}_{c}") for k in (*kinds, "label") for c in ("value", "rank")))
+    return wide.agg(
+        *(F.corr(f"{k}_value", "label_value").alias(f"{k}_pearson") for k in kinds), *(F.corr(f"{k}_rank", "label_rank").alias(f"{k}_spearman") for k in kinds)
+    )
 
 
 def contrastive_margin(df: DataFrame, batch: int = 256) -> DataFrame:
@@ -206,13 +209,25 @@ def text_overlap_metrics(df: DataFrame) -> DataFrame:
 
 
 def ema_smooth(df: DataFrame, key: str, order: str, value: str, smooth: float = 0.9) -> DataFrame:
-    """Adds smoothed: the debiased exponential average of each series; a task holds one series."""
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, x, w, out = frame.sort_values(order), 0.0, 0.0, []
-        for v in frame[value].astype(float):
-            x, w = x * smooth + v, w * smooth + 1
-            out.append(x / w)
-        return frame.assign(smoothed=out)[[key, order, value, "smoothed"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(key, order, value).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}, smoothed double")
+    """Adds smoothed: the debiased exponential average of each series, by blocks of rows.
+
+    Rows get their place in the order of (key, order). Inside a block the average is a sum weighted by
+    powers of ``smooth``; the blocks before add theirs by weights that fall below any double after
+    ``reach`` blocks. So no task holds a series, however long. A null value counts 0.
+    """
+    fall = -math.log(smooth)
+    block, reach = max(256, math.ceil(25 / fall)), math.ceil(745 / (max(256, math.ceil(25 / fall)) * fall)) + 1
+    rows = with_row_index(df.select(key, order, value), [key, order], "_i").withColumn("_b", F.floor(F.col("_i") / block))
+    at = rows.withColumn("_l", (F.col("_i") - F.col("_b") * block).cast("double"))
+    inside = Window.partitionBy(key, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    power = lambda n: F.exp(n * -fall)
+    at = at.withColumn("_sum", F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * power(-F.col("_l"))).over(inside) * power(F.col("_l")))
+    blocks = at.groupBy(key, "_b").agg(F.min("_i").alias("_first"), F.max("_i").alias("_last"), F.max_by("_sum", "_i").alias("_total"))
+    earlier = Window.partitionBy(key).orderBy("_b")
+    past = F.collect_list(F.struct("_last", "_total")).over(earlier.rowsBetween(-reach, -1))
+    carry = F.aggregate(past, F.lit(0.0), lambda s, p: s + p["_total"] * power((F.col("_first") - 1 - p["_last"]).cast("double")))
+    blocks = blocks.select(key, "_b", "_first", carry.alias("_carry"), F.min("_first").over(earlier).alias("_start"))
+    out = at.join(blocks, [key, "_b"])
+    total = F.col("_sum") + F.col("_carry") * power((F.col("_i") - F.col("_first") + 1).cast("double"))
+    weight = (1 - power((F.col("_i") - F.col("_start") + 1).cast("double"))) / (1 - smooth)
+    return out.select(key, order, value, (total / weight).alias("smoothed"))

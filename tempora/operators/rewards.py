@@ -50,27 +50,30 @@ def _all(requests: DataFrame, scores: DataFrame) -> DataFrame:
     return out.select("request_id", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("reward"))), F.lit(0.0)).alias("reward"))
 
 
-def _valid(requests: DataFrame, truth: DataFrame) -> DataFrame:
-    """request_id, valid: does the completion keep to the schema and to the times asked for?"""
-    text = extract_json_object(F.col("completion"), "strict")
+def _schema_kept(completion: Column, t_end: Column) -> Column:
+    """Does the completion keep to the schema, and end where the truth does (if there is any)? Null if
+    it is no object of segments alone."""
+    text = extract_json_object(completion, "strict")
     maps = F.from_json(text, "struct<segments:array<map<string,string>>>")["segments"]
-    only = F.json_object_keys(text) == F.array(F.lit("segments"))
-    each = requests.where(only).select("request_id", F.posexplode(maps).alias("i", "s"), F.size(maps).alias("n"))
-    each = each.select("request_id", "i", "n", *(F.try_element_at("s", F.lit(c)).alias(c) for c in ("start_time", "end_time", "emotion", "reason")))
-    each = each.withColumns({c: F.col(f"{c}_time").try_cast("double") for c in ("start", "end")})
-    order = Window.partitionBy("request_id").orderBy("i")
+    get = lambda m, c: F.try_element_at(m, F.lit(c))
+    each = F.transform(maps, lambda m: F.struct(
+        get(m, "start_time").try_cast("double").alias("start"), get(m, "end_time").try_cast("double").alias("end"), get(m, "emotion").alias("emotion"), get(m, "reason").alias("reason")
+    ))
     near = lambda a, b: F.abs(F.bround(a, 1) - F.bround(b, 1)) <= 1e-9
-    tenth = lambda c: F.abs(F.col(c) - F.bround(c, 1)) < 1e-9
-    before = F.coalesce(F.lag("end").over(order), F.lit(0.0))
-    ok = (
-        tenth("start") & tenth("end") & (F.col("end") > F.col("start")) & near(F.col("start"), before) & F.col("emotion").isin(*EVAL_LABELS)
-        & F.coalesce(F.lag("emotion").over(order) != F.col("emotion"), F.lit(True)) & (F.trim("reason") != "")
-    )
-    each = each.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    got = each.groupBy("request_id").agg(F.bool_and("ok").alias("ok"), F.max_by("end", "i").alias("end"))
+    tenth = lambda x: F.abs(x - F.bround(x, 1)) < 1e-9
+    alone = lambda s: F.coalesce(tenth(s["start"]) & tenth(s["end"]) & (s["end"] > s["start"]) & s["emotion"].isin(*EVAL_LABELS) & (F.trim(s["reason"]) != ""), F.lit(False))
+    after = lambda a, b: F.coalesce(near(b["start"], F.coalesce(a["end"], F.lit(0.0))) & F.coalesce(a["emotion"] != b["emotion"], F.lit(True)), F.lit(False))
+    shifted = F.concat(F.array(F.lit(None).cast("struct<start:double,end:double,emotion:string,reason:string>")), F.slice(each, 1, F.greatest(F.size(each) - 1, F.lit(0))))
+    chained = F.forall(F.zip_with(shifted, each, after), lambda ok: ok)
+    ends = F.coalesce(near(F.try_element_at(each, F.lit(-1))["end"], t_end), F.lit(True))
+    only = (F.json_object_keys(text) == F.array(F.lit("segments"))) & (F.size(each) > 0)
+    return F.when(only, F.forall(each, alone) & chained & ends)
+
+
+def _valid(requests: DataFrame, truth: DataFrame) -> DataFrame:
+    """request_id, valid: does the completion keep to the schema and to the times asked for?"""
     last = truth.groupBy("request_id").agg(F.max_by("end", "seg_idx").alias("t_end"))
-    got = got.join(last, "request_id", "left")
-    return got.select("request_id", (F.col("ok") & F.coalesce(near(F.col("end"), F.col("t_end")), F.lit(True))).alias("valid"))
+    return requests.join(last, "request_id", "left").select("request_id", _schema_kept(F.col("completion"), F.col("t_end")).alias("valid"))
 
 
 def reward_structure(requests: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -124,15 +127,57 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+_BUILT_IN = dict(REGISTRY)
+
+
 def register_reward(name: str, fn: Callable[..., DataFrame]) -> None:
     """Add a reward: a function of the requests, the parsed predictions and the truth. It may build
     on a pandas UDF; a null reward counts as missing."""
     REGISTRY[name] = fn
 
 
-def score(requests: DataFrame, truth: DataFrame, names: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
-    """request_id and a column for each named reward. ``requests`` has request_id and completion."""
-    pred, out = parse_segments(requests, "completion"), requests.select("request_id")
-    for name in names:
-        out = out.join(REGISTRY[name](requests, pred, truth).withColumnRenamed("reward", name), "request_id", "left")
-    return out
+def _per_request(requests: DataFrame, truth: DataFrame) -> DataFrame:
+    """request_id and all five rewards of :data:`WEIGHTS`: completions are parsed once, pairs of segments
+    are made once, and every reward is a term of one aggregate by request_id."""
+    pred = parse_segments(requests, "completion")
+    t = truth.select("request_id", *(F.col(c).alias(f"t_{c}") for c in ("seg_idx", "start", "end", "emotion")))
+    ends = [F.col(c) for c in ("start", "end", "t_start", "t_end")]
+    iou, overlap, first = interval_iou(*ends), interval_overlap(*ends), -F.col("t_seg_idx")
+    off = F.abs(F.col("start") - F.col("t_start")) + F.abs(F.col("end") - F.col("t_end"))
+    time = ALPHA * iou + (1 - ALPHA) * F.exp(-off / TAU_TIME)
+    hit = ((F.col("emotion") == F.col("t_emotion")) & (iou > 0.5)).cast("double")
+    each = pred.join(t, "request_id", "left").groupBy("request_id", "seg_idx").agg(
+        F.max_by(time, F.struct(iou, first)).alias("time"), F.max_by(hit, F.struct(overlap, first)).alias("hit"), F.first("start").alias("start"),
+        F.first("end").alias("end"), F.first("reason").alias("reason"), F.count("t_seg_idx").alias("m"), F.max_by("t_end", "t_seg_idx").alias("t_end"),
+    )
+    before = F.lag(token_set(F.col("reason"))).over(Window.partitionBy("request_id").orderBy("seg_idx"))
+    same = F.coalesce(jaccard(token_set(F.col("reason")), before) > REASON_SAME, F.lit(False))
+    term = F.exp(-F.abs(word_count(F.col("reason")) - REASON_MU) / REASON_SIGMA)
+    each = each.withColumn("why", F.when((F.trim("reason") == "") | same, 0.0).otherwise(term))
+    got = each.groupBy("request_id").agg(
+        F.count("*").alias("n"), F.max("m").alias("m"), F.first("t_end").alias("t_end"), F.bool_and(F.col("end") - F.col("start") >= MIN_SEGMENT).alias("long"),
+        F.avg("time").alias("temporal"), F.avg("hit").alias("emotion"), F.avg("why").alias("reason"),
+    )
+    n_words = word_count(F.col("completion"))
+    length = F.when(n_words >= LEN_HARD, 0.0).otherwise(F.exp(-F.greatest(F.lit(0), n_words - LEN_SOFT) / LEN_TAU))
+    out = requests.join(got, "request_id", "left").withColumn("valid", _schema_kept(F.col("completion"), F.col("t_end")))
+    part = lambda c, w: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w
+    rewards = {
+        "structure": part("valid", 0.5) + part("long", 0.2) + length * 0.3,
+        "count": F.when(F.col("m") > 0, F.exp(-F.abs(F.col("n") - F.col("m")) / TAU_COUNT)),
+        "temporal": F.col("temporal"), "emotion": F.col("emotion"), "reason": F.col("reason"),
+    }
+    return out.select("request_id", *(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), r)), F.lit(0.0)).alias(name) for name, r in rewards.items()))
+
+
+def score(requests: DataFrame, truth: DataFrame, names: tuple[str, ...] = tuple(WEIGHTS), registry: dict[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
+    """request_id and a column for each named reward. ``requests`` has request_id (once each) and
+    completion; ``registry`` has the rewards by name, by default those that are registered."""
+    known = REGISTRY if registry is None else registry
+    own = [n for n in names if known[n] is _BUILT_IN.get(n)]
+    out = _per_request(requests, truth).select("request_id", *own) if own else requests.select("request_id")
+    if len(own) < len(names):
+        pred = parse_segments(requests, "completion")
+        for name in (n for n in names if n not in own):
+            out = out.join(known[name](requests, pred, truth).withColumnRenamed("reward", name), "request_id", "left")
+    return out.select("request_id", *names)

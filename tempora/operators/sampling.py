@@ -72,7 +72,7 @@ def sample_count(df: DataFrame, n: int, *, id_: str = "id", seed: int = 42, shuf
     if not total:
         return df.withColumn("copy", F.lit(0))
     order = [shuffled_key(id_, seed), F.col(id_)] if shuffle else [F.col(id_)]
-    part = df.orderBy(*order).limit(n % total if n >= total else n).withColumn("copy", F.lit(n // total))
+    part = index_range(df, order, 0, (n % total if n >= total else n) - 1).withColumn("copy", F.lit(n // total)) if n % total else df.limit(0).withColumn("copy", F.lit(0))
     whole = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n // total - 1)))) if n >= total else None
     return part if whole is None else whole.unionByName(part)
 

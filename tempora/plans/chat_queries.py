@@ -29,9 +29,12 @@ _ROOT: list[str] = []
 
 
 def scratch(x: Inputs, name: str) -> str:
-    """A new folder on storage that the cluster shares (spark.checkpoint.dir), or a local one in tests."""
-    root = x.spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder on storage that the cluster shares (spark.checkpoint.dir), or a local one where all
+    runs on one machine."""
+    root, master = x.spark.conf.get("spark.checkpoint.dir", None), x.spark.sparkContext.master
     if not root:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _ROOT:
             _ROOT.append(tempfile.mkdtemp(prefix="spark-"))
         root = _ROOT[0]
@@ -224,6 +227,18 @@ def annotate_with(x: Inputs) -> DataFrame:
     return an.annotate_with(rows, model).select("request_id", "output", "error", "attempts")
 
 
+@query("SELECT video_id || '-' || seg_idx AS request_id, CASE WHEN event_id % 4 = 3 THEN 'draft' ELSE 'final ' || event_id END AS output, CAST(CASE WHEN event_id % 4 = 3 THEN 3 ELSE event_id % 4 + 1 END AS INT) AS round FROM fx_segments")
+def annotate_rounds(x: Inputs) -> DataFrame:
+    """A model that is done with a row in the round that the row's event names, if it is one of three."""
+    def model(frame: pd.DataFrame) -> list:
+        kind = frame["event_id"] % 4
+        return [f"final {e}" if k < 3 and r == k + 1 else "draft" for e, k, r in zip(frame["event_id"], kind, frame["round"], strict=True)]
+
+    rows = x.fx_segments.select(F.concat_ws("-", "video_id", "seg_idx").alias("request_id"), "event_id")
+    done = lambda output: output.startswith("final")
+    return an.annotate_rounds(rows, model, done, scratch(x, "rounds"), rounds=3).select("request_id", "output", "round")
+
+
 # --- files and streams --------------------------------------------------------------------------
 @query("SELECT video_id, dur_ds FROM fx_videos WHERE video_id % 3 <> 0")
 def read_jsonl(x: Inputs) -> DataFrame:
@@ -233,11 +248,16 @@ def read_jsonl(x: Inputs) -> DataFrame:
     return io.read_jsonl(x.spark, path, "video_id long, dur_ds long")
 
 
+def _part(df: DataFrame, id_: str, rows: int = 5000) -> Column:
+    """Which of the files of about ``rows`` rows an id falls into."""
+    return F.pmod(F.xxhash64(id_), F.lit(max(1, -(-df.count() // rows))))
+
+
 @query("SELECT CAST(video_id AS VARCHAR) AS video_id, CAST(dur_ds / 10.0 AS DOUBLE) AS duration FROM fx_videos")
 def read_keyed_json(x: Inputs) -> DataFrame:
     path = scratch(x, "keyed")
     one = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("video_id").cast("string"), F.struct((F.col("dur_ds") / 10).alias("duration"))))))
-    groups = x.fx_videos.groupBy((F.col("video_id") % 16).alias("part")).agg(one.alias("value"))
+    groups = x.fx_videos.groupBy(_part(x.fx_videos, "video_id").alias("part")).agg(one.alias("value"))
     groups.write.partitionBy("part").text(path)  # one object a file
     return io.read_keyed_json(x.spark, path, "duration double").select("video_id", "duration")
 
@@ -246,7 +266,7 @@ def read_keyed_json(x: Inputs) -> DataFrame:
 def read_id_list(x: Inputs) -> DataFrame:
     path = scratch(x, "ids")
     ids = x.conversations.select(F.col("conv_id").cast("string").alias("id")).distinct()
-    ids.groupBy(F.pmod(F.xxhash64("id"), F.lit(8)).alias("part")).agg(F.to_json(F.collect_list("id")).alias("value")).write.partitionBy("part").text(path)
+    ids.groupBy(_part(ids, "id").alias("part")).agg(F.to_json(F.collect_list("id")).alias("value")).write.partitionBy("part").text(path)
     return io.read_id_list(x.spark, path).select("id")
 
 
@@ -280,10 +300,12 @@ def reward_registry(x: Inputs) -> DataFrame:
     def brevity(texts: pd.Series) -> pd.Series:
         return texts.str.len().clip(upper=500) / 500.0
 
-    rw.register_reward("brevity", lambda requests, pred, truth: requests.select("request_id", brevity("completion").alias("reward")))
-    rw.register_reward("missing", lambda requests, pred, truth: requests.select("request_id", F.lit(None).cast("double").alias("reward")))
+    own = {
+        "brevity": lambda requests, pred, truth: requests.select("request_id", brevity("completion").alias("reward")),
+        "missing": lambda requests, pred, truth: requests.select("request_id", F.lit(None).cast("double").alias("reward")),
+    }
     requests, _, truth = sides(x)
-    out = rw.score(requests, truth, ("brevity", "missing"))
+    out = rw.score(requests, truth, ("brevity", "missing"), rw.REGISTRY | own)
     return rounded(out.withColumn("total", rw.weighted_reward(out, {"brevity": 1.0, "missing": 1.0})), "brevity", "total")
 
 
@@ -323,7 +345,7 @@ def incremental_stage(x: Inputs) -> DataFrame:
     base = scratch(x, "stage")
     rows = x.fx_videos.select("video_id", F.col("dur_ds").cast("int").alias("dur_ds"), "n_points")
     for half in (0, 1):
-        rows.where(F.col("video_id") % 2 == half).coalesce(2).write.mode("append").parquet(f"{base}/in")
+        rows.where(F.col("video_id") % 2 == half).write.mode("append").parquet(f"{base}/in")
         jobs.incremental_stage(x.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", rows.schema, lambda df: df.where("n_points > 1")).awaitTermination()
     return x.spark.read.parquet(f"{base}/out")
 
@@ -333,7 +355,7 @@ def interval_throughput(x: Inputs) -> DataFrame:
     """As a stream over files, in complete mode, run until all is read."""
     base = scratch(x, "requests")
     rows = x.fx_requests.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.coalesce(4).write.parquet(f"{base}/in")
+    rows.write.parquet(f"{base}/in")
     stream = x.spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     out = jobs.interval_throughput(stream, late="36500 days")
 
@@ -345,6 +367,23 @@ def interval_throughput(x: Inputs) -> DataFrame:
     return rounded(got, "requests_per_s", "tokens_per_s")
 
 
+@query(
+    """WITH r AS (SELECT ts, request_id % 10 = 0 AS late, epoch_us(time_bucket(INTERVAL '20 seconds', ts)) + 20000000 AS w_end FROM fx_requests),
+    w AS (SELECT MAX(epoch_us(ts)) FILTER (WHERE NOT late) - 864000000000 AS w1, MAX(epoch_us(ts)) - 864000000000 AS w2 FROM r)
+    SELECT time_bucket(INTERVAL '20 seconds', ts) AS start, COUNT(*) AS n_requests FROM r, w WHERE NOT (late AND w_end <= w1) AND w_end <= w2 GROUP BY ALL"""
+)
+def late_requests(x: Inputs) -> DataFrame:
+    """As a stream in append mode: a tenth of the requests comes after the others. Of these, those in
+    intervals that the watermark of ten days has closed are dropped, and open intervals aren't given."""
+    base, rows = scratch(x, "late"), x.fx_requests.withColumn("ts", F.col("ts").cast("timestamp"))
+    for late in (False, True):
+        rows.where((F.col("request_id") % 10 == 0) == F.lit(late)).write.mode("append").parquet(f"{base}/in")
+        out = jobs.interval_throughput(x.spark.readStream.schema(rows.schema).parquet(f"{base}/in"), late="10 days")
+        stream = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return x.spark.read.parquet(f"{base}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "n_requests")
+
+
 @query("SELECT conv_id, MAX(turn) AS turn, COUNT(*) AS n FROM conversations GROUP BY conv_id")
 def last_message(x: Inputs) -> DataFrame:
     n = x.conversations.groupBy("conv_id").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
@@ -153,6 +153,14 @@ def attach_top3(x: Inputs) -> DataFrame:
     return mf.attach_top3(v, _top3(x).where("video_id % 2 = 0"), meta).select("video_id", F.array_join("top3", ",").alias("top3"))
 
 
+@query(f"WITH {_TOP3} SELECT v.video_id, COALESCE(CASE WHEN v.video_id % 2 = 0 THEN t WHEN v.video_id % 3 = 0 THEN 'Fear' END, 'Admiration,Amusement,Anger') AS top3 FROM fx_videos v LEFT JOIN t3 ON v.video_id = t3.video_id")
+def candidates_or_default(x: Inputs) -> DataFrame:
+    v = x.fx_videos.select("video_id")
+    meta = v.where("video_id % 3 = 0").withColumn("top3", F.array(F.lit("Fear")))
+    found = mf.attach_top3(v, _top3(x).where("video_id % 2 = 0"), meta)
+    return found.select("video_id", F.array_join(mf.candidates_or_default(F.col("top3")), ",").alias("top3"))
+
+
 # --- order, samples, batches --------------------------------------------------------------------
 @query("SELECT idx, length FROM fx_lengths ORDER BY idx LIMIT 91 OFFSET 10")
 def index_range(x: Inputs) -> DataFrame:
@@ -237,12 +245,21 @@ def length_grouped_batches(x: Inputs) -> DataFrame:
 
 
 # --- packing and tokens -------------------------------------------------------------------------
-@query()
+#: Best fit in SQL: one step a row of a block, with the room left in its bins.
+_PACK = """RECURSIVE o AS (SELECT idx, length, (row_number() OVER (ORDER BY idx) - 1) // 256 AS block FROM fx_lengths),
+    s AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY length DESC, idx) AS k FROM o),
+    r AS (SELECT DISTINCT block, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS rooms, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS length, CAST(NULL AS BIGINT) AS bin FROM s
+          UNION ALL SELECT block, k, CASE WHEN spot IS NULL THEN list_append(rooms, greatest(4096, length) - length) ELSE list_transform(rooms, lambda x, j: CASE WHEN j = spot THEN x - length ELSE x END) END, idx, length, COALESCE(spot, len(rooms) + 1) - 1
+          FROM (SELECT r.block, s.k, r.rooms, s.idx, s.length, list_min(list_filter(list_transform(r.rooms, lambda x, j: x * 1000 + j), lambda v: v >= s.length * 1000)) % 1000 AS spot FROM r JOIN s ON s.block = r.block AND s.k = r.k + 1)),
+    packed AS (SELECT idx, length, block, bin FROM r WHERE k > 0)"""
+
+
+@query(f"WITH {_PACK} SELECT idx, length, block, bin FROM packed")
 def pack_sequences(x: Inputs) -> DataFrame:
     return pk.pack_sequences(x.fx_lengths)
 
 
-@query()
+@query(f"WITH {_PACK} SELECT block, bin, CAST(SUM(greatest(length, 1)) AS INT) AS n_tokens, CAST(MAX(greatest(length, 1)) - 1 AS INT) AS last_position, CAST(SUM(greatest(length, 1) * (greatest(length, 1) - 1) // 2) AS BIGINT) AS sum_positions FROM packed GROUP BY block, bin")
 def concat_packed(x: Inputs) -> DataFrame:
     ids = F.sequence(F.lit(1), F.greatest("length", F.lit(1)).cast("int"))
     rows = pk.pack_sequences(x.fx_lengths).select("idx", "block", "bin", ids.alias("input_ids"), ids.alias("labels"), F.transform(ids, lambda v: F.lit(1.0)).alias("loss_scale"))
@@ -250,16 +267,22 @@ def concat_packed(x: Inputs) -> DataFrame:
     return out.select("block", "bin", F.size("input_ids").alias("n_tokens"), F.array_max("position_ids").alias("last_position"), F.aggregate("position_ids", F.lit(0).cast("long"), lambda s, v: s + v).alias("sum_positions"))
 
 
-@query("SELECT idx, CASE WHEN length > 64 THEN 64 ELSE length END AS n_kept, length AS last_kept FROM fx_lengths WHERE length > 0")
+def _ids() -> Column:
+    return F.when(F.col("length") > 0, F.sequence(F.lit(1), F.col("length").cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+@query("SELECT idx, least(length, 64) AS n_kept, nullif(length, 0) AS last_kept FROM fx_lengths UNION ALL SELECT -1 - idx, 0, NULL FROM fx_lengths WHERE idx < 10")
 def truncate_tokens(x: Inputs) -> DataFrame:
-    ids = F.sequence(F.lit(1), F.col("length").cast("int"))
-    rows = x.fx_lengths.where("length > 0").withColumn("p", tk.take(ids, tk.truncate_tokens(ids, 64, "left")))
+    ids = _ids()
+    empty = x.fx_lengths.where("idx < 10").select((-1 - F.col("idx")).alias("idx"), F.lit(0).cast("long").alias("length"))  # rows without a token
+    rows = x.fx_lengths.unionByName(empty).withColumn("p", tk.take(ids, tk.truncate_tokens(ids, 64, "left")))
     return rows.select("idx", F.size("p").cast("long").alias("n_kept"), F.array_max("p").cast("long").alias("last_kept"))
 
 
-@query("SELECT idx, CAST(c AS INT) AS chunk, least(length, (c + 1) * 128) - c * 128 AS n FROM fx_lengths, unnest(range(0, (length + 127) // 128)) t(c) WHERE length > 0")
+@query("SELECT idx, CAST(c AS INT) AS chunk, least(length, (c + 1) * 128) - c * 128 AS n FROM fx_lengths, unnest(range(0, greatest((length + 127) // 128, 1))) t(c) UNION ALL SELECT -1 - idx, 0, 0 FROM fx_lengths WHERE idx < 10")
 def split_tokens(x: Inputs) -> DataFrame:
-    rows = x.fx_lengths.where("length > 0").select("idx", F.sequence(F.lit(1), F.col("length").cast("int")).alias("ids"))
+    empty = x.fx_lengths.where("idx < 10").select((-1 - F.col("idx")).alias("idx"), F.lit(0).cast("long").alias("length"))  # stay as they are
+    rows = x.fx_lengths.unionByName(empty).select("idx", _ids().alias("ids"))
     return tk.split_tokens(rows, "ids", 128).select("idx", "chunk", F.size("ids").cast("long").alias("n"))
 
 
@@ -302,10 +325,12 @@ def word_counts(x: Inputs) -> DataFrame:
     return x.documents.select("doc_id", word_count(F.col("text")).alias("n_words"))
 
 
-@query("WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')) AS t FROM documents) SELECT a.doc_id, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1 WHERE len(a.t) > 0 AND len(b.t) > 0")
+@query("WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')) AS t FROM documents), u AS (SELECT doc_id, CASE WHEN doc_id % 10 IN (3, 4) OR doc_id % 10 = 8 THEN CAST([] AS VARCHAR[]) ELSE t END AS t FROM t) SELECT a.doc_id, round(CASE WHEN len(a.t) = 0 AND len(b.t) = 0 THEN 1 WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6) AS jaccard FROM u a JOIN u b ON b.doc_id = a.doc_id + 1")
 def jaccard_neighbours(x: Inputs) -> DataFrame:
-    t = x.documents.select("doc_id", token_set(F.col("text")).alias("t"))
-    j = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u")), "doc_id").where("size(t) > 0 and size(u) > 0")
+    """Texts of some ids count as empty, so that one or both sets of a pair are."""
+    blank = (F.col("doc_id") % 10).isin(3, 4, 8)
+    t = x.documents.select("doc_id", token_set(F.when(blank, "").otherwise(F.col("text"))).alias("t"))
+    j = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u")), "doc_id")
     return rounded(j.select("doc_id", jaccard(F.col("t"), F.col("u")).alias("jaccard")), "jaccard")
 
 
@@ -397,6 +422,21 @@ def ranking_metrics(x: Inputs) -> DataFrame:
     return rounded(mt.ranking_metrics(x.fx_ranking), "mrr", "ndcg")
 
 
+@query(
+    """WITH w AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS k, {w} AS w FROM conversations),
+    p AS (SELECT a.conv_id, a.turn, a.k, b.k AS kr, a.w AS p, b.w AS r FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn - 2 WHERE len(a.w) > 0 AND len(b.w) > 0),
+    g AS (SELECT k, kr, n, side, g, COUNT(*) AS c FROM (SELECT k, kr, n, side, array_to_string(x[i:i + n - 1], ' ') AS g FROM (SELECT k, kr, 'p' AS side, p AS x FROM p UNION ALL SELECT k, kr, 'r', r FROM p) s, (VALUES (1), (2)) v(n), unnest(range(1, len(x) - n + 2)) t(i)) GROUP BY ALL),
+    t AS (SELECT k, kr, n, SUM(c) AS total FROM g GROUP BY ALL),
+    b AS (SELECT x.k, x.kr, x.n, SUM(least(x.c, y.c)) AS shared FROM g x JOIN g y ON x.k = y.k AND x.kr = y.kr AND x.n = y.n AND x.g = y.g AND x.side = 'p' AND y.side = 'r' GROUP BY ALL),
+    f AS (SELECT t.k, t.kr, t.n, 2 * COALESCE(shared, 0) / total AS f FROM t LEFT JOIN b ON t.k = b.k AND t.kr = b.kr AND t.n = b.n)
+    SELECT p.conv_id, p.turn, round(COALESCE(x.f, 0), 6) AS rouge1, round(COALESCE(y.f, 0), 6) AS rouge2 FROM p LEFT JOIN f x ON x.k = p.k AND x.kr = p.kr AND x.n = 1 LEFT JOIN f y ON y.k = p.k AND y.kr = p.kr AND y.n = 2""".replace("{w}", "regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')")
+)
+def text_overlap_ngrams(x: Inputs) -> DataFrame:
+    a = x.conversations.select("conv_id", "turn", F.col("text").alias("pred"))
+    rows = a.join(a.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("pred").alias("ref")), ["conv_id", "turn"])
+    return rounded(mt.text_overlap(rows).select("conv_id", "turn", "rouge1", "rouge2"), "rouge1", "rouge2")
+
+
 @query()
 def text_overlap_metrics(x: Inputs) -> DataFrame:
     a = x.conversations.select("conv_id", "turn", F.col("text").alias("pred"))

@@ -108,6 +108,7 @@ def with_views(body: str) -> str:
     need(body)
     own = body.strip()
     ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in dict.fromkeys(order)]
-    if own[:5].upper() == "WITH ":
-        return "WITH " + ", ".join([*ctes, own[5:]])
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if own.startswith(head):
+            return head + ", ".join([*ctes, own[len(head) :]])
     return ("WITH " + ", ".join(ctes) + " " if ctes else "") + own

@@ -179,3 +179,42 @@ def test_a_model_that_fails_gives_error_rows(spark):
 
     out = annotate.annotate_with(spark.createDataFrame([(0,), (1,)], "i long").coalesce(1), model, retries=1).orderBy("i").collect()
     assert [(r.output, r.error, r.attempts) for r in out] == [("ok", None, 2), (None, "no output", 2)]
+
+
+def test_rounds_ask_each_row_once_and_lose_none(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(frame):
+        import random
+
+        asked.add(len(frame))
+        assert all((frame["round"] == 1) == frame["last_output"].isna())
+        return [("done" if random.random() < 0.4 else "draft") for _ in frame["i"]]
+
+    rows = spark.range(1000).withColumnRenamed("id", "i").repartition(5)
+    out = annotate.annotate_rounds(rows, model, lambda c: c == "done", f"{tmp_path}/rounds", rounds=3)
+    for _ in range(2):  # reading again asks nothing again
+        got = out.collect()
+        assert sorted(r.i for r in got) == list(range(1000))
+    assert asked.value == sum(r["round"] for r in got) and all(r.output == "done" or r["round"] == 3 for r in got)
+    none = annotate.annotate_rounds(rows.limit(0), model, lambda c: c == "done", f"{tmp_path}/none")
+    assert none.count() == 0 and set(none.columns) == {"i", "round", "output", "error", "attempts"}
+
+
+def test_smoothing_of_a_long_series_equals_the_fold(spark):
+    rng = random.Random(9)
+    rows = [(k, i, rng.uniform(-5, 5)) for k, n in (("long", 3000), ("short", 3), ("one", 1)) for i in range(n)]
+    for smooth in (0.9, 0.5, 0.99):
+        got = {(r.k, r.i): r.smoothed for r in metrics.ema_smooth(spark.createDataFrame(rows, "k string, i long, v double"), "k", "i", "v", smooth).collect()}
+        at, x, w = None, 0.0, 0.0
+        for k, i, v in rows:
+            x, w, at = (x * smooth + v, w * smooth + 1, k) if k == at else (v, 1.0, k)
+            assert abs(got[k, i] - x / w) < 1e-9
+        assert len(got) == len(rows)
+
+
+def test_samples_of_a_share(spark):
+    frame = spark.range(100)
+    for n, want in ((0, 0), (7, 7), (100, 100), (250, 250)):
+        got = sampling.sample_count(frame, n, id_="id")
+        assert got.count() == want and got.select("id", "copy").distinct().count() == want

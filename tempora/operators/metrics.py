@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import words
 from .judging import last_wins
-from .sampling import with_row_index
+from .places import prefix_sums, with_row_index
+
+
+#: A value that more than one row in this many holds is hot.
+HOT = 1000
 
 
 def length_stats(df: DataFrame, col: str) -> DataFrame:
@@ -85,24 +89,18 @@ def paired_similarities(df: DataFrame, id_: str = "vec_id") -> DataFrame:
     return j.select("pair", "label", (_dot(x, y) / F.sqrt(_dot(x, x) * _dot(y, y))).alias("cosine"), (-F.sqrt(add(diff, lambda v: v * v))).alias("euclidean"), (-add(diff, F.abs)).alias("manhattan"), _dot(x, y).alias("dot"))
 
 
-def prefix_sums(df: DataFrame, index: str, value: str, name: str, step: int = 4096) -> DataFrame:
-    """Sums of ``value`` up to each row in the order of ``index``: sums inside blocks of ``step`` places
-    plus the sums of the blocks before, which are few."""
-    out = df.withColumn("_b", F.floor(F.col(index) / step))
-    blocks = out.groupBy("_b").agg(F.sum(value).alias("_s"))
-    blocks = blocks.withColumn("_before", F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).drop("_s")
-    inside = F.sum(value).over(Window.partitionBy("_b").orderBy(index).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return out.withColumn("_inside", inside).join(F.broadcast(blocks), "_b").withColumn(name, F.col("_inside") + F.col("_before")).drop("_b", "_inside", "_before")
-
-
 def average_ranks(long_: DataFrame) -> DataFrame:
     """``long_`` (kind, value and more) plus rank: from 1 inside each kind, equal values sharing the mean
-    of theirs. All kinds are ranked in one global order of their distinct values."""
+    of theirs. All kinds are ranked in one global order of their distinct values. The few values that a
+    share of the rows holds (fewer than ``HOT`` times the kinds) are broadcast, the others joined."""
     counts = long_.groupBy("kind", "value").agg(F.count("*").alias("_n"))
     upto = prefix_sums(with_row_index(counts, ["kind", "value"], "_i"), "_i", "_n", "_upto")
-    before = upto.groupBy("kind").agg(F.min(F.col("_upto") - F.col("_n")).alias("_before"))  # one row a kind
-    ranks = upto.join(F.broadcast(before), "kind")
-    return long_.join(ranks.select("kind", "value", (F.col("_upto") - F.col("_before") - F.col("_n") + (F.col("_n") + 1) / 2).alias("rank")), ["kind", "value"])
+    of_kind = upto.groupBy("kind").agg(F.min(F.col("_upto") - F.col("_n")).alias("_before"), F.sum("_n").alias("_all"))  # one row a kind
+    mean = F.col("_upto") - F.col("_before") - F.col("_n") + (F.col("_n") + 1) / 2
+    ranks = upto.join(F.broadcast(of_kind), "kind").select("kind", "value", mean.alias("rank"), (F.col("_n") * HOT > F.col("_all")).alias("_hot"))
+    met = long_.join(F.broadcast(ranks.where("_hot").select("kind", "value", F.col("rank").alias("_r"))), ["kind", "value"], "left")
+    cold = met.where("_r is null").drop("_r").join(ranks.where("not _hot").drop("_hot"), ["kind", "value"])
+    return met.where("_r is not null").withColumnRenamed("_r", "rank").unionByName(cold)
 
 
 def paired_similarity_correlation(df: DataFrame, id_: str = "vec_id") -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import with_row_index
+from .places import with_row_index
 
 
 def best_fit(lengths: list[int], limit: int) -> list[int]:

@@ -1,25 +1,17 @@
 """Row order, samples, splits, mixes and batches of whole datasets.
 
-Places in a global order come from a range partitioning and the sizes of its partitions, never from
-one task that sees all rows. Random orders are by md5 of a seed and the id, which any engine repeats.
+Places in a global order come from ranges of values (``places``), never from one task that sees all
+rows. Random orders are by md5 of a seed and the id, which any engine repeats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_idx") -> DataFrame:
-    """``df`` plus its place (from 0) in the order, whose columns must tell all rows apart."""
-    ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ordered.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_before")
+from .places import prefix_sums, with_row_index
 
 
 def shuffled_key(id_: str, seed: int) -> Column:
@@ -45,7 +37,7 @@ def shard_range(df: DataFrame, order: Sequence[Column | str], k: int, m: int) ->
 def natural_id_order(col: str) -> list[Column]:
     """Numeric ids by value, then the others as text."""
     number = F.col(col).try_cast("bigint")
-    return [number.asc_nulls_last(), F.col(col)]
+    return [number.isNull(), number, F.col(col)]
 
 
 def head_by_id(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -88,34 +80,49 @@ def train_val_split(df: DataFrame, ratio: float, *, id_: str = "id", seed: int =
     return marked.where("not _val").drop("_val"), marked.where("_val").drop("_val")
 
 
-def interleave(dfs: list[DataFrame], probs: list[float], order: list[str], *, seed: int = 42, stop: str = "first_exhausted") -> DataFrame:
+def interleave(dfs: list[DataFrame], probs: list[float], order: list[str], *, seed: int = 42, stop: str = "first_exhausted", block: int = 65_536) -> DataFrame:
     """Datasets mixed by probability: output slot i draws its source by md5 of the seed and i and takes
     that source's next row. Stops where the first source ends, or once all have ended (a source that
-    ended is taken round again)."""
-    spark = dfs[0].sparkSession
+    ended is taken round again). Empty sources end at once.
+
+    Draws are counted by blocks of slots, further blocks only until the end is known; each block
+    numbers its own slots after the draws of the blocks before, so slots meet no global sort.
+    """
+    spark, first = dfs[0].sparkSession, stop == "first_exhausted"
     sizes = [d.count() for d in dfs]
     edges = [sum(probs[: i + 1]) for i in range(len(probs))]
-    n = int(max(s / p for s, p in zip(sizes, probs, strict=True)) * 1.5) + 64
-    while True:
-        draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
-        source = F.coalesce(*[F.when(draw < e, i) for i, e in enumerate(edges[:-1])], F.lit(len(dfs) - 1))
-        slots = spark.range(n).select(F.col("id").alias("slot"), source.alias("source"))
-        ranked = with_row_index(slots, ["source", "slot"], "_k")
-        firsts = ranked.groupBy("source").agg(F.min("_k").alias("_f"))
-        ranked = ranked.join(F.broadcast(firsts), "source").withColumn("k", F.col("_k") - F.col("_f")).drop("_k", "_f")
-        size = F.element_at(F.array(*map(F.lit, sizes)), F.col("source") + 1)
-        ends = ranked.groupBy("source").agg(F.min(F.when(F.col("k") == size - (0 if stop == "first_exhausted" else 1), F.col("slot"))).alias("e"))
-        ends = [r["e"] for r in ends.collect()]  # one row a source
-        known = [e for e in ends if e is not None]
-        if len(known) == len(dfs) or (stop == "first_exhausted" and known):
-            last = min(known) if stop == "first_exhausted" else max(known) + 1
-            break
-        n *= 2
+    needed = [s + 1 if first else s for s in sizes]  # draws of a source that settle its end
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    source = F.coalesce(*[F.when(draw < e, i) for i, e in enumerate(edges[:-1])], F.lit(len(dfs) - 1))
+
+    def slots(start: int, end: int) -> DataFrame:
+        return spark.range(start, end).select(F.col("id").alias("slot"), source.alias("source"), F.floor(F.col("id") / block).alias("_b"))
+
+    drawn, known, end = [0] * len(dfs), slots(0, 0).groupBy("_b", "source").agg(F.count("*").alias("_n")), 0
+    while not (any if first else all)(d >= n for d, n in zip(drawn, needed, strict=True)):
+        short = [(n - d) / p for d, n, p in zip(drawn, needed, probs, strict=True) if d < n and p > 0]
+        if not first and len(short) < sum(d < n for d, n in zip(drawn, needed, strict=True)):
+            raise ValueError("a source that is never drawn can't end")
+        more = max(1, int((min if first else max)(short) * 1.02 / block) + 1) * block
+        counts = slots(end, end + more).groupBy("_b", "source").agg(F.count("*").alias("_n"))
+        known, end = known.unionByName(counts), end + more
+        for r in counts.groupBy("source").agg(F.sum("_n").alias("n")).collect():  # a row a source
+            drawn[r["source"]] += r["n"]
+    grid = spark.range(end // block).select(F.col("id").alias("_b"), F.explode(F.array(*map(F.lit, range(len(dfs))))).alias("source"))
+    counted = grid.join(known, ["_b", "source"], "left").select("_b", "source", F.coalesce("_n", F.lit(0)).alias("_n"), (F.col("source") * (end // block) + F.col("_b")).alias("_i"))
+    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("source") + 1)
+    total = F.element_at(F.array(*map(F.lit, [sum(drawn[:i]) for i in range(len(dfs))])), F.col("source") + 1)
+    before = prefix_sums(counted, "_i", "_n", "_upto").select("_b", "source", (F.col("_upto") - F.col("_n") - total).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_b", "source").orderBy("slot")) - 1
+    ranked = slots(0, end).withColumn("_in", inside).join(before, ["_b", "source"]).withColumn("k", F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
+    # the slots that draw a source's last row, or one beyond it
+    ends = [r["slot"] for r in ranked.where(F.col("k") == size - (0 if first else 1)).select("slot").collect()]
+    last = min(ends, default=0) if first else max(ends, default=-1) + 1
     rows = None
     for i, (d, o) in enumerate(zip(dfs, order, strict=True)):
         at = with_row_index(d, [o], "_at").withColumn("source", F.lit(i))
         rows = at if rows is None else rows.unionByName(at, allowMissingColumns=True)
-    taken = ranked.where(F.col("slot") < last).withColumn("_at", F.col("k") % size).drop("k")
+    taken = ranked.where((F.col("slot") < last) & (size > 0)).withColumn("_at", F.try_mod("k", size.cast("bigint"))).drop("k")
     return taken.join(rows, ["source", "_at"]).drop("_at")
 
 

@@ -392,4 +392,4 @@ def last_message(x: Inputs) -> DataFrame:
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS row_idx FROM orders")
 def with_row_index(x: Inputs) -> DataFrame:
-    return sp.with_row_index(x.orders, [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "row_idx")
+    return sp.with_row_index(x.orders, [-F.col("o_totalprice"), "o_orderkey"]).select("o_orderkey", "row_idx")

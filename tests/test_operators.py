@@ -1,13 +1,17 @@
 """Rules that literal rows and properties show."""
 
+import hashlib
+import itertools
 import random
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempora.functions.intervals import clamp, interval_iou
 from tempora.functions.json_text import extract_json_object
 from tempora.functions.labels import EVAL_LABELS, PIPELINE_LABELS, jaccard, match_emotion, token_set
-from tempora.operators import advantage, annotate, evaluate, judging, metrics, pack, sampling, timeline
+from tempora.operators import advantage, annotate, evaluate, judging, metrics, pack, places, sampling, timeline
 
 
 def fold(segments, dur):
@@ -218,3 +222,54 @@ def test_samples_of_a_share(spark):
     for n, want in ((0, 0), (7, 7), (100, 100), (250, 250)):
         got = sampling.sample_count(frame, n, id_="id")
         assert got.count() == want and got.select("id", "copy").distinct().count() == want
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 100])
+def test_places_equal_row_number(spark, ranges):
+    df = spark.range(20_000).select("id", (F.xxhash64("id") % 500).alias("a"), F.when(F.col("id") % 7 > 0, F.md5((F.col("id") % 90).cast("string").cast("binary"))).alias("b"))
+    order = ["b", -F.col("a"), "id"]
+    want = df.select("id", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) - 1).alias("want"))
+    for parts in (3, 11):  # the places don't depend on the partitions
+        got = places.with_row_index(df.repartition(parts), order, ranges=ranges)
+        assert got.count() == 20_000 and got.join(want, "id").where("row_idx <> want").count() == 0
+
+
+def test_places_of_ties_and_of_nothing(spark):
+    df = spark.range(9000).select((F.col("id") % 3).alias("k"), F.lit("x").alias("row_idx_"))
+    got = places.with_row_index(df, ["k"], ranges=50)
+    assert sorted(r.row_idx for r in got.collect()) == list(range(9000))
+    assert {r.k for r in got.where("row_idx < 3000").collect()} == {0}
+    assert places.with_row_index(df.where("false"), ["k"]).collect() == []
+
+
+def test_prefix_sums_over_four_levels(spark):
+    df = spark.range(5000).select("id", (F.xxhash64("id") % 10).alias("v"))
+    got = [r.s for r in places.prefix_sums(df, "id", "v", "s", step=8).orderBy("id").collect()]
+    values = [r.v for r in df.orderBy("id").collect()]
+    assert got == list(itertools.accumulate(values))
+
+
+def test_ranks_of_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "HOT", 3)
+    values = [1.0] * 50 + [2.0, 3.0, 3.0] + [float("nan")] * 2
+    df = spark.createDataFrame([(i, "k", v) for i, v in enumerate(values)], "i long, kind string, value double")
+    got = {r.i: r.rank for r in metrics.average_ranks(df).collect()}
+    assert [got[i] for i in (0, 49, 50, 51, 52, 53)] == [25.5, 25.5, 51.0, 52.5, 52.5, 54.5] and len(got) == 55
+
+
+@pytest.mark.parametrize("stop", ["first_exhausted", "all_exhausted"])
+def test_interleave_equals_the_draws(spark, stop):
+    sizes, probs = [40, 25, 7], [0.5, 0.3, 0.2]
+    dfs = [spark.range(n).select((F.col("id") + 1000 * i).alias("id")) for i, n in enumerate(sizes)]
+    got = [(r.slot, r.source, r.id) for r in sampling.interleave(dfs, probs, ["id"] * 3, stop=stop, block=16).orderBy("slot").collect()]
+    want, taken, slot = [], [0] * 3, 0
+    while True:
+        x = int(hashlib.md5(f"42-{slot}".encode()).hexdigest()[:8], 16) / 2**32
+        s = 0 if x < 0.5 else 1 if x < 0.8 else 2
+        if stop == "first_exhausted" and taken[s] == sizes[s]:
+            break
+        want.append((slot, s, taken[s] % sizes[s] + 1000 * s))
+        taken[s], slot = taken[s] + 1, slot + 1
+        if stop != "first_exhausted" and all(t >= n for t, n in zip(taken, sizes)):
+            break
+    assert got == want

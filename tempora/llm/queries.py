@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, html_text, licenses, minhash_dedup, mixing, quality, substring_dedup, url_filter
+from . import centroids, chat, decontaminate, embedding_dedup, html_text, licenses, minhash_dedup, mixing, pii, quality, resampling, substring_dedup, url_filter
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,11 +88,41 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents; spans of kind ``term`` are what the corpus shows to disclose it."""
+    out = pii.found(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat(*[pii.listed(F.col("found")[k], k) for k in pii.KINDS])
+    out = out.select("doc_id", "found", base.alias("base"))
+    spans = F.concat("base", pii.listed(F.col("found")["term"], "term"))
+    return out.select(
+        "doc_id", *[F.size(F.col("found")[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"), F.array_join(spans, ",").alias("spans"),
+    )
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    if not out.centroids:
+        fixed = {"cluster_inertia": F.lit(0).cast("bigint"), "inertia": F.lit(0).cast("bigint"), "centroid_sha256": F.lit("")}
+    else:
+        # a sum beyond a long is null
+        long_ = lambda n: F.lit(n).cast("decimal(38,0)").try_cast("bigint")
+        names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in out.centroids]
+        of = lambda values: F.get(F.array(*values), F.col("cluster"))
+        fixed = {"cluster_inertia": of([long_(n) for n in out.inertia]), "inertia": long_(sum(out.inertia)), "centroid_sha256": of([F.lit(x) for x in names])}
+    return out.assigned.withColumns(fixed).select(F.col("id").alias("vec_id"), "cluster", "distance", *fixed)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resampled(docs, load(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_decontaminate, op3_chat_format, op4_html_text, op5_mix, op6_quality,
-        op7_substring_dedup, op8_near_dedup, op9_embedding_dedup, op10_url_filter,
+        op7_substring_dedup, op8_near_dedup, op9_embedding_dedup, op10_url_filter, op11_pii, op12_centroids, op13_resampling,
     )
 }
 
@@ -101,6 +132,26 @@ _REACH = """
     reach AS (SELECT a, b FROM sym UNION SELECT r.a, t.b FROM reach r JOIN sym t ON r.b = t.a),
     least_id AS (SELECT a, MIN(b) AS m FROM reach GROUP BY a)"""
 
+
+def _centroid_sql(k: int = 8, dims: int = 64, rounds: int = 10) -> str:
+    """A pair of tables a round: assignments of all vectors, then moved centroids."""
+    ctes = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"x AS MATERIALIZED (SELECT vec_id, t.d, e[t.d] AS x FROM v, unnest(range(1, {dims} + 1)) t(d))",
+        f"f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM v QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT f.c, x.d, x.x FROM f JOIN x USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, arg_min(c, (s, c)) AS c, CAST(MIN(s) AS BIGINT) AS distance FROM (SELECT x.vec_id, c.c, SUM((x.x - c.x) * (x.x - c.x)) AS s FROM x JOIN c{r} c USING (d) GROUP BY ALL) GROUP BY vec_id)")
+        if r < rounds:
+            moved = f"SELECT a.c, x.d, SUM(x.x) AS s, COUNT(*) AS n FROM a{r} a JOIN x USING (vec_id) GROUP BY ALL"
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c.c, c.d, COALESCE(CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT), c.x) AS x FROM c{r} c LEFT JOIN ({moved}) m USING (c, d))")
+    return f"""WITH {', '.join(ctes)},
+    named AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY c)
+    SELECT vec_id, CAST(c AS INT) AS cluster, distance, CAST(SUM(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(SUM(distance) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+    FROM a{rounds} JOIN named USING (c)"""
+
+
 #: The queries that SQL can express; tests hold the others against plain Python.
 SQL: dict[str, str] = {
     "op2_decontaminate": rf"""
@@ -129,4 +180,20 @@ SQL: dict[str, str] = {
     nl AS (SELECT a, COUNT(*) AS n FROM sym GROUP BY a)
     SELECT vec_id, COALESCE(nl.n, 0) AS n_links, least(vec_id, COALESCE(m, vec_id)) AS component_id, COALESCE(m, vec_id) >= vec_id AS kept
     FROM v LEFT JOIN nl ON nl.a = vec_id LEFT JOIN least_id l ON l.a = vec_id""",
+    "op12_centroids": _centroid_sql(),
+    "op13_resampling": rf"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    tab AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    dw AS MATERIALIZED (SELECT r, unnest(w) AS x FROM d), bw AS MATERIALIZED (SELECT unnest(w) AS x FROM b),
+    hex AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+    crc AS MATERIALIZED (SELECT x, xor(list_reduce([4294967295] || list_transform(range(0, len(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS k FROM hex, tab),
+    s AS (SELECT k, COUNT(*) AS n FROM dw JOIN crc USING (x) GROUP BY k), t AS (SELECT k, COUNT(*) AS n FROM bw JOIN crc USING (x) GROUP BY k),
+    tot AS (SELECT (SELECT COUNT(*) FROM dw) AS a, (SELECT COUNT(*) FROM bw) AS b),
+    gain AS MATERIALIZED (SELECT s.k, CAST(floor(1000 * ln(CAST((COALESCE(t.n, 0) + 1) * (a + 10000) AS DOUBLE) / CAST((s.n + 1) * (b + 10000) AS DOUBLE))) AS BIGINT) AS g FROM s LEFT JOIN t USING (k), tot),
+    weight AS (SELECT r, CAST(SUM(g) AS BIGINT) AS weight FROM dw JOIN crc USING (x) JOIN gain USING (k) GROUP BY r),
+    score AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_features, COALESCE(weight, 0) AS weight,
+        CAST(COALESCE(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM d LEFT JOIN weight USING (r)),
+    ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, COUNT(*) OVER () AS n FROM score WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM score LEFT JOIN ranked USING (r)""",
 }

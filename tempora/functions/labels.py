@@ -23,7 +23,9 @@ STOPWORDS = (
     "camera", "frame", "lighting", "background", "foreground", "movement", "motion", "view", "shot", "color", "colors",
     "area", "side", "part", "moment", "time", "transition", "atmosphere",
 )
+# Patterns of words and of terms (lower-cased).
 WORD = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
+TERM = r"[a-z][a-z\-]{2,}"
 
 
 def match_emotion(label: Column) -> Column:

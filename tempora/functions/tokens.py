@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 def truncate_tokens(ids: Column, max_length: int, how: str = "right", protected: tuple[int, ...] = ()) -> Column:
     """Places (from 0) of the tokens kept: protected tokens always, the others from the left
-    (``right`` cuts the right end) or from the right (``left``)."""
+    (``right`` cuts the right end) or from the right (``left``). ``raise`` cuts nothing: a longer array
+    fails the query with its length."""
+    if how not in ("left", "right", "raise"):
+        raise ValueError(f"unknown truncation: {how}")
     at = F.sequence(F.lit(0), F.size(ids) - 1)
     guard = F.filter(at, lambda i: F.get(ids, i).isin(*protected)) if protected else F.array().cast("array<int>")
     free = F.array_except(at, guard)
     room = F.greatest(F.lit(0), F.lit(max_length) - F.size(guard))
     part = F.slice(free, 1, room) if how == "right" else F.slice(free, F.greatest(F.lit(1), F.size(free) - room + 1), F.greatest(room, F.lit(0)))
     kept = F.array_sort(F.concat(guard, F.when(room > 0, part).otherwise(F.array().cast("array<int>"))))
+    if how == "raise":
+        kept = F.raise_error(F.concat(F.lit("a row of "), F.size(ids), F.lit(f" tokens is longer than {max_length}"))).cast("array<int>")
     return F.when(F.size(ids) > max_length, kept).when(F.size(ids) > 0, at).otherwise(F.array().cast("array<int>"))
 
 

@@ -87,8 +87,9 @@ def row_md5(df: DataFrame, exclude: tuple[str, ...] = ("choices",)) -> Column:
     return F.md5(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).cast("binary"))
 
 
-def annotate_with(requests: DataFrame, fn: Callable[[pd.DataFrame], list], *, retries: int = 2) -> DataFrame:
-    """Adds output, error and attempts: what a user's batch function gives for the rows.
+def _asking(requests: DataFrame, fn: Callable[[pd.DataFrame], list], retries: int) -> DataFrame:
+    """Adds output, error and attempts: what a user's batch function gives for the rows, each time that
+    the result is read.
 
     ``fn`` gets a frame with the requests' columns, attempt and last_error and returns a value (or
     None) a row. Rows without a value, or whole batches that raise, are tried again up to
@@ -119,6 +120,42 @@ def annotate_with(requests: DataFrame, fn: Callable[[pd.DataFrame], list], *, re
     return requests.mapInPandas(run, f"{schema}, output string, error string, attempts int")
 
 
+def annotate_with(requests: DataFrame, fn: Callable[[pd.DataFrame], list], path: str, *, key: str | None = None, batches: int = 1, retries: int = 2) -> DataFrame:
+    """Adds output, error and attempts: what a user's batch function gives for the rows, written under
+    ``path``, a folder that all executors share, so that reading the result asks nothing again.
+
+    ``fn`` gets a frame with the requests' columns, attempt and last_error and returns a value (or None) a
+    row; rows that fail ``retries`` times more carry the last error. With ``key``, which tells the requests
+    apart, the work can be taken up again: requests are asked in ``batches`` by a hash of the key, each
+    batch is committed when it is done, and a further call asks only those without a committed output.
+    What an interrupted batch asked is asked again; more batches lose less.
+    """
+    spark, shape = requests.sparkSession, _asking(requests.limit(0), fn, retries).schema.add("run", "long")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # batches are folders of their own; one that wasn't finished has no mark of success
+    done = [x.getPath() for x in files.listStatus(folder)] if files.exists(folder) else []
+    done = [p.toString() for p in done if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if done and key is None:
+        raise ValueError(f"{path} holds outputs; taking them up again needs a key")
+    known, run = (spark.read.schema(shape).parquet(*done) if done else None), 0
+    todo = requests
+    if known is not None:
+        run = known.agg(F.max("run")).first()[0] + 1
+        keys = known.where("output is not null").select(F.col(key).alias("_key")).distinct()
+        todo = requests.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    for b in range(batches):
+        part = todo.where(F.pmod(F.xxhash64(key), F.lit(batches)) == b) if key else todo
+        _asking(part, fn, retries).withColumn("run", F.lit(run).cast("long")).write.mode("overwrite").parquet(f"{path}/run-{run}-{b}")
+        done.append(f"{path}/run-{run}-{b}")
+    got = spark.read.schema(shape).parquet(*done)
+    if known is None:
+        return got.drop("run")
+    # a key that failed and was asked again has a row for each run
+    best = got.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*shape.names), F.struct(F.col("output").isNotNull(), "run")).alias("r"))
+    return best.select("r.*").drop("run")
+
+
 def annotate_rounds(requests: DataFrame, fn: Callable[[pd.DataFrame], list], done: Callable[[Column], Column], path: str, *, rounds: int = 2) -> DataFrame:
     """Ask again, up to ``rounds`` times, for the rows whose output isn't done yet.
 
@@ -129,7 +166,7 @@ def annotate_rounds(requests: DataFrame, fn: Callable[[pd.DataFrame], list], don
     """
     todo, out = requests.withColumn("last_output", F.lit(None).cast("string")), None
     for k in range(1, rounds + 1):
-        got = annotate_with(todo.withColumn("round", F.lit(k)), fn, retries=0)
+        got = _asking(todo.withColumn("round", F.lit(k)), fn, 0)
         got.write.parquet(f"{path}/round-{k}")
         got = requests.sparkSession.read.schema(got.schema).parquet(f"{path}/round-{k}")
         ok = F.coalesce(done(F.col("output")), F.lit(False))

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import EVAL_LABELS, PIPELINE_LABELS, STOPWORDS
+from ..functions.labels import EVAL_LABELS, PIPELINE_LABELS, STOPWORDS, TERM
+from .places import let
 
 IMAGE, VIDEO, AUDIO = ("jpg", "jpeg", "png", "bmp", "webp", "gif", "tiff"), ("mp4", "avi", "mov", "mkv", "webm", "flv"), ("mp3", "wav", "flac", "ogg", "m4a", "aac")
 
@@ -138,20 +133,16 @@ def media_check_stats(checked: DataFrame) -> DataFrame:
 
 def top_terms(df: DataFrame, *, max_terms: int = 8) -> DataFrame:
     """id, terms: the words of text by count, then by word; stopwords and short words left out, and texts
-    without a word. A row is counted where it is, without a shuffle."""
-    word, edges = re.compile(r"[a-z][a-z\-]{2,}"), "-"
-
-    def best(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in frames:
-            out = []
-            for text in texts:
-                counts = Counter(w for w in (m.strip(edges) for m in word.findall(text or "")) if len(w) >= 3 and w not in STOPWORDS)
-                out.append([w for w, _ in heapq.nsmallest(max_terms, counts.items(), key=lambda x: (-x[1], x[0]))])
-            yield pd.Series(out)
-
-    best.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    terms = F.pandas_udf(best, "array<string>")(F.lower("text"))
-    return df.select("id", terms.alias("terms")).where(F.size("terms") > 0)
+    without a word. A row is counted where it is: its words are sorted and runs of equal ones measured."""
+    found = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.btrim(w, F.lit("-")))
+    words = F.sort_array(F.filter(found, lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS)))
+
+    def ranked(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+        return let(starts, lambda s: F.array_sort(F.zip_with(s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(w) + 1)), lambda a, b: F.struct((a - b).alias("less"), F.get(w, a - 1).alias("word")))))
+
+    best = let(words, lambda w: F.when(F.size(w) > 0, F.transform(F.slice(ranked(w), 1, max_terms), lambda x: x["word"])))
+    return df.select("id", best.alias("terms")).where(F.size("terms") > 0)
 
 
 def grounding_filter(terms: DataFrame, detections: DataFrame, *, score: float = 0.25, min_terms: int = 1) -> DataFrame:

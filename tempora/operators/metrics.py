@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from ..functions.labels import words
 from .judging import last_wins
 from .places import prefix_sums, with_row_index
+from .sampling import bottom_k
 
 
 #: A value that more than one row in this many holds is hot.
 HOT = 1000
 
 
-def length_stats(df: DataFrame, col: str) -> DataFrame:
-    c = F.col(col)
-    return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("size"))
+def length_stats(df: DataFrame, col: str, *, sample: int | None = None, id_: str = "idx", seed: int = 42) -> DataFrame:
+    """Mean, population deviation, least, greatest and number of lengths; with ``sample``, of a uniform
+    sample of at most so many rows (:func:`bottom_k`)."""
+    rows, c = df if sample is None else bottom_k(df, sample, id_=id_, seed=seed), F.col(col)
+    return rows.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("size"))
 
 
 def max_length_filter(df: DataFrame, max_length: int, col: str = "length") -> DataFrame:
@@ -137,6 +140,29 @@ def contrastive_margin(df: DataFrame, batch: int = 256) -> DataFrame:
     return rows.agg(F.avg("pos").alias("mean_pos"), known("neg").alias("mean_neg"), known("margin").alias("margin"))
 
 
+def own_negatives_margin(df: DataFrame, *, order: str = "pos", hard_negatives: int | None = None) -> DataFrame:
+    """One row: mean similarity of anchors to their positives, to their own negatives, and mean margin over
+    the hardest of these.
+
+    Rows (the order column, embedding, label) come in groups: an anchor, whose label is null, its positive
+    (label 1) and any number of negatives (label 0), of which the first ``hard_negatives`` count, if given.
+    A row's group is the number of anchors up to it, which a scan over all rows gives. Rows before the
+    first anchor and groups without a positive are left out; a group without negatives has no margin.
+    """
+    at = with_row_index(df.select(order, "embedding", "label"), [order], "_at").withColumn("_mark", F.col("label").isNull().cast("long"))
+    rows = prefix_sums(at, "_at", "_mark", "_g").where("_g > 0")
+    first = rows.groupBy("_g").agg(F.min_by("embedding", "_at").alias("a"), F.min(F.when(F.col("label") == 1, F.struct("_at", "embedding"))).alias("p"))
+    groups = first.where("p is not null").select("_g", "a", F.col("p.embedding").alias("p"), F.col("p._at").alias("_from"))
+    # negatives follow their positive without a gap, so places count them
+    near = rows.where("label = 0").join(groups.select("_g", "a", "_from"), "_g")
+    if hard_negatives is not None:
+        near = near.where(F.col("_at") - F.col("_from") <= hard_negatives)
+    cosine = lambda x, y: _dot(x, y) / F.greatest(F.sqrt(_dot(x, x) * _dot(y, y)), F.lit(1e-12))
+    neg = near.withColumn("s", cosine(F.col("a"), F.col("embedding"))).groupBy("_g").agg(F.max("s").alias("hardest"), F.sum("s").alias("s"), F.count("s").alias("n"))
+    each = groups.select("_g", cosine(F.col("a"), F.col("p")).alias("pos")).join(neg, "_g", "left")
+    return each.agg(F.avg("pos").alias("mean_pos"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean_neg"), F.avg(F.col("pos") - F.col("hardest")).alias("margin"), F.count("*").alias("n_groups"))
+
+
 def ranking_metrics(df: DataFrame, order: str = "pos") -> DataFrame:
     """One row: MRR and NDCG over query groups, each of which starts at a label of 1; groups of one row
     and rows before the first positive are left out."""
@@ -158,13 +184,19 @@ def _rouge_n(p: list[str], r: list[str], n: int) -> float:
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    row = np.zeros(len(b) + 1, np.int64)
-    codes: dict[str, int] = {}
-    bb = np.array([codes.setdefault(w, len(codes)) for w in b])
+    """Length of the longest common subsequence. Column by column of the usual table, which differs from
+    its neighbour in single steps: these are the zero bits of one integer, and a word's column takes one
+    addition of the integer with the bits at which the word stands in ``b``."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << i
+    whole = (1 << len(b)) - 1
+    steps = whole
     for w in a:
-        hit = np.r_[0, row[:-1] + (bb == codes.get(w, -1))]
-        row = np.maximum.accumulate(np.maximum(hit, row))
-    return int(row[-1])
+        if w in places:
+            at = steps & places[w]
+            steps = ((steps + at) | (steps - at)) & whole
+    return len(b) - steps.bit_count()
 
 
 def _bleu(p: list[str], r: list[str]) -> float:

@@ -32,16 +32,64 @@ def parse_segments(df: DataFrame, column: str, *, strict: bool = False) -> DataF
     return rows.withColumn("seg_idx", (F.row_number().over(Window.partitionBy("request_id").orderBy("_i")) - 1).cast("long")).drop("_i")
 
 
+#: Intervals are filed in cells of a power of two seconds, within these powers.
+FINEST, COARSEST = -10, 60
+
+
+def _filed(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows with times that can overlap others, with ``_own``: the power of two that is not less than the length."""
+    length = F.col(end) - F.col(start)
+    power = F.ceil(F.log2(F.least(length, F.lit(2.0**COARSEST)))).cast("int")
+    return rows.where(~F.isnan(start) & ~F.isnan(end) & (length > 0)).withColumn("_own", F.greatest(power, F.lit(FINEST)))
+
+
+def _cells(rows: DataFrame, start: str, end: str, levels: Column) -> DataFrame:
+    """A row for each cell that an interval touches at each of the levels, none of them finer than its own:
+    at most two cells a level."""
+    out = rows.withColumn("_level", F.explode(levels))
+    bound = lambda c: F.least(F.greatest(F.col(c), F.lit(-(2.0**COARSEST))), F.lit(2.0**COARSEST))
+    at = lambda c: F.floor(bound(c) / F.pow(F.lit(2.0), F.col("_level")))
+    return out.withColumn("_cell", F.explode(F.sequence(at(start), at(end))))
+
+
+def overlapping(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """The pairs of a predicted and a true segment of one request that overlap, each once; ``truth`` has
+    its columns as t_…, both have request_id.
+
+    An interval index of cells: a pair meets at the level of the longer interval, in the cell in which
+    the overlap starts, so that only neighbours of like reach are compared. Intervals that are empty,
+    inverted or not a number overlap nothing.
+    """
+    p, t = _filed(pred, "start", "end"), _filed(truth, "t_start", "t_end")
+    # at most COARSEST - FINEST levels are in use
+    used = sorted(r["_own"] for r in p.select("_own").union(t.select("_own")).distinct().collect())
+    all_levels = F.array(*map(F.lit, used)) if used else F.array().cast("array<int>")
+    own = F.array("_own")
+    above = F.filter(all_levels, lambda x: x > F.col("_own"))
+    drop = lambda df: df.drop("_own")
+    keys = ["request_id", "_level", "_cell"]
+    longer = _cells(p, "start", "end", own).drop("_own").join(drop(_cells(t, "t_start", "t_end", F.concat(own, above))), keys)
+    shorter = _cells(p, "start", "end", above).drop("_own").join(drop(_cells(t, "t_start", "t_end", own)), keys)
+    both, later = longer.unionByName(shorter), F.greatest("start", "t_start")
+    bound = F.least(F.greatest(later, F.lit(-(2.0**COARSEST))), F.lit(2.0**COARSEST))
+    here = F.col("_cell") == F.floor(bound / F.pow(F.lit(2.0), F.col("_level")))
+    return both.where((F.least("end", "t_end") > later) & here).drop("_level", "_cell")
+
+
 def best_match(pred: DataFrame, truth: DataFrame, by: str = "iou") -> DataFrame:
     """Each predicted segment with the true one of the same request that it overlaps best, by IoU or
-    by length; the first of equal ones, even where nothing overlaps. Adds t_… columns and iou."""
+    by length; the first of equal ones, even where nothing overlaps. Adds t_… columns and iou.
+
+    Only overlapping segments are compared; what overlaps none gets the first true one."""
     p = pred.select("request_id", "seg_idx", "start", "end", "emotion")
     t = truth.select("request_id", *(F.col(c).alias(f"t_{c}") for c in ("seg_idx", "start", "end", "emotion")))
     ends = [F.col(c) for c in ("start", "end", "t_start", "t_end")]
-    joined = p.join(t, "request_id").withColumn("iou", interval_iou(*ends))
-    score = F.col("iou") if by == "iou" else interval_overlap(*ends)
-    best = joined.groupBy("request_id", "seg_idx").agg(F.max_by(F.struct("start", "end", "emotion", "t_seg_idx", "t_start", "t_end", "t_emotion", "iou"), F.struct(score, -F.col("t_seg_idx"))).alias("b"))
-    return best.select("request_id", "seg_idx", "b.*")
+    score = interval_iou(*ends) if by == "iou" else interval_overlap(*ends)
+    named = F.struct("t_seg_idx", "t_start", "t_end", "t_emotion")
+    best = overlapping(p, t).where(score > 0).groupBy("request_id", "seg_idx").agg(F.max_by(named, F.struct(score, -F.col("t_seg_idx"))).alias("b"))
+    first = t.groupBy("request_id").agg(F.min_by(named, "t_seg_idx").alias("f"))
+    met = p.join(first, "request_id").join(best, ["request_id", "seg_idx"], "left").withColumn("b", F.coalesce("b", "f"))
+    return met.select("request_id", "seg_idx", "start", "end", "emotion", "b.*").withColumn("iou", interval_iou(*ends))
 
 
 def _all(requests: DataFrame, scores: DataFrame) -> DataFrame:

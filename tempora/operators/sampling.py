@@ -6,6 +6,7 @@ rows. Random orders are by md5 of a seed and the id, which any engine repeats.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,6 +74,20 @@ def sample_percent(df: DataFrame, percent: int, **how) -> DataFrame:
     return sample_count(df, df.count() * percent // 100, **how)
 
 
+def bottom_k(df: DataFrame, k: int, *, id_: str = "id", seed: int = 42) -> DataFrame:
+    """A uniform sample of exactly ``k`` rows (all, if there are no more): those whose md5 of id and seed is
+    least. Tasks pass on what is under a bound that k rows and a few are expected to meet; if chance had it
+    that fewer did, the bound is doubled. So about k rows are shuffled, however many there are."""
+    n, key = df.count(), shuffled_key(id_, seed)
+    if n <= k:
+        return df
+    share = (k + 6 * math.sqrt(k) + 20) / n
+    place = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2**32
+    while df.where(place < share).count() < k:
+        share *= 2
+    return df.where(place < share).orderBy(key, id_).limit(k)
+
+
 def train_val_split(df: DataFrame, ratio: float, *, id_: str = "id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Disjoint parts that make the whole: a row is in the second if its hash is under the ratio."""
     low = F.conv(F.substring(shuffled_key(id_, seed), 1, 8), 16, 10).cast("double") < ratio * 2**32

@@ -224,7 +224,7 @@ def annotate_with(x: Inputs) -> DataFrame:
         return [None if e % 5 == 0 or e % 5 == 1 and not again else f"ok {e}" for e, again in zip(frame["event_id"], late, strict=True)]
 
     rows = x.fx_segments.select(F.concat_ws("-", "video_id", "seg_idx").alias("request_id"), "event_id")
-    return an.annotate_with(rows, model).select("request_id", "output", "error", "attempts")
+    return an.annotate_with(rows, model, scratch(x, "annotated"), key="request_id", batches=3).select("request_id", "output", "error", "attempts")
 
 
 @query("SELECT video_id || '-' || seg_idx AS request_id, CASE WHEN event_id % 4 = 3 THEN 'draft' ELSE 'final ' || event_id END AS output, CAST(CASE WHEN event_id % 4 = 3 THEN 3 ELSE event_id % 4 + 1 END AS INT) AS round FROM fx_segments")
@@ -384,6 +384,51 @@ def late_requests(x: Inputs) -> DataFrame:
     return x.spark.read.parquet(f"{base}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "n_requests")
 
 
+def _restarts(last: int) -> str:
+    """A pair of tables a run: what the run takes, and each id's time of last being taken. The watermark of
+    a run is two days behind the latest time of the runs before."""
+    ctes = ["r AS (SELECT user_id, run, MIN(ts) AS ts, COUNT(*) AS n FROM (SELECT user_id, ts, ((day(ts) - 1) // 3) % 4 AS run FROM events) GROUP BY ALL)",
+            "s0 AS (SELECT NULL::BIGINT AS user_id, NULL::TIMESTAMP AS ts WHERE false)"]
+    for k in range(last):
+        mark = f"COALESCE((SELECT MAX(ts) - INTERVAL '2 days' FROM r WHERE run < {k}), TIMESTAMP '1970-01-01')"
+        ctes.append(f"e{k} AS (SELECT r.* FROM r LEFT JOIN s{k} s USING (user_id) WHERE run = {k} AND r.ts > {mark} AND (s.ts IS NULL OR s.ts + INTERVAL '2 days' <= {mark}))")
+        ctes.append(f"s{k + 1} AS (SELECT user_id, arg_max(ts, k) AS ts FROM (SELECT user_id, ts, 0 AS k FROM s{k} UNION ALL SELECT user_id, ts, 1 FROM e{k}) GROUP BY user_id)")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT user_id, CAST(run AS INT) AS run, n FROM e{k}" for k in range(last))
+
+
+@query(_restarts(4))
+def incremental_stage_by_id(x: Inputs) -> DataFrame:
+    """Four runs of a stage that takes each user once, restarted from its state. The runs get every fourth
+    span of three days, so that users come again before and after their state has gone, and late."""
+    base = scratch(x, "by-id")
+    days = x.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.floor((F.dayofmonth("ts") - 1) / 3) % 4).cast("int").alias("run"))
+    rows = days.groupBy("user_id", "run").agg(F.min("ts").alias("ts"), F.count("*").alias("n")).select("user_id", "run", "ts", "n")
+    for run in range(4):
+        rows.where(F.col("run") == run).write.mode("append").parquet(f"{base}/in")
+        jobs.incremental_stage(x.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", rows.schema, key="user_id", time="ts", late="2 days").awaitTermination()
+    return x.spark.read.schema(rows.schema).parquet(f"{base}/out").select("user_id", "run", "n")
+
+
+@query(
+    """WITH r AS (SELECT request_id % 500 AS id, ts, request_id % 10 = 0 AS late, prompt_tokens AS p, generated_tokens AS g, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start FROM fx_requests),
+    w AS (SELECT epoch_us(MAX(ts) FILTER (WHERE NOT late)) - 864000000000 AS w1, epoch_us(MAX(ts)) - 864000000000 AS w2 FROM r),
+    l AS (SELECT start, id, p, g FROM r, w WHERE NOT (late AND epoch_us(start) + 21600000000 <= w1) AND epoch_us(start) + 21600000000 <= w2 QUALIFY row_number() OVER (PARTITION BY start, id ORDER BY ts DESC, g DESC, p DESC) = 1)
+    SELECT start, COUNT(*) AS n_requests, CAST(SUM(p) AS BIGINT) AS prompt_tokens, CAST(SUM(g) AS BIGINT) AS generated_tokens, round(COUNT(*) / 21600.0, 6) AS requests_per_s, round(SUM(g) / 21600.0, 6) AS tokens_per_s FROM l GROUP BY start"""
+)
+def interval_usage(x: Inputs) -> DataFrame:
+    """As a stream in append mode over a restart: requests report up to some hundred times, a tenth of the
+    reports comes after the others, and of these those in closed intervals are dropped."""
+    base = scratch(x, "usage")
+    rows = x.fx_requests.select((F.col("request_id") % 500).alias("id"), (F.col("request_id") % 10 == 0).alias("late"), F.col("ts").cast("timestamp").alias("ts"), "prompt_tokens", "generated_tokens")
+    for late in (False, True):
+        rows.where(F.col("late") == F.lit(late)).write.mode("append").parquet(f"{base}/in")
+        out = jobs.interval_usage(x.spark.readStream.schema(rows.schema).parquet(f"{base}/in"), id_="id", interval="6 hours", late="10 days")
+        stream = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    got = x.spark.read.parquet(f"{base}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return rounded(got, "requests_per_s", "tokens_per_s")
+
+
 @query("SELECT conv_id, MAX(turn) AS turn, COUNT(*) AS n FROM conversations GROUP BY conv_id")
 def last_message(x: Inputs) -> DataFrame:
     n = x.conversations.groupBy("conv_id").agg(F.count("*").alias("n"))

@@ -340,6 +340,12 @@ def length_stats(x: Inputs) -> DataFrame:
     return rounded(mt.length_stats(x.fx_lengths, "length"), "mean", "std")
 
 
+@query("SELECT round(avg(length), 6) AS mean, round(stddev_pop(length), 6) AS std, MIN(length) AS min, MAX(length) AS max, COUNT(length) AS size FROM (SELECT length FROM fx_lengths ORDER BY md5(idx || '-42'), idx LIMIT 150)")
+def length_stats_sample(x: Inputs) -> DataFrame:
+    """Of a uniform sample of 150 rows."""
+    return rounded(mt.length_stats(x.fx_lengths, "length", sample=150), "mean", "std")
+
+
 @query("SELECT idx, length FROM fx_lengths WHERE length <= 512")
 def max_length_filter(x: Inputs) -> DataFrame:
     return mt.max_length_filter(x.fx_lengths, 512)
@@ -401,6 +407,22 @@ def paired_similarity_correlation(x: Inputs) -> DataFrame:
     return rounded(out, *out.columns)
 
 
+@query(
+    """WITH v AS (SELECT vec_id, (vec_id * 7 + vec_id // 5) % 6 = 0 AS mark, list_transform(embedding, lambda q: CAST(q AS DOUBLE)) AS e FROM embeddings),
+    g AS (SELECT *, SUM(CAST(mark AS INT)) OVER (ORDER BY vec_id) AS g FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY vec_id) AS k FROM g WHERE g > 0),
+    s AS (SELECT k.g, k.k, list_cosine_similarity(a.e, k.e) AS s FROM k JOIN k a ON a.g = k.g AND a.k = 1 WHERE k.k BETWEEN 2 AND 6),
+    m AS (SELECT g, MAX(CASE WHEN k = 2 THEN s END) AS pos, MAX(CASE WHEN k > 2 THEN s END) AS hardest FROM s GROUP BY g)
+    SELECT round(avg(pos), 6) AS mean_pos, (SELECT round(avg(s), 6) FROM s WHERE k > 2) AS mean_neg, round(avg(pos - hardest), 6) AS margin, COUNT(*) AS n_groups FROM m"""
+)
+def own_negatives_margin(x: Inputs) -> DataFrame:
+    """Groups of vectors start where a rule on the id says so; a group's second vector is the positive, and
+    up to four of the others are its negatives."""
+    mark = lambda v: (v * 7 + F.floor(v / 5)) % 6 == 0
+    label = F.when(mark(F.col("vec_id")), None).when(mark(F.col("vec_id") - 1), 1).otherwise(0)
+    out = mt.own_negatives_margin(x.embeddings.select("vec_id", "embedding", label.alias("label")), order="vec_id", hard_negatives=4)
+    return rounded(out, "mean_pos", "mean_neg", "margin")
+
+
 @query(
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda q: CAST(q AS DOUBLE)) AS e FROM embeddings),
     p AS (SELECT a.vec_id // 2 AS i, (a.vec_id // 2) // 256 AS b, a.e AS a, c.e AS p FROM v a JOIN v c ON c.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),

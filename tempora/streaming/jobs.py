@@ -16,8 +16,10 @@ def incremental_stage(
 ) -> StreamingQuery:
     """Process the Parquet files of a folder that are new since the last run and append the results.
 
-    The checkpoint keeps what was read, so that a restart repeats nothing. With ``key`` and ``time``,
-    ids that come again within ``late`` are left out.
+    The checkpoint keeps what was read, so that a restart repeats nothing. With ``key`` and ``time``, ids
+    are kept in the state store over restarts: an id that comes again is left out until the watermark,
+    which is ``late`` behind the latest time of the runs before, has passed the time at which it was taken
+    by ``late``; rows that the watermark has passed are left out as well.
     """
     rows = spark.readStream.schema(schema).parquet(in_path)
     if key and time:
@@ -32,3 +34,20 @@ def interval_throughput(stream: DataFrame, *, time: str = "ts", interval: str =
     rows = stream.withWatermark(time, late) if stream.isStreaming else stream
     g = rows.groupBy(F.window(time, interval).alias("w")).agg(F.count("*").alias("n_requests"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("generated_tokens").alias("generated_tokens"))
     return g.select(F.col("w.start").alias("start"), "n_requests", "prompt_tokens", "generated_tokens", (F.col("n_requests") / width).alias("requests_per_s"), (F.col("generated_tokens") / width).alias("tokens_per_s"))
+
+
+def interval_usage(stream: DataFrame, *, id_: str = "request_id", time: str = "ts", interval: str = "20 seconds", late: str = "1 minute") -> DataFrame:
+    """Distinct requests and token sums of each interval, where a request reports its usage again and
+    again and the last report of the interval counts (the greatest one of a time).
+
+    Two states follow each other: the last report of each id in its interval, and, once the watermark has
+    closed the interval, the sums over ids; both are dropped then, so that the next interval starts from
+    nothing. A late report of an open interval replaces an earlier one; it is never added to it.
+    """
+    rows = stream.withWatermark(time, late) if stream.isStreaming else stream
+    report = F.struct("prompt_tokens", "generated_tokens")
+    last = rows.groupBy(F.window(time, interval).alias("w"), id_).agg(F.max_by(report, F.struct(time, "generated_tokens", "prompt_tokens")).alias("r"))
+    width = F.unix_timestamp(F.col("v.end")) - F.unix_timestamp(F.col("v.start"))
+    g = last.groupBy(F.window(F.window_time("w"), interval).alias("v")).agg(
+        F.count("*").alias("n_requests"), F.sum("r.prompt_tokens").alias("prompt_tokens"), F.sum("r.generated_tokens").alias("generated_tokens"))
+    return g.select(F.col("v.start").alias("start"), "n_requests", "prompt_tokens", "generated_tokens", (F.col("n_requests") / width).alias("requests_per_s"), (F.col("generated_tokens") / width).alias("tokens_per_s"))

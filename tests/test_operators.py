@@ -3,15 +3,17 @@
 import hashlib
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tempora.functions import tokens
 from tempora.functions.intervals import clamp, interval_iou
 from tempora.functions.json_text import extract_json_object
 from tempora.functions.labels import EVAL_LABELS, PIPELINE_LABELS, jaccard, match_emotion, token_set
-from tempora.operators import advantage, annotate, evaluate, judging, metrics, pack, places, sampling, timeline
+from tempora.operators import advantage, annotate, evaluate, judging, manifest, metrics, pack, places, rewards, sampling, timeline
 
 
 def fold(segments, dur):
@@ -174,14 +176,14 @@ def test_text_overlap(spark):
     assert len(got) == 2 and (got[0].rouge1, got[0].rougeL) == (1.0, 1.0) and (got[1].rouge1, got[1].bleu4) == (0.0, 0.0)
 
 
-def test_a_model_that_fails_gives_error_rows(spark):
+def test_a_model_that_fails_gives_error_rows(spark, tmp_path):
     def model(frame):
         if (frame["attempt"] == 0).all():
             raise RuntimeError("down")
         assert (frame["last_error"] == "RuntimeError: down").all()
         return [None if i == 1 else "ok" for i in frame["i"]]
 
-    out = annotate.annotate_with(spark.createDataFrame([(0,), (1,)], "i long").coalesce(1), model, retries=1).orderBy("i").collect()
+    out = annotate.annotate_with(spark.createDataFrame([(0,), (1,)], "i long").coalesce(1), model, f"{tmp_path}/a", retries=1).orderBy("i").collect()
     assert [(r.output, r.error, r.attempts) for r in out] == [("ok", None, 2), (None, "no output", 2)]
 
 
@@ -273,3 +275,117 @@ def test_interleave_equals_the_draws(spark, stop):
         if stop != "first_exhausted" and all(t >= n for t, n in zip(taken, sizes)):
             break
     assert got == want
+
+
+def test_annotation_goes_on_where_it_stopped(spark, tmp_path):
+    """A run dies half way; the next one asks each request that has no committed output, none twice."""
+    log, dead = tmp_path / "asked", tmp_path / "dead"
+    dead.write_text("")
+
+    def model(frame):
+        import os
+
+        if os.path.exists(dead) and any(i >= 60 and i % 3 == 0 for i in frame["i"]) and os.path.getsize(log) > 150:
+            raise SystemExit("the worker is lost")
+        with open(log, "a") as f:
+            f.writelines(f"{i}\n" for i in frame["i"])
+        return [None if i == 7 else f"ok {i}" for i in frame["i"]]
+
+    log.write_text("")
+    rows = spark.range(100).withColumnRenamed("id", "i").coalesce(1)
+    with pytest.raises(Exception):
+        annotate.annotate_with(rows, model, f"{tmp_path}/out", key="i", batches=8, retries=0)
+    first = log.read_text().split()
+    assert 0 < len(first) < 100
+    dead.unlink()
+    out = annotate.annotate_with(rows, model, f"{tmp_path}/out", key="i", batches=8, retries=0)
+    for _ in range(2):  # reading asks nothing
+        got = {r.i: (r.output, r.error) for r in out.collect()}
+    asked = log.read_text().split()
+    assert got == {i: (None, "no output") if i == 7 else (f"ok {i}", None) for i in range(100)}
+    assert all(asked.count(str(i)) == 1 for i in range(100) if i != 7)
+    # a later call asks only the one that has no output yet
+    annotate.annotate_with(rows, model, f"{tmp_path}/out", key="i", batches=8, retries=0).count()
+    assert log.read_text().split()[len(asked):] == ["7"]
+
+
+def all_pairs(pred, truth, by):
+    out = {}
+    for r, i, s, e in pred:
+        best = None
+        for _, j, a, b in sorted(t for t in truth if t[0] == r):
+            over, hull = max(0.0, min(e, b) - max(s, a)), max(e, b) - min(s, a)
+            score = over if by == "overlap" else over / hull if hull > 0 else 0.0
+            if best is None or score > best[0]:
+                best = (score, j)
+        if best:
+            out[r, i] = best[1]
+    return out
+
+
+@pytest.mark.parametrize("by", ["iou", "overlap"])
+def test_best_match_equals_all_pairs(spark, by):
+    rng = random.Random(5)
+
+    def some(n, r):
+        rows = []
+        for i in range(n):
+            s = round(rng.uniform(-5, 60), rng.choice([0, 1, 3]))
+            rows.append((r, i, s, s + rng.choice([0.0, -1.0, 0.0003, 0.5, 1.0, 2.0, 7.0, 50.0, 1e9])))
+        return rows
+
+    pred = [x for r in ("a", "b", "c") for x in some(60, r)] + [("none", 0, 0.0, 1.0)]
+    truth = [x for r in ("a", "b") for x in some(40, r)] + [("c", 0, 900.0, 901.0), ("c", 1, 0.0, 0.0)]
+    ddl = "request_id string, seg_idx long, start double, end double"
+    p, t = (spark.createDataFrame(x, ddl).withColumn("emotion", F.lit("joy")) for x in (pred, truth))
+    got = {(r.request_id, r.seg_idx): r.t_seg_idx for r in rewards.best_match(p, t, by).collect()}
+    assert got == all_pairs(pred, truth, by)
+
+
+def test_best_match_of_one_long_request(spark):
+    n = 20_000
+    p = spark.range(n).select(F.lit("r").alias("request_id"), F.col("id").alias("seg_idx"), (F.col("id") * 1.0).alias("start"), (F.col("id") + 1.5).alias("end"), F.lit("joy").alias("emotion"))
+    whole = spark.createDataFrame([("r", n, 0.0, float(n), "joy")], "request_id string, seg_idx long, start double, end double, emotion string")
+    began = time.perf_counter()
+    got = rewards.best_match(p, p.unionByName(whole)).where("seg_idx = t_seg_idx").count()
+    assert got == n and time.perf_counter() - began < 60
+
+
+def test_long_texts_have_a_common_subsequence():
+    rng = random.Random(2)
+    a, b = ([rng.choice("abcdefgh") for _ in range(20_000)] for _ in range(2))
+    began = time.perf_counter()
+    assert metrics._lcs(a, b) > 10_000 and time.perf_counter() - began < 5
+    assert metrics._lcs([], b) == metrics._lcs(a, []) == 0
+
+
+def test_sample_of_exactly_k_rows(spark):
+    df = spark.range(5000).repartition(7)
+    got = [r.id for r in sampling.bottom_k(df, 300).collect()]
+    key = lambda i: hashlib.md5(f"{i}-42".encode()).hexdigest()
+    assert sorted(got) == sorted(sorted(range(5000), key=key)[:300])
+    assert sorted(r.id for r in sampling.bottom_k(df.repartition(3), 300).collect()) == sorted(got)
+    assert sampling.bottom_k(df, 5000).count() == 5000 and sampling.bottom_k(df.where("false"), 5).count() == 0
+
+
+def test_own_negatives(spark):
+    e = lambda *x: [float(v) for v in x]
+    rows = [(0, e(1, 1), 0), (1, e(1, 0), None), (2, e(1, 0), 1), (3, e(0, 1), 0), (4, e(-1, 0), 0), (5, e(1, 0), None), (6, e(0, 1), None), (7, e(0, 2), 1), (8, e(0, 3), None), (9, e(0, 1), 1), (10, e(1, 1), 0)]
+    df = spark.createDataFrame(rows, "pos long, embedding array<double>, label int")
+    r = metrics.own_negatives_margin(df).first()
+    half = 2**-0.5
+    assert (r.mean_pos, r.n_groups) == (1.0, 3) and abs(r.mean_neg - (0 - 1 + half) / 3) < 1e-9 and abs(r.margin - (1 + 1 - half) / 2) < 1e-9
+    assert abs(metrics.own_negatives_margin(df, hard_negatives=1).first().mean_neg - half / 2) < 1e-9
+
+
+def test_truncation_that_raises(spark):
+    df = spark.createDataFrame([([1, 2, 3],), ([],)], "ids array<int>")
+    assert [r.k for r in df.select(tokens.truncate_tokens(F.col("ids"), 3, "raise").alias("k")).collect()] == [[0, 1, 2], []]
+    with pytest.raises(Exception, match="a row of 3 tokens is longer than 2"):
+        df.select(tokens.truncate_tokens(F.col("ids"), 2, "raise").alias("k")).collect()
+
+
+def test_terms_of_odd_texts(spark):
+    rows = [(1, None), (2, ""), (3, "ab -- a-"), (4, "Zebra zebra -zebra- apple apple mid-way x-y-z it's"), (5, "word " * 60_000 + "other")]
+    got = {r.id: r.terms for r in manifest.top_terms(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {4: ["zebra", "apple", "mid-way", "x-y-z"], 5: ["word", "other"]}

@@ -1,11 +1,16 @@
 """Pages, URLs, vectors, chats and the graph helper."""
 
+import math
+import re
+import time
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tempora.llm import chat, embedding_dedup, html_text, url_filter
-from tempora.llm.common import Scratch
+from tempora.llm.common import Scratch, load
 from tempora.llm.graph import components
 from tempora.llm.queries import op3_chat_format, op10_url_filter
 
@@ -315,3 +320,103 @@ def test_vectors_of_text_labels_and_none(spark):
 
 def test_empty_pages(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, html string, text string")).columns == ["page_id", "html", "text"]
+
+
+@pytest.mark.parametrize("body", [
+    "<div class='layout menu-left'><p>{}</p></div>", "<div class='ad-free'><p>{}</p></div>", "<div id='alert-story'><p>{}</p></div>",
+    "<article><div class='comments-enabled'><p>{}</p></div></article>", "<article><section class='login-guide'><p>{}</p></section></article>",
+    "<div class='menu'><p>{}" + STORY * 8 + "</p></div>", "<aside><p>{}" + STORY * 4 + "</p></aside>", "<article><h1><a href=1>{}</a></h1><p>" + STORY + "</p></article>",
+])
+def test_marks_do_not_lose_the_story(body):
+    page = f"<html><body><nav><a href=1>Home</a></nav>{body.format(STORY)}<footer>Foot of it.</footer></body></html>"
+    assert html_text.main_text(page).startswith(STORY.strip())
+
+
+def test_what_is_no_story_goes():
+    other = "<div class='comment-list'><p>" + STORY * 20 + "</p></div><footer><p>" + STORY + "</p></footer><div class='ad box'>" + STORY + "</div>"
+    assert html_text.main_text(f"<article><p>Short.</p><div class='comments'>{STORY}</div></article>{other}") == "Short."
+    assert html_text.main_text(f"<div><p>{STORY}</p></div>{other}") == STORY.strip()
+    assert html_text.main_text("<nav><a href=1>Home</a></nav><footer>Foot of it.</footer>") == ""
+    links = "".join(f"<li><a href={i}>A related story</a></li>" for i in range(5))
+    assert html_text.main_text(f"<article><p>{STORY}</p><ul>{links}</ul></article>") == STORY.strip()
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '>", "<div class='share'>x", "<div class='menu'>", "<aside>x", "<svg>", "<svg><p>", "<", "<!--", "<div hidden>", "</div>", "<p class=ad>x"])
+def test_malformed_pages_take_linear_time(piece):
+    began = time.perf_counter()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 6
+
+
+class Plain(HTMLParser):
+    """Lines of well-formed pages whose paragraphs may be left open, by a stack of elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.lines, self.now = [], [], ["", 0]
+
+    def cut(self, blank=0):
+        text = " ".join(self.now[0].split(" ")) and re.sub(r"\s+", " ", self.now[0]).strip()
+        names = [n for n, _ in self.stack]
+        if text and not {"head", "script", "style"} & set(names):
+            kind = 2 if any(("class", "ad") in a for _, a in self.stack) else 1 if {"nav", "footer", "header", "aside"} & set(names) else 0
+            self.lines.append((text, max(0, len(text) - self.now[1]), "article" in names, kind))
+        elif blank and self.lines and self.lines[-1][0]:
+            self.lines += [("", 0, False, 0)] * blank
+        self.now = ["", 0]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("meta", "br"):
+            return self.cut() if tag == "br" else None
+        if tag not in ("a", "b", "i", "script", "style"):
+            self.cut()
+            if tag in ("nav", "footer", "header", "aside", "article"):
+                self.cut(3)
+            elif attrs:
+                self.cut(1)
+        self.stack.append((tag, attrs))
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b", "i", "script", "style"):
+            self.cut()
+        if tag in [n for n, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+        if tag == "article":
+            self.cut(3)
+
+    def handle_data(self, data):
+        names = [n for n, _ in self.stack]
+        if not {"script", "style", "title"} & set(names):
+            self.now[0] += data
+            self.now[1] += len(data) if "a" in names else 0
+
+
+def plain_text(page):
+    """The definition on pages with an article: runs of covered lines; those with lines of the article."""
+    p = Plain()
+    p.feed(page)
+    p.cut()
+    lines = p.lines
+    weights = [n / 8 if kind else n * 8 if inside else n for _, n, inside, kind in lines]
+    out, lost = [], 0
+    for a, b, peak in regions_by_definition([math.ceil(w) for w in weights], html_text.WINDOW):
+        inside = any(x[2] and not x[3] for x in lines[a:b])
+        if inside:
+            out += [x[0] for x in lines[a:b] if x[0] and not x[3]]
+        else:
+            lost += sum(1 for x in lines[a:b] if x[0] and x[3] == 1) if peak < html_text.SURGE else 0
+    return " ".join(out), lost
+
+
+def test_pages_equal_a_plain_version(spark):
+    """On all given pages; lines of footers, which no mark takes out, go as their windows don't surge."""
+    lost = 0
+    for r in load(spark, "/root/testdata/sf0.01", "pages").collect():
+        want, n = plain_text(r.html or "")
+        assert html_text.main_text(r.html or "") == want
+        lines = html_text._weighed(*html_text.lines_of(r.html or ""))
+        kept = {i for a, b in html_text.regions_of(lines) for i in range(a, b)}
+        lost += sum(x.kind == html_text.LESS and x.own > 0 and i not in kept for i, x in enumerate(lines))
+        assert n <= lost
+    assert lost >= 250

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import interval_iou, interval_overlap
 from ..functions.json_text import SEGMENTS, extract_json_object
 from ..functions.labels import EVAL_LABELS, jaccard, token_set, word_count
+from .places import let
 
 # Constants of the rewards.
 MIN_SEGMENT, LEN_SOFT, LEN_HARD, LEN_TAU = 0.4, 1200, 2400, 400.0
@@ -22,14 +23,18 @@ REASON_MU, REASON_SIGMA, REASON_SAME = 120, 40.0, 0.75
 WEIGHTS = {"structure": 0.10, "count": 0.25, "temporal": 0.25, "emotion": 0.25, "reason": 0.15}
 
 
+def segments_of(text: Column, *, strict: bool = False) -> Column:
+    """The valid segments of a JSON text in order: start, end, emotion, reason; null if there are none."""
+    given = F.from_json(extract_json_object(text, "strict" if strict else "loose"), SEGMENTS)["segments"]
+    time = lambda s, c: F.coalesce(s[f"{c}_time"], s[c]).try_cast("double").alias(c)
+    each = F.transform(given, lambda s: F.struct(time(s, "start"), time(s, "end"), F.coalesce(s["emotion"], F.lit("")).alias("emotion"), F.coalesce(s["reason"], F.lit("")).alias("reason")))
+    return F.filter(each, lambda s: s["start"].isNotNull() & s["end"].isNotNull())
+
+
 def parse_segments(df: DataFrame, column: str, *, strict: bool = False) -> DataFrame:
     """request_id, seg_idx, start, end, emotion, reason of the valid segments of a JSON column."""
-    obj = F.from_json(extract_json_object(F.col(column), "strict" if strict else "loose"), SEGMENTS)
-    each = df.select("request_id", F.posexplode(obj["segments"]).alias("_i", "s"))
-    start, end = (F.coalesce(F.col(f"s.{c}_time"), F.col(f"s.{c}")).try_cast("double") for c in ("start", "end"))
-    rows = each.select("request_id", "_i", start.alias("start"), end.alias("end"), F.coalesce("s.emotion", F.lit("")).alias("emotion"), F.coalesce("s.reason", F.lit("")).alias("reason"))
-    rows = rows.where("start is not null and end is not null")
-    return rows.withColumn("seg_idx", (F.row_number().over(Window.partitionBy("request_id").orderBy("_i")) - 1).cast("long")).drop("_i")
+    each = df.select("request_id", F.posexplode(segments_of(F.col(column), strict=strict)).alias("seg_idx", "s"))
+    return each.select("request_id", "s.start", "s.end", "s.emotion", "s.reason", F.col("seg_idx").cast("long").alias("seg_idx"))
 
 
 #: Intervals are filed in cells of a power of two seconds, within these powers.
@@ -184,38 +189,65 @@ def register_reward(name: str, fn: Callable[..., DataFrame]) -> None:
     REGISTRY[name] = fn
 
 
+def _below(sorted_: Column, field: str, bound: Column, *, equal: bool) -> Column:
+    """How many of a sorted array's first members have a field under a bound (or equal to it), by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
+    low = lambda x: x <= bound if equal else x < bound
+    return F.aggregate(steps, F.lit(0), lambda i, s: F.when(low(F.get(sorted_, i + s - 1)[field]), i + s).otherwise(i))
+
+
+def _matched(pred: Column, truth: Column, first: Column) -> Column:
+    """time and hit of each predicted segment against the true ones, sorted by start with the latest end so
+    far as ``upto``: those from the first that reaches into it to the last that starts in it are compared."""
+
+    def scores(p: Column, t: Column) -> Column:
+        ends = (p["start"], p["end"], t["start"], t["end"])
+        off = F.abs(p["start"] - t["start"]) + F.abs(p["end"] - t["end"])
+        iou = interval_iou(*ends)
+        hit = ((p["emotion"] == t["emotion"]) & (iou > 0.5)).cast("double")
+        return F.struct(iou.alias("iou"), interval_overlap(*ends).alias("overlap"), (-t["seg_idx"]).alias("first"), (ALPHA * iou + (1 - ALPHA) * F.exp(-off / TAU_TIME)).alias("time"), hit.alias("hit"))
+
+    def best(p: Column) -> Column:
+        begin = _below(truth, "upto", p["start"], equal=True)
+        near = F.slice(truth, begin + 1, F.greatest(_below(truth, "start", p["end"], equal=False) - begin, F.lit(0)))
+        met = F.filter(F.transform(near, lambda t: scores(p, t)), lambda x: x["overlap"] > 0)
+        return let(met, lambda m: F.struct(
+            F.array_max(F.transform(F.filter(m, lambda x: x["iou"] > 0), lambda x: F.struct(x["iou"], x["first"], x["time"].alias("time"))))["time"].alias("time"),
+            F.array_max(F.transform(m, lambda x: F.struct(x["overlap"], x["first"], x["hit"].alias("hit"))))["hit"].alias("hit"), scores(p, first).alias("none")))
+
+    return F.transform(F.transform(pred, best), lambda b: F.struct(F.coalesce(b["time"], b["none"]["time"]).alias("time"), F.coalesce(b["hit"], b["none"]["hit"]).alias("hit")))
+
+
 def _per_request(requests: DataFrame, truth: DataFrame) -> DataFrame:
-    """request_id and all five rewards of :data:`WEIGHTS`: completions are parsed once, pairs of segments
-    are made once, and every reward is a term of one aggregate by request_id."""
-    pred = parse_segments(requests, "completion")
-    t = truth.select("request_id", *(F.col(c).alias(f"t_{c}") for c in ("seg_idx", "start", "end", "emotion")))
-    ends = [F.col(c) for c in ("start", "end", "t_start", "t_end")]
-    iou, overlap, first = interval_iou(*ends), interval_overlap(*ends), -F.col("t_seg_idx")
-    off = F.abs(F.col("start") - F.col("t_start")) + F.abs(F.col("end") - F.col("t_end"))
-    time = ALPHA * iou + (1 - ALPHA) * F.exp(-off / TAU_TIME)
-    hit = ((F.col("emotion") == F.col("t_emotion")) & (iou > 0.5)).cast("double")
-    each = pred.join(t, "request_id", "left").groupBy("request_id", "seg_idx").agg(
-        F.max_by(time, F.struct(iou, first)).alias("time"), F.max_by(hit, F.struct(overlap, first)).alias("hit"), F.first("start").alias("start"),
-        F.first("end").alias("end"), F.first("reason").alias("reason"), F.count("t_seg_idx").alias("m"), F.max_by("t_end", "t_seg_idx").alias("t_end"),
-    )
-    before = F.lag(token_set(F.col("reason"))).over(Window.partitionBy("request_id").orderBy("seg_idx"))
-    same = F.coalesce(jaccard(token_set(F.col("reason")), before) > REASON_SAME, F.lit(False))
-    term = F.exp(-F.abs(word_count(F.col("reason")) - REASON_MU) / REASON_SIGMA)
-    each = each.withColumn("why", F.when((F.trim("reason") == "") | same, 0.0).otherwise(term))
-    got = each.groupBy("request_id").agg(
-        F.count("*").alias("n"), F.max("m").alias("m"), F.first("t_end").alias("t_end"), F.bool_and(F.col("end") - F.col("start") >= MIN_SEGMENT).alias("long"),
-        F.avg("time").alias("temporal"), F.avg("hit").alias("emotion"), F.avg("why").alias("reason"),
-    )
+    """request_id and all five rewards of :data:`WEIGHTS`. A request's completion is parsed once, its
+    segments stay in its row, and the true ones join it as one sorted array."""
+    upto = F.max("end").over(Window.partitionBy("request_id").orderBy("start", "end", "seg_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    t = truth.select("request_id", "seg_idx", "start", "end", "emotion").withColumn("upto", upto)
+    known = t.groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "seg_idx", "emotion", "upto"))).alias("t"),
+        F.min_by(F.struct("start", "end", "seg_idx", "emotion"), "seg_idx").alias("f"), F.max_by("end", "seg_idx").alias("t_end"))
+    rows = requests.select("request_id", "completion", segments_of(F.col("completion")).alias("p")).join(known, "request_id", "left")
+    rows = rows.withColumn("m", F.when(F.col("t").isNotNull(), _matched(F.col("p"), F.col("t"), F.col("f"))))
+    words_ = F.transform("p", lambda s: F.struct(token_set(s["reason"]).alias("set"), word_count(s["reason"]).alias("n"), (F.trim(s["reason"]) == "").alias("none")))
+
+    def why(w: Column) -> Column:
+        before = F.concat(F.array(F.lit(None)), F.slice(F.transform(w, lambda x: x["set"]), F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))))
+        return F.zip_with(w, before, lambda x, b: F.when(x["none"] | F.coalesce(jaccard(x["set"], b) > REASON_SAME, F.lit(False)), 0.0).otherwise(F.exp(-F.abs(x["n"] - REASON_MU) / REASON_SIGMA)))
+
+    some = F.size("p") > 0
+    rows = rows.withColumn("w", F.when(some, let(words_, why)))
+    mean = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+    long_ = F.when(some, F.forall("p", lambda s: s["end"] - s["start"] >= MIN_SEGMENT))
     n_words = word_count(F.col("completion"))
     length = F.when(n_words >= LEN_HARD, 0.0).otherwise(F.exp(-F.greatest(F.lit(0), n_words - LEN_SOFT) / LEN_TAU))
-    out = requests.join(got, "request_id", "left").withColumn("valid", _schema_kept(F.col("completion"), F.col("t_end")))
-    part = lambda c, w: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w
+    valid = _schema_kept(F.col("completion"), F.col("t_end"))
+    part = lambda c, w: F.coalesce(c.cast("double"), F.lit(0.0)) * w
     rewards = {
-        "structure": part("valid", 0.5) + part("long", 0.2) + length * 0.3,
-        "count": F.when(F.col("m") > 0, F.exp(-F.abs(F.col("n") - F.col("m")) / TAU_COUNT)),
-        "temporal": F.col("temporal"), "emotion": F.col("emotion"), "reason": F.col("reason"),
+        "structure": part(valid, 0.5) + part(long_, 0.2) + length * 0.3,
+        "count": F.when(some & F.col("t").isNotNull(), F.exp(-F.abs(F.size("p") - F.size("t")) / TAU_COUNT)),
+        "temporal": F.when(some, mean(F.transform("m", lambda x: x["time"]))), "emotion": F.when(some, mean(F.transform("m", lambda x: x["hit"]))), "reason": mean(F.col("w")),
     }
-    return out.select("request_id", *(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), r)), F.lit(0.0)).alias(name) for name, r in rewards.items()))
+    return rows.select("request_id", *(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), r)), F.lit(0.0)).alias(name) for name, r in rewards.items()))
 
 
 def score(requests: DataFrame, truth: DataFrame, names: tuple[str, ...] = tuple(WEIGHTS), registry: dict[str, Callable[..., DataFrame]] | None = None) -> DataFrame:

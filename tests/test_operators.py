@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import time
 
@@ -389,3 +390,23 @@ def test_terms_of_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, "ab -- a-"), (4, "Zebra zebra -zebra- apple apple mid-way x-y-z it's"), (5, "word " * 60_000 + "other")]
     got = {r.id: r.terms for r in manifest.top_terms(spark.createDataFrame(rows, "id long, text string")).collect()}
     assert got == {4: ["zebra", "apple", "mid-way", "x-y-z"], 5: ["word", "other"]}
+
+
+def test_rewards_in_rows_equal_those_by_joins(spark):
+    rng = random.Random(11)
+
+    def segment():
+        s = round(rng.uniform(0, 30), 1)
+        return {"start_time": s, "end_time": round(s + rng.choice([-1, 0, 0.2, 1, 5, 40]), 1), "emotion": rng.choice(EVAL_LABELS[:3]), "reason": rng.choice(["", "one two three", "one two four", "else " * 60])}
+
+    requests = [(f"r{i}", json.dumps({"segments": [segment() for _ in range(rng.randint(0, 9))]})) for i in range(60)] + [("bad", "no json"), ("null", None)]
+    truth = [(f"r{i}", j, *(lambda s: (s["start_time"], s["end_time"], s["emotion"]))(segment())) for i in range(50) for j in range(rng.randint(1, 8))]
+    q = spark.createDataFrame(requests, "request_id string, completion string")
+    t = spark.createDataFrame(truth, "request_id string, seg_idx long, start double, end double, emotion string")
+    got = {r.request_id: r for r in rewards.score(q, t).collect()}
+    pred = rewards.parse_segments(q, "completion")
+    assert set(got) == {r for r, _ in requests}
+    for name in rewards.WEIGHTS:
+        want = {r.request_id: r.reward for r in rewards.REGISTRY[name](q, pred, t).collect()}
+        assert want == pytest.approx({i: got[i][name] for i in want}), name
+        assert len(set(want.values())) > 1

@@ -302,8 +302,13 @@ def regions_of(lines: list[Line]) -> list[tuple[int, int]]:
         a, b = i, j
         while a < b and not lengths[a] and not (lines[a].inside and lines[a].text):
             a += 1
-        while b > a and not lengths[b - 1] and not (lines[b - 1].inside and lines[b - 1].text):
+        while b > a and not lengths[b - 1]:
             b -= 1
+        links = b
+        while links < n and lines[links].inside and lines[links].text and not lengths[links]:
+            links += 1
+        if links - b < WINDOW:  # an article may end with a link, but not with a list of them
+            b = links
         found.append((a, b, max(sums[i:j])))
         i = j
     own = lambda a, b, kind, inside: sum(x.own for x in lines[a:b] if x.kind == kind and x.inside in inside)

@@ -95,7 +95,7 @@ def _paragraph_rows(min_words: int):
 
 
 def _context_rows(min_words: int, docs: Broadcast, digests: Broadcast):
-    """The paragraphs whose bits are set, with the words around them as 32-bit hashes."""
+    """The paragraphs whose bits are set, with the hashes of the words around them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_bits = 8 * (len(digests.value) - 4096)
         for batch in batches:
@@ -106,9 +106,8 @@ def _context_rows(min_words: int, docs: Broadcast, digests: Broadcast):
                 pick = np.flatnonzero(bits_at(digests.value, d1 & (n_bits - 1)))
                 if not len(pick):
                     continue
-                small = words.astype(np.uint32)
-                left = [small[max(0, k - REACH + 1) : k].tobytes() for k in at[pick]]
-                right = [small[k + min_words : k + min_words + REACH - 1].tobytes() for k in at[pick]]
+                left = [words[max(0, k - REACH + 1) : k].tobytes() for k in at[pick]]
+                right = [words[k + min_words : k + min_words + REACH - 1].tobytes() for k in at[pick]]
                 own = pa.array(np.full(len(pick), row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(d1[pick]), pa.array(d2[pick]), batch.column("doc").take(own), batch.column("h").take(own), pa.array(at[pick].astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
@@ -131,13 +130,13 @@ def _spans_of(min_words: int):
 
     def spans(text: bytes, matches: list[dict]) -> list[dict]:
         words, start, end = _words(text)
-        small, runs = words.astype(np.uint32), []
+        runs = []
         for m in matches:
             a, b = m["at"], m["at"] + min_words
             if m["left"]:
-                a -= _same(small[:a][::-1], np.frombuffer(m["left"], np.uint32)[::-1])
+                a -= _same(words[:a][::-1], np.frombuffer(m["left"], np.uint64)[::-1])
             if m["right"]:
-                b += _same(small[b:], np.frombuffer(m["right"], np.uint32))
+                b += _same(words[b:], np.frombuffer(m["right"], np.uint64))
             runs.append((max(a, m["clip"]), b))
         merged: list[list[int]] = []
         for a, b in sorted(r for r in runs if r[0] < r[1]):
@@ -176,7 +175,8 @@ def repeated(scratch: Scratch, docs: DataFrame, *, min_words: int = MIN_WORDS) -
     found = scratch(texts.mapInArrow(_paragraph_rows(min_words), "d1 long, d2 long, doc long, h long, i int, at int"), "paragraphs")
     # written, so that the joins on them have exchanges of their own, which Spark can split at a hot digest
     often = scratch(found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "often")
-    copies = scratch(found.join(often, key, "left_semi"), "copies")
+    # rows that repeat doc_id and text give equal rows, which fold before they are shuffled
+    copies = scratch(found.join(often, key, "left_semi").dropDuplicates(["d1", "d2", "doc", "h", "i", "at"]), "copies")
     scratch.done("paragraphs", "often")
     kept = scratch(copies.groupBy(*key).agg(F.min(F.struct("doc", "h", "at")).alias("kept")), "kept")
     again = copies.join(kept, key).where("struct(doc, h, at) <> kept")

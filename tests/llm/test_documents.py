@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora.llm import decontaminate, licenses, minhash_dedup, mixing, quality, substring_dedup
+from tempora.llm.common import Scratch
 from tempora.llm.hashing import PIECE, shingle_set, word_spans
 from tempora.llm.queries import op6_quality
 
@@ -232,6 +233,19 @@ def test_substring_dedup_finds_passages_cut_anywhere(spark, kind):
         assert left == before + after
 
 
+def test_equal_rows_are_one_document(spark):
+    """However often a row repeats, its text has one group of matches, those of one text."""
+    text = " ".join(f"word{i}" for i in range(600))
+    sizes = []
+    for n in (1, 100_000):
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string").unionByName(spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")))
+        with Scratch() as scratch:
+            sizes.append([len(r.matches) for r in substring_dedup.repeated(scratch, frame).collect()])
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 1 and sizes[0][0] < 600
+    got = substring_dedup.deduplicated(frame.limit(2000)).groupBy("doc_id", "text").count().collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, text, 1), (None, "", 1999)]
+
+
 def test_mix_meets_targets(spark, docs):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 900)), rng.choice(["a", "b", "b", "b", "c", None, "ä"])) for i in range(300)]

@@ -1,8 +1,11 @@
 """License scan by conditional compression.
 
 Candidate blocks, the runs of lines with words that licenses use, are compressed alone and with each
-template as zstandard raw dictionary. Templates are ranked by the reduction of size; the best are
-confirmed by the exact differences of wording.
+template as zstandard raw dictionary. What a dictionary saves of a block is set against what it saves of
+its own template, which is about 1 where the block holds the whole template and 0 where it holds nothing
+of it, however long either is. Templates that reach this share far enough are ranked by the bytes they
+save; the best are confirmed by the exact differences of wording. Long templates are compared with whole blocks, notices of a line, which a
+long block would drown, with the words around each cue.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from .udf import text_udf
 
 #: Templates that are confirmed at most for a block; all are ranked.
 BEST = 4
-#: Least share of a template's words that a block must hold in order, and least share of size saved.
-LEAST_WORDING, LEAST_REDUCTION = 0.8, 0.15
+#: Least share of a template's words that a block must hold in order, and least reduction.
+LEAST_WORDING, LEAST_REDUCTION = 0.8, 0.25
+#: Words of a template that is a notice, at most, and words on either side of a cue that it is sought in.
+NOTICE, NEAR = 12, 24
 #: Lines without a cue that a block may bridge, lines that it takes along on either side, and characters of
 #: a block. A longer run of lines is scanned in overlapping blocks, whole.
 BRIDGE, MARGIN, BLOCK_CHARS = 8, 3, 16_384
-LEVEL = 3
+LEVEL = 19
 FINDINGS = "array<struct<start:int,end:int,license:string,template:string,reduction:double,wording:double,missing:array<string>,added:array<string>>>"
 
 # Words of a line that may be part of a license.
@@ -61,6 +66,12 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def is_cue(tokens: list[tuple[str, int, int]], k: int) -> bool:
+    """Does a cue start in this word?"""
+    two = " ".join(w for w, _, _ in tokens[k : k + 2]).encode("utf-8", "replace")
+    return any(0 <= two.find(c) < len(tokens[k][0].encode("utf-8", "replace")) for c in CUES)
+
+
 class Scanner:
     def __init__(self) -> None:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
@@ -70,7 +81,10 @@ class Scanner:
             d = zstandard.ZstdCompressionDict(body.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             tool = zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)
-            self.templates.append((license_, name, body.split(" "), tool))
+            own = len(self.plain.compress(body.encode())) - len(tool.compress(body.encode()))
+            self.templates.append((license_, name, body.split(" "), tool, own))
+        short = [len(t[2]) <= NOTICE for t in self.templates]
+        self.notices, self.long = ([i for i, x in enumerate(short) if x == y] for y in (True, False))
 
     def __call__(self, text: bytes | None) -> list[dict]:
         if not text:
@@ -82,27 +96,45 @@ class Scanner:
         found: list[dict] = []
         for a, b in blocks_of(page):
             found += [f for f in self.block(page[a:b], a) if f not in found]
-        return found
+        return sorted(found, key=lambda f: (f["start"], f["end"]))
+
+    def ranked(self, tokens: list[tuple[str, int, int]], templates: list[int]) -> list[tuple[float, int]]:
+        """Reduction and number of the templates, those that save the most bytes first."""
+        raw = " ".join(w for w, _, _ in tokens).encode()
+        size = len(self.plain.compress(raw))
+        saved = [(size - len(self.templates[i][3].compress(raw)), i) for i in templates]
+        return [(min(1.0, n / self.templates[i][4]), i) for n, i in sorted(saved, key=lambda x: (-x[0], self.templates[x[1]][4], x[1]))]
+
+    def best(self, tokens: list[tuple[str, int, int]], templates: list[int], offset: int) -> tuple[dict, int, int] | None:
+        """The finding of the template that is confirmed best, and its first and last word."""
+        tried = [x for x in self.ranked(tokens, templates) if x[0] >= LEAST_REDUCTION][:BEST]
+        best = max((self.wording(tokens, i) + (r, i) for r, i in tried), key=lambda x: (x[0] >= LEAST_WORDING, x[4] * x[0], x[0], -x[-1]), default=None)
+        if best is None or best[0] < LEAST_WORDING:
+            return None
+        wording, first, last, (missing, added), _, reduction, i = best
+        license_, name = self.templates[i][:2]
+        return {"start": offset + tokens[first][1], "end": offset + tokens[last][2], "license": license_, "template": name, "reduction": round(reduction, 4), "wording": round(wording, 4), "missing": missing, "added": added}, first, last
 
     def block(self, text: str, offset: int) -> list[dict]:
-        """The findings of a block: the best template first, further ones where words are left."""
+        """The findings of a block: long templates as long as words are left, then notices at each cue."""
         tokens = words(text)
         out: list[dict] = []
-        while tokens:
-            raw = " ".join(w for w, _, _ in tokens).encode()
-            size = len(self.plain.compress(raw))
-            ranked = sorted(((1 - len(tool.compress(raw)) / size, i) for i, (_, _, _, tool) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
-            # a template that is a small part of a long block saves little there: those whose words all occur are tried too
-            have = {w for w, _, _ in tokens}
-            tried = [x for x in ranked[:BEST] if x[0] >= LEAST_REDUCTION]
-            tried += [x for x in ranked if x not in tried and sum(w in have for w in self.templates[x[1]][2]) >= LEAST_WORDING * len(self.templates[x[1]][2])]
-            best = max((self.wording(tokens, i) + (r, i) for r, i in tried), key=lambda x: (x[0] >= LEAST_WORDING, x[4] * x[0], x[0], -x[-1]), default=None)
-            if best is None or best[0] < LEAST_WORDING:
-                return out
-            wording, first, last, (missing, added), _, reduction, i = best
-            license_, name, _, _ = self.templates[i]
-            out.append({"start": offset + tokens[first][1], "end": offset + tokens[last][2], "license": license_, "template": name, "reduction": round(reduction, 4), "wording": round(wording, 4), "missing": missing, "added": added})
-            tokens = tokens[:first] + tokens[last + 1 :] if last - first + 1 < len(tokens) else []
+        while tokens and (hit := self.best(tokens, self.long, offset)):
+            out.append(hit[0])
+            tokens = tokens[: hit[1]] + tokens[hit[2] + 1 :]
+        k = 0
+        while k < len(tokens):
+            if not is_cue(tokens, k):
+                k += 1
+                continue
+            at = max(0, k - NEAR)
+            hit = self.best(tokens[at : k + NEAR + 1], self.notices, offset)
+            if hit:
+                out.append(hit[0])
+                tokens = tokens[: at + hit[1]] + tokens[at + hit[2] + 1 :]
+                k = max(0, at + hit[1] - NOTICE)
+            else:
+                k += NOTICE  # a notice with a cue up to there was in these words
         return out
 
     def wording(self, tokens: list[tuple[str, int, int]], i: int) -> tuple:
@@ -120,7 +152,7 @@ class Scanner:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` (with text) plus findings (a column of this name is replaced): spans of the text, license, template, share of size saved,
+    """``docs`` (with text) plus findings (a column of this name is replaced): spans of the text, license, template, reduction,
     share of the template's wording, and the words that are missing or added.
 
     Defined cases: a null or empty text, or one without a cue, has no findings; overlapping blocks

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora.llm import decontaminate, licenses, minhash_dedup, mixing, quality, substring_dedup
-from tempora.llm.common import Scratch
+from tempora.llm.common import Scratch, load
 from tempora.llm.hashing import PIECE, shingle_set, word_spans
 from tempora.llm.queries import op6_quality
 
@@ -368,6 +368,47 @@ def test_license_findings_equal_brute_force(spark):
     assert not missed and not got[-1]
 
 
+def exact_notices(text):
+    """Leftmost, longest places of the words of a template, with what it is a template of."""
+    found, at, out = licenses.words(text or ""), 0, []
+    templates = [(x[0], [w for w, _, _ in licenses.words(x[2])]) for x in licenses.TEMPLATES]
+    while at < len(found):
+        here = [(len(t), name) for name, t in templates if [w for w, _, _ in found[at : at + len(t)]] == t]
+        if here:
+            n, name = max(here)
+            out.append((found[at][1], found[at + n - 1][2], {name for m, name in here if m == n}))
+        at += n if here else 1
+    return out
+
+
+def test_license_findings_equal_an_exact_scan(spark):
+    docs = load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    n = 0
+    for r in licenses.scanned(docs).collect():
+        want = exact_notices(r.text)
+        assert [(f.start, f.end) for f in r.findings] == [(a, b) for a, b, _ in want]
+        assert all(f.license in names and f.reduction >= licenses.LEAST_REDUCTION and f.wording == 1.0 for f, (_, _, names) in zip(r.findings, want))
+        n += len(want)
+    assert n > 20
+
+
+def test_compression_decides_what_is_confirmed(monkeypatch):
+    text = "Prose that goes before it.\nThis work is licensed under the GNU General Public License, version 3.\nMore of it.\n".encode()
+    assert [f["license"] for f in licenses.Scanner()(text)] == ["GPL-3.0"]
+    right = licenses.Scanner.ranked
+    monkeypatch.setattr(licenses.Scanner, "ranked", lambda self, tokens, templates: right(self, tokens, templates)[::-1])
+    assert licenses.Scanner()(text) == []
+    monkeypatch.setattr(licenses.Scanner, "ranked", lambda self, tokens, templates: right(self, tokens, templates)[3:])
+    assert [f["license"] for f in licenses.Scanner()(text)] != ["GPL-3.0"]
+
+
+def test_equal_templates_tie_to_the_first(monkeypatch):
+    first = licenses.TEMPLATES[0]
+    monkeypatch.setattr(licenses, "TEMPLATES", [("A", *first[1:]), ("B", *first[1:])])
+    found = licenses.Scanner()(f"Licensed under this.\n{first[2]}\n".encode())
+    assert {f["license"] for f in found} == {"A"}
+
+
 def test_empty_tables(spark, docs):
     none, bench = docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100, 150)], "doc_id long, quality int")
@@ -377,7 +418,10 @@ def test_empty_tables(spark, docs):
 
 def test_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "MIT License", 0, "x", "x", "x", "x")], "doc_id long, text string, score int, scan string, findings string, licenses string, n_findings string")
-    assert licenses.summary(frame).first().licenses == "MIT" or licenses.summary(frame).first().licenses == ""
+    got = licenses.summary(frame).first()
+    assert (got.licenses, got.n_findings, got.score, got.scan) == ("", 0, 0, "x")  # two words are no notice
+    got = licenses.summary(frame.withColumn("text", F.lit("Released under the MIT License."))).first()
+    assert (got.licenses, got.n_findings, got.score, got.scan) == ("MIT", 1, 0, "x")
     bench = spark.createDataFrame([(1, "mit license")], "item_id long, text string")
     assert decontaminate.contamination(frame, bench).first().scan.n_hit == 2
     none = spark.createDataFrame([], "doc_id long, quality int")

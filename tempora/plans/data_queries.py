@@ -444,14 +444,18 @@ def ranking_metrics(x: Inputs) -> DataFrame:
     return rounded(mt.ranking_metrics(x.fx_ranking), "mrr", "ndcg")
 
 
-@query(
-    """WITH w AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS k, {w} AS w FROM conversations),
+#: The pairs of texts, counts of their n-grams by side, and how many they share.
+_OVERLAP = """w AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS k, {w} AS w FROM conversations),
     p AS (SELECT a.conv_id, a.turn, a.k, b.k AS kr, a.w AS p, b.w AS r FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn - 2 WHERE len(a.w) > 0 AND len(b.w) > 0),
-    g AS (SELECT k, kr, n, side, g, COUNT(*) AS c FROM (SELECT k, kr, n, side, array_to_string(x[i:i + n - 1], ' ') AS g FROM (SELECT k, kr, 'p' AS side, p AS x FROM p UNION ALL SELECT k, kr, 'r', r FROM p) s, (VALUES (1), (2)) v(n), unnest(range(1, len(x) - n + 2)) t(i)) GROUP BY ALL),
+    g AS (SELECT k, kr, n, side, g, COUNT(*) AS c FROM (SELECT k, kr, n, side, array_to_string(x[i:i + n - 1], ' ') AS g FROM (SELECT k, kr, 'p' AS side, p AS x FROM p UNION ALL SELECT k, kr, 'r', r FROM p) s, (VALUES (1), (2), (3), (4)) v(n), unnest(range(1, len(x) - n + 2)) t(i)) GROUP BY ALL),
     t AS (SELECT k, kr, n, SUM(c) AS total FROM g GROUP BY ALL),
     b AS (SELECT x.k, x.kr, x.n, SUM(least(x.c, y.c)) AS shared FROM g x JOIN g y ON x.k = y.k AND x.kr = y.kr AND x.n = y.n AND x.g = y.g AND x.side = 'p' AND y.side = 'r' GROUP BY ALL),
-    f AS (SELECT t.k, t.kr, t.n, 2 * COALESCE(shared, 0) / total AS f FROM t LEFT JOIN b ON t.k = b.k AND t.kr = b.kr AND t.n = b.n)
-    SELECT p.conv_id, p.turn, round(COALESCE(x.f, 0), 6) AS rouge1, round(COALESCE(y.f, 0), 6) AS rouge2 FROM p LEFT JOIN f x ON x.k = p.k AND x.kr = p.kr AND x.n = 1 LEFT JOIN f y ON y.k = p.k AND y.kr = p.kr AND y.n = 2""".replace("{w}", "regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')")
+    f AS (SELECT t.k, t.kr, t.n, 2 * COALESCE(shared, 0) / total AS f FROM t LEFT JOIN b ON t.k = b.k AND t.kr = b.kr AND t.n = b.n)""".replace("{w}", "regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')")
+
+
+@query(
+    f"""WITH {_OVERLAP}
+    SELECT p.conv_id, p.turn, round(COALESCE(x.f, 0), 6) AS rouge1, round(COALESCE(y.f, 0), 6) AS rouge2 FROM p LEFT JOIN f x ON x.k = p.k AND x.kr = p.kr AND x.n = 1 LEFT JOIN f y ON y.k = p.k AND y.kr = p.kr AND y.n = 2"""
 )
 def text_overlap_ngrams(x: Inputs) -> DataFrame:
     a = x.conversations.select("conv_id", "turn", F.col("text").alias("pred"))
@@ -459,7 +463,20 @@ def text_overlap_ngrams(x: Inputs) -> DataFrame:
     return rounded(mt.text_overlap(rows).select("conv_id", "turn", "rouge1", "rouge2"), "rouge1", "rouge2")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_OVERLAP},
+    lcs AS (
+        SELECT k, kr, 0 AS i, j, 0 AS v FROM p, unnest(range(1, len(r) + 1)) t(j)
+        UNION ALL
+        SELECT k, kr, i + 1, j, MAX(greatest(v, before + hit)) OVER (PARTITION BY k, kr ORDER BY j)
+        FROM (SELECT l.k, l.kr, l.i, l.j, l.v, COALESCE(lag(l.v) OVER (PARTITION BY l.k, l.kr ORDER BY l.j), 0) AS before, CAST(p.p[l.i + 1] = p.r[l.j] AS INT) AS hit FROM lcs l JOIN p ON p.k = l.k AND p.kr = l.kr WHERE l.i < len(p.p))),
+    longest AS (SELECT p.k, p.kr, 2.0 * MAX(v) / (len(p.p) + len(p.r)) AS f FROM p JOIN lcs l ON l.k = p.k AND l.kr = p.kr AND l.i = len(p.p) GROUP BY p.k, p.kr, p.p, p.r),
+    pn AS (SELECT p.k, p.kr, v.n, COALESCE(shared, 0) AS hit, greatest(1, len(p.p) - v.n + 1) AS total, least(0, 1 - len(p.r) / len(p.p)) AS brief FROM p CROSS JOIN (VALUES (1), (2), (3), (4)) v(n) LEFT JOIN b ON b.k = p.k AND b.kr = p.kr AND b.n = v.n),
+    z AS (SELECT *, COUNT(*) FILTER (WHERE hit = 0) OVER (PARTITION BY k, kr ORDER BY n) AS zeros FROM pn),
+    bleu AS (SELECT k, kr, CASE WHEN MAX(CASE WHEN n = 1 THEN hit END) = 0 THEN 0 ELSE exp(SUM(ln(CASE WHEN hit > 0 THEN hit / total ELSE 1 / (pow(2, zeros) * total) END)) / 4 + MAX(brief)) END AS f FROM z GROUP BY k, kr)
+    SELECT round(100 * avg(COALESCE(x.f, 0)), 6) AS rouge1, round(100 * avg(COALESCE(y.f, 0)), 6) AS rouge2, round(100 * avg(longest.f), 6) AS rougeL, round(100 * avg(bleu.f), 6) AS bleu4, COUNT(*) AS n
+    FROM p LEFT JOIN f x ON x.k = p.k AND x.kr = p.kr AND x.n = 1 LEFT JOIN f y ON y.k = p.k AND y.kr = p.kr AND y.n = 2 JOIN longest ON longest.k = p.k AND longest.kr = p.kr JOIN bleu ON bleu.k = p.k AND bleu.kr = p.kr"""
+)
 def text_overlap_metrics(x: Inputs) -> DataFrame:
     a = x.conversations.select("conv_id", "turn", F.col("text").alias("pred"))
     rows = a.join(a.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("pred").alias("ref")), ["conv_id", "turn"])

@@ -8,18 +8,33 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: A node that more than one link in this many ends at is a hub. There are fewer than twice as many hubs.
+HUB = 1000
+
+
+def _joined(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``edges`` with the ``m`` of their ``u``. Hubs, whose links would all meet in one task, are known by
+    their degree ``d`` and, as they are few, broadcast; the other nodes join by a shuffle."""
+    hubs = least.where(F.col("d") * HUB > n).select("u", F.col("m").alias("_m"))
+    met = edges.join(F.broadcast(hubs), "u", "left")
+    cold = met.where("_m is null").drop("_m").join(least.where(F.col("d") * HUB <= n).select("u", "m"), "u")
+    return met.where("_m is not null").withColumnRenamed("_m", "m").unionByName(cold)
+
+
+def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """Link the neighbours of each node to the least node of its neighbourhood (itself included).
 
-    ``edges`` has ``u > v``. The large star moves the greater neighbours, the small star the others.
+    ``edges`` has ``u > v`` and ``n`` rows or a few more. The large star moves the greater neighbours, the
+    small star the others.
     """
+    low = [F.min("v").alias("m"), F.count("*").alias("d")]
     if large:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        out = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = around.groupBy("u").agg(*low).withColumn("m", F.least("m", "u"))
+        out = _joined(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), least, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = edges.groupBy("u").agg(*low)
+        moved = _joined(edges, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = moved.unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
@@ -39,6 +54,6 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
         if mark == last or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         last, turn = mark, turn + 1
-        big = scratch(_stars(now, True), f"{name}-large")
-        now = scratch(_stars(big, False), f"{name}-{turn}")
+        big = scratch(_stars(now, True, mark[0]), f"{name}-large")
+        now = scratch(_stars(big, False, mark[0]), f"{name}-{turn}")
         scratch.done(f"{name}-{turn - 1}")

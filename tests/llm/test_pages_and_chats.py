@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, embedding_dedup, html_text, url_filter
+from tempora.llm import chat, embedding_dedup, graph, html_text, url_filter
 from tempora.llm.common import Scratch, load
 from tempora.llm.graph import components
 from tempora.llm.queries import op3_chat_format, op10_url_filter
@@ -23,6 +23,26 @@ def test_components_of_a_long_path_and_a_star(spark):
         assert components(spark.createDataFrame([], "a long, b long"), scratch, "none").count() == 0
 
 
+@pytest.mark.parametrize("hub", [1, 3, 1000])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
+    rng = np.random.default_rng(hub)
+    edges = [(0, int(i)) for i in range(1, 300)] + [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 400, (260, 2))]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    with Scratch() as scratch:
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <header><p>Site name and a tag line that is quite long, long enough to count.</p></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies and say so in a long long long long long long long sentence.</p></div>

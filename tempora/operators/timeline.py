@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import match_emotion
+from .places import let
 
 
 def _by_video(*order: str) -> Window:
@@ -86,12 +87,13 @@ def _islands(df: DataFrame, order: Window, column: str = "emotion") -> DataFrame
 
 
 def _appended(items: Column, join: str) -> Column:
-    """Reasons in order, each appended unless it is empty or part of what is there already."""
-    return F.aggregate(
-        F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))),
-        F.coalesce(F.get(items, F.lit(0)), F.lit("")),
+    """Reasons in order, each appended unless it is empty or part of what is there already. One that repeats
+    is such a part, so that only different ones are sought in the text."""
+    return let(F.array_distinct(items), lambda d: F.aggregate(
+        F.slice(d, F.lit(2), F.greatest(F.size(d) - 1, F.lit(0))),
+        F.coalesce(F.get(d, F.lit(0)), F.lit("")),
         lambda text, r: F.when((F.coalesce(r, F.lit("")) == "") | F.contains(text, r), text).otherwise(F.concat(text, F.lit(join), r)),
-    )
+    ))
 
 
 def merge_same_emotion(segments: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Operators on documents against plain Python, with the awkward rows each must bear."""
 
+import math
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tempora.llm import decontaminate, licenses, minhash_dedup, mixing, quality, substring_dedup
@@ -440,3 +443,67 @@ def test_small_sources_and_equal_rows_of_a_mix(spark):
     targets = {r.source: r.target for r in got}
     assert len(got) == len(rows) and all(abs(taken[s] - targets[s]) <= max(1.0, 0.02 * targets[s]) for s in targets), (dict(taken), targets)
     assert sum(r.words for r in mix.texts(frame).collect()) == sum(taken.values())
+
+
+def test_scores_equal_plain_python(spark, sf_dir):
+    """The scores of all texts, from the fitted dictionaries and weights, without the operator's code."""
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
+    m = quality.train(docs, labels)
+    assert m.good and m.bad and 0 < max(len(m.good), len(m.bad)) <= quality.DICTIONARY_BYTES
+
+    def size(part, content):
+        extra = {"dict_data": zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if content else {}
+        if content:
+            extra["dict_data"].precompute_compress(level=quality.LEVEL)
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, **({"write_dict_id": False} | extra if content else {})).compress(part))
+
+    def score(text):
+        raw = (text or "").encode()
+        n = max(1, len(raw))
+        parts = math.ceil(n / quality.PART_BYTES)
+        step = math.ceil(n / parts)
+        cut = [raw[k * step : (k + 1) * step] for k in range(math.ceil(n / step))]
+        good, bad, none = (sum(size(c, content) for c in cut) for content in (m.good, m.bad, b""))
+        x = [(bad - good) / n, (bad - good) / (bad + good), good / n, bad / n, none / n, math.log(step)]
+        z = m.weights[6] + sum(w * (v - a) / s for w, v, a, s in zip(m.weights, x, m.mean, m.scale))
+        return 1 / (1 + math.exp(-max(-60, min(60, z))))
+
+    got = quality.scored(docs, labels).collect()
+    assert len(got) == docs.count() and all(r.score == pytest.approx(score(r.text), abs=1e-9) for r in got)
+    assert any(len(r.text or "") > quality.PART_BYTES for r in got)
+
+
+def test_mix_draws_and_joins_equal_plain_python(spark):
+    """Multinomial counts by shard, blocks by permutations, and the texts that the blocks stand for; columns
+    of other names change nothing."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{s}{rng.randrange(999)}" for _ in range(rng.randint(0, 60))), s) for i, s in enumerate(rng.choices(["a", "b", "c", None], [6, 3, 1, 1], k=150))]
+    extra = ["d", "h", "i", "b", "at", "size", "slot", "shard", "block", "target"]
+    frame = spark.createDataFrame([(*r, *["own"] * len(extra)) for r in rows], "doc_id long, text string, source string" + "".join(f", {c} string" for c in extra))
+    mix = mixing.plan_mix(frame, block=8, shard=50, seed=7)
+    laid, sources = mix.laid.collect(), {r.i: r for r in mix.sources.collect()}
+    text = {i: (t or "").split() for i, t, _ in rows}
+    words_of = {i: [] for i in sources}
+    for r in sorted((r for r in laid if r.size), key=lambda r: (r.i, r.at)):
+        assert r.at == len(words_of[r.i])
+        words_of[r.i] += text[r.d]
+    assert {i: len(w) for i, w in words_of.items()} == {i: r.source_size for i, r in sources.items()}
+    blocks = {i: math.ceil(len(w) / sources[i].b) for i, w in words_of.items()}
+    slots = {i: min(3 * blocks[i], round(sources[i].target / (len(words_of[i]) / blocks[i]))) if blocks[i] else 0 for i in sources}
+    got = mix.slots.collect()
+    share = np.array([slots[i] for i in sorted(slots)]) / sum(slots.values())
+    drawn = sum(np.random.default_rng([7, k]).multinomial(min(50, sum(slots.values()) - k * 50), share) for k in range(math.ceil(sum(slots.values()) / 50)))
+    taken = [sum(r.i == i for r in got) for i in sorted(slots)]
+    assert taken == [slots[i] for i in sorted(slots)] and len(got) == sum(drawn)
+    assert sorted((r.shard, r.slot) for r in got) == [(k // 50, k % 50) for k in range(len(got))]
+    for i, n in blocks.items():  # each turn of a source takes each of its blocks once
+        times = [sum(r.block == b for r in got if r.i == i) for b in range(n)]
+        assert max(times, default=0) - min(times, default=0) <= 1
+    pieces = defaultdict(list)
+    for r in mix.texts(frame).collect():
+        pieces[r.shard, r.slot].append((r.at, r.text.split()))
+    for r in got:
+        b = sources[r.i].b
+        assert [w for _, t in sorted(pieces[r.shard, r.slot]) for w in t] == words_of[r.i][r.block * b : (r.block + 1) * b]
+    plain = sorted(map(tuple, mixing.plan_mix(frame.select("doc_id", "text", "source"), block=8, shard=50, seed=7).taken().collect()), key=repr)
+    assert plain == sorted(map(tuple, mix.taken().collect()), key=repr)

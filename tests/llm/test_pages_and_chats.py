@@ -440,3 +440,11 @@ def test_pages_equal_a_plain_version(spark):
         lost += sum(x.kind == html_text.LESS and x.own > 0 and i not in kept for i, x in enumerate(lines))
         assert n <= lost
     assert lost >= 250
+
+
+def test_extra_columns_of_vectors_change_nothing(spark):
+    vectors = load(spark, "/root/testdata/sf0.001", "embeddings")
+    extra = ["component_id", "n_links", "kept", "a", "b", "node", "value", "full", "filters", "root", "u", "v", "bucket"]
+    own = vectors.select("*", *[F.lit("own").alias(c) for c in extra])
+    one, two = (sorted(map(tuple, embedding_dedup.near_duplicates(x).select("vec_id", "n_links", "component_id", "kept").collect())) for x in (vectors, own))
+    assert one == two and len(one) == vectors.count()

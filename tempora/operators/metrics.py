@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import words
+from ..sources.shared import stored
 from .judging import last_wins
 from .places import prefix_sums, with_row_index
 from .sampling import bottom_k
@@ -96,7 +97,8 @@ def average_ranks(long_: DataFrame) -> DataFrame:
     """``long_`` (kind, value and more) plus rank: from 1 inside each kind, equal values sharing the mean
     of theirs. All kinds are ranked in one global order of their distinct values. The few values that a
     share of the rows holds (fewer than ``HOT`` times the kinds) are broadcast, the others joined."""
-    counts = long_.groupBy("kind", "value").agg(F.count("*").alias("_n"))
+    long_ = stored(long_, "values")
+    counts = stored(long_.groupBy("kind", "value").agg(F.count("*").alias("_n")), "counts")
     upto = prefix_sums(with_row_index(counts, ["kind", "value"], "_i"), "_i", "_n", "_upto")
     of_kind = upto.groupBy("kind").agg(F.min(F.col("_upto") - F.col("_n")).alias("_before"), F.sum("_n").alias("_all"))  # one row a kind
     mean = F.col("_upto") - F.col("_before") - F.col("_n") + (F.col("_n") + 1) / 2

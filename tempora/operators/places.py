@@ -66,7 +66,7 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "ro
     places by a hash of the row, so that only equal rows may change theirs.
 
     ``df`` is read four times, for all but the last its order columns only, and must give the same
-    rows each time: a table, or what follows from one.
+    rows each time: a table, or what follows from one (``sources.shared.stored`` writes what costs more).
     """
     out, names, before = filed(df, order, ranges)
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*names))

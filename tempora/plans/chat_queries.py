@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,25 +17,14 @@ from ..operators import rewards as rw
 from ..operators import sampling as sp
 from ..operators.judging import last_wins
 from ..sources import files as io
+from ..sources.shared import shared_folder
 from ..streaming import jobs
 from .registry import Inputs, query, rounded
 from .reward_queries import SIDES, sides
 from .timeline_queries import PAIRS, pairs
 
-_ROOT: list[str] = []
-
-
 def scratch(x: Inputs, name: str) -> str:
-    """A new folder on storage that the cluster shares (spark.checkpoint.dir), or a local one where all
-    runs on one machine."""
-    root, master = x.spark.conf.get("spark.checkpoint.dir", None), x.spark.sparkContext.master
-    if not root:
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _ROOT:
-            _ROOT.append(tempfile.mkdtemp(prefix="spark-"))
-        root = _ROOT[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(x.spark, name)
 
 
 def conversations(x: Inputs) -> DataFrame:

@@ -142,7 +142,8 @@ def top_terms(df: DataFrame, *, max_terms: int = 8) -> DataFrame:
         return let(starts, lambda s: F.array_sort(F.zip_with(s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(w) + 1)), lambda a, b: F.struct((a - b).alias("less"), F.get(w, a - 1).alias("word")))))
 
     best = let(words, lambda w: F.when(F.size(w) > 0, F.transform(F.slice(ranked(w), 1, max_terms), lambda x: x["word"])))
-    return df.select("id", best.alias("terms")).where(F.size("terms") > 0)
+    # exploded, as a filter on the terms would have them computed twice
+    return df.select("id", F.explode(F.filter(F.array(best), lambda t: F.size(t) > 0)).alias("terms"))
 
 
 def grounding_filter(terms: DataFrame, detections: DataFrame, *, score: float = 0.25, min_terms: int = 1) -> DataFrame:

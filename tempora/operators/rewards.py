@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import interval_iou, interval_overlap
 from ..functions.json_text import SEGMENTS, extract_json_object
 from ..functions.labels import EVAL_LABELS, jaccard, token_set, word_count
+from ..sources.shared import stored
 from .places import let
 
 # Constants of the rewards.
@@ -85,9 +86,10 @@ def best_match(pred: DataFrame, truth: DataFrame, by: str = "iou") -> DataFrame:
     """Each predicted segment with the true one of the same request that it overlaps best, by IoU or
     by length; the first of equal ones, even where nothing overlaps. Adds t_… columns and iou.
 
-    Only overlapping segments are compared; what overlaps none gets the first true one."""
-    p = pred.select("request_id", "seg_idx", "start", "end", "emotion")
-    t = truth.select("request_id", *(F.col(c).alias(f"t_{c}") for c in ("seg_idx", "start", "end", "emotion")))
+    Only overlapping segments are compared; what overlaps none gets the first true one. Both tables are
+    written, as they are read several times."""
+    p = stored(pred.select("request_id", "seg_idx", "start", "end", "emotion"), "pred")
+    t = stored(truth.select("request_id", *(F.col(c).alias(f"t_{c}") for c in ("seg_idx", "start", "end", "emotion"))), "truth")
     ends = [F.col(c) for c in ("start", "end", "t_start", "t_end")]
     score = interval_iou(*ends) if by == "iou" else interval_overlap(*ends)
     named = F.struct("t_seg_idx", "t_start", "t_end", "t_emotion")

@@ -96,24 +96,35 @@ def _appended(items: Column, join: str) -> Column:
     ))
 
 
-def merge_same_emotion(segments: DataFrame) -> DataFrame:
-    """Neighbours (by seg_idx) of one emotion become one: first start, last end, reasons appended."""
+def _reasoned(runs: DataFrame, reasons: DataFrame | None) -> DataFrame:
+    """``runs`` with the reason that the members of ``_r`` make in order. Where they are keys of ``reasons``, keys alone
+    travel with the runs, and a text moves once for each different sequence of keys that holds it."""
+    if reasons is None:
+        return runs.withColumn("reason", _appended(F.col("_r"), " "))
+    runs = runs.withColumn("_r", F.array_distinct("_r"))
+    each = runs.select("_r").distinct().select("_r", F.posexplode("_r").alias("_at", "_key"))
+    found = each.join(reasons.select(F.col("key").alias("_key"), F.col("reason").alias("_text")), "_key", "left")
+    texts = found.groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_t"))
+    return runs.join(texts.select("_r", _appended(F.col("_t._text"), " ").alias("reason")), "_r")
+
+
+def merge_same_emotion(segments: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """Neighbours (by seg_idx) of one emotion become one: first start, last end, reasons appended. With ``reasons``
+    (key, reason; a row for each key) the segments' ``reason`` is a key, so that long texts don't travel with them."""
     runs = _islands(segments, _by_video("seg_idx"))
     if "reason" not in segments.columns:
         runs = runs.withColumn("reason", F.lit(""))
     merged = runs.groupBy("video_id", "_island").agg(
         F.min_by("start_ds", "seg_idx").alias("start_ds"), F.max_by("end_ds", "seg_idx").alias("end_ds"), F.first("emotion").alias("emotion"),
-        F.count("*").alias("n_merged"), F.array_sort(F.collect_list(F.struct("seg_idx", "reason"))).alias("_r"),
-    )
-    return merged.select(
-        "video_id", (F.col("_island") - 1).cast("int").alias("seg_idx"), "start_ds", "end_ds", "emotion",
-        _appended(F.col("_r.reason"), " ").alias("reason"), "n_merged",
+        F.count("*").alias("n_merged"), F.array_sort(F.collect_list(F.struct("seg_idx", "reason")))["reason"].alias("_r"),
     )
+    return _reasoned(merged, reasons).select("video_id", (F.col("_island") - 1).cast("int").alias("seg_idx"), "start_ds", "end_ds", "emotion", "reason", "n_merged")
 
 
-def merge_affect_phases(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_affect_phases(segments: DataFrame, reasons: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Neighbours of one non-empty emotion become one phase; also its events (joined by ``Then``) and
-    descriptions. Returns the phases and a log with a row for each merge."""
+    descriptions. Returns the phases and a log with a row for each merge. ``reasons`` as for
+    :func:`merge_same_emotion`."""
     order = _by_video("seg_idx")
     alone = F.when(F.coalesce("emotion", F.lit("")) == "", F.concat(F.lit("\x00"), F.col("seg_idx"))).otherwise(F.col("emotion"))
     runs = _islands(segments.withColumn("_key", alone), order, "_key")
@@ -122,11 +133,12 @@ def merge_affect_phases(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("seg_idx").alias("first_idx"), F.max("seg_idx").alias("last_idx"), F.min_by("start_ds", "seg_idx").alias("start_ds"),
         F.max_by("end_ds", "seg_idx").alias("end_ds"), F.first("emotion").alias("emotion"), F.count("*").alias("n_merged"), texts.alias("_t"),
     )
-    phases = grouped.select(
+    whole = grouped.select(
         "video_id", (F.col("_island") - 1).cast("int").alias("seg_idx"), "first_idx", "last_idx", "start_ds", "end_ds", "emotion", "n_merged",
-        F.array_join("_t.event", " Then, ").alias("event"), F.array_join("_t.description", "\nThen, ").alias("description"), _appended(F.col("_t.reason"), " ").alias("reason"),
+        F.array_join("_t.event", " Then, ").alias("event"), F.array_join("_t.description", "\nThen, ").alias("description"), F.col("_t.reason").alias("_r"),
     )
-    log = phases.where("n_merged > 1").select("video_id", "emotion", "first_idx", "last_idx", "start_ds", "end_ds", "n_merged")
+    phases = _reasoned(whole, reasons).drop("_r")
+    log = whole.where("n_merged > 1").select("video_id", "emotion", "first_idx", "last_idx", "start_ds", "end_ds", "n_merged")
     return phases, log
 
 

@@ -410,3 +410,41 @@ def test_rewards_in_rows_equal_those_by_joins(spark):
         want = {r.request_id: r.reward for r in rewards.REGISTRY[name](q, pred, t).collect()}
         assert want == pytest.approx({i: got[i][name] for i in want}), name
         assert len(set(want.values())) > 1
+
+
+@pytest.fixture(scope="module")
+def run_rows():
+    rng, texts = random.Random(11), ["", None, "a", "a b", "b c", "c", "d a b", "long " * 50]
+    rows = [(v, i, i, i + 1, rng.choice(["Joy", "Fear", "", None]), f"e{i}", f"d{i}", rng.randrange(len(texts))) for v in range(60) for i in range(rng.randint(1, 9))]
+    return texts, rows
+
+
+@pytest.mark.parametrize("merge", [timeline.merge_same_emotion, lambda *a: timeline.merge_affect_phases(*a)[0]], ids=["same_emotion", "affect_phases"])
+def test_merging_by_keys_equals_merging_texts(spark, run_rows, merge):
+    texts, rows = run_rows
+    keys = spark.createDataFrame(rows, "video_id long, seg_idx int, start_ds int, end_ds int, emotion string, event string, description string, reason long")
+    reasons = spark.createDataFrame(list(enumerate(texts)), "key long, reason string")
+    told = keys.join(reasons.toDF("k", "t"), F.col("reason") == F.col("k")).withColumn("reason", F.col("t")).drop("k", "t")
+    want = merge(told)
+    got = sorted(map(tuple, merge(keys, reasons).select(*want.columns).collect()), key=repr)
+    assert got == sorted(map(tuple, want.collect()), key=repr) and any(" " in (r[-1 if isinstance(r[-1], str) else -2] or "") for r in got)
+
+
+def test_segments_carry_what_stands_for_their_reason(spark, sf_dir, tmp_path):
+    """Also where doc_id repeats, is null or leaves gaps, and where there are no documents."""
+    from tempora.plans import timeline_queries as tq
+    from tempora.plans.registry import Inputs
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    texts = [(0, "x"), (1, "y"), (1, "z"), (3, None), (None, "n"), (9, "w")]
+    for docs in (texts, []):
+        spark.createDataFrame(docs, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        x = Inputs(spark, str(tmp_path))
+        by_key = tq.reasoned(x, tq.key())
+        assert by_key.schema["reason"].dataType.simpleString() == "struct<doc_id:bigint,h:bigint>"
+        full = by_key.join(tq.reasons(x).withColumnRenamed("reason", "text"), F.col("reason") == F.col("key"))
+        plain = tq.reasoned(x, F.md5("text"))
+        want = sorted(map(tuple, x.fx_segments.join(x.fx_reasons, "event_id").select("event_id", "seg_idx", "reason").collect()), key=repr) if docs else []
+        assert sorted(map(tuple, full.select("event_id", "seg_idx", "text").collect()), key=repr) == want
+        md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+        assert sorted(map(tuple, plain.select("event_id", "seg_idx", "reason").collect()), key=repr) == sorted(((e, i, md5(t)) for e, i, t in want), key=repr)

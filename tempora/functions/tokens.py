@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.places import let
+
 
 def truncate_tokens(ids: Column, max_length: int, how: str = "right", protected: tuple[int, ...] = ()) -> Column:
     """Places (from 0) of the tokens kept: protected tokens always, the others from the left
@@ -86,12 +88,15 @@ def overlong_penalty(length: Column, max_len: int, cache: int) -> Column:
 
 def repetition_penalty(text: Column, n: int = 3, most: float = -1.0) -> Column:
     """``most`` times the share of word n-grams that repeat; 0 for a text of fewer words."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    grams = words
-    for k in range(2, n + 1):  # a lambda must not refer to words: it would split the text for each element
-        grams = F.zip_with(grams, F.slice(words, k, F.greatest(F.size(words), F.lit(1))), lambda g, w: F.concat(g, F.lit(" "), w))
-    grams = F.array_compact(grams)
-    return F.when(F.size(words) < n, 0.0).otherwise((1 - F.size(F.array_distinct(grams)) / F.greatest(F.size(grams), F.lit(1))) * most)
+    def share(words: Column) -> Column:
+        grams = words
+        for k in range(2, n + 1):
+            grams = F.zip_with(grams, F.slice(words, k, F.greatest(F.size(words), F.lit(1))), lambda g, w: F.concat(g, F.lit(" "), w))
+        count = F.size(words) - (n - 1)  # the last n - 1 are null, as no word follows
+        return F.when(F.size(words) < n, 0.0).otherwise((1 - F.size(F.array_distinct(F.slice(grams, 1, F.greatest(count, F.lit(1))))) / F.greatest(count, F.lit(1))) * most)
+
+    # the text is split once: a column named again is computed again
+    return let(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), share)
 
 
 def format_match(text: Column, variant: str = "answer") -> Column:

@@ -448,3 +448,19 @@ def test_segments_carry_what_stands_for_their_reason(spark, sf_dir, tmp_path):
         assert sorted(map(tuple, full.select("event_id", "seg_idx", "text").collect()), key=repr) == want
         md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
         assert sorted(map(tuple, plain.select("event_id", "seg_idx", "reason").collect()), key=repr) == sorted(((e, i, md5(t)) for e, i, t in want), key=repr)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_repetition_penalty_splits_a_text_once(spark, n):
+    rng = random.Random(5)
+    texts = ["", None, " a ", "a b", "A a\ta", "a b c\n", "x y x y x y x y "] + [" ".join(rng.choices("abc", k=rng.randint(1, 30))) for _ in range(60)]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens.repetition_penalty(F.col("t"), n).alias("r"))
+
+    def plain(text):
+        words = text.lower().split()
+        grams = list(zip(*(words[k:] for k in range(n)), strict=False))
+        return -(1 - len(set(grams)) / len(grams)) if grams else 0.0
+
+    for t, r in out.collect():
+        assert r is None if t is None else abs(r - plain(t)) < 1e-12
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

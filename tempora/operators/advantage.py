@@ -107,18 +107,16 @@ def best_of_n(df: DataFrame, *, n_best: int = 5, threshold: float | None = 0.0,
         low, high = F.min(c).over(by), F.max(c).over(by)
         return F.when(low == high, F.least(F.lit(1.0), low)).otherwise((F.col(c) - low) / (high - low + 1e-5))
 
+    # one sort in the query, of the columns that are needed; the worst is the last of it
     ok = F.lit(True) if threshold is None else (F.col("orm") > threshold) & (F.col("prm") > threshold)
-    rows = df.withColumns({"_o": normal("orm"), "_p": normal("prm"), "_ok": ok})
-    rows = rows.withColumn("score", F.col("_p") + 10 * F.col("_o"))
-    down = by.orderBy(F.col("score").desc(), F.col("idx").desc())
-    up = by.orderBy(F.col("score"), F.col("idx"))
-    rows = rows.withColumns({"_rank": F.row_number().over(down), "_worst": F.row_number().over(up) == 1, "_any": F.bool_or("_ok").over(by), "_good": F.count_if(F.col("_o") > 0).over(by)})
-    rows = rows.where("_any")
+    rows = df.where("query_id is not null").withColumns({"_ok": ok, "_o": normal("orm"), "_p": normal("prm"), "_any": F.bool_or(ok).over(by), "_size": F.count("*").over(by)})
+    rows = rows.where("_any").select("query_id", "idx", "choice", "_ok", "_o", "_size", (F.col("_p") + 10 * F.col("_o")).alias("score"))
     if easy is not None:
-        rows = rows.where(F.col("_good") - 1 < int((n_samples or 0) * easy))
-    worst = rows.where("_worst").select("query_id", F.col("choice").alias("negative"))
-    top = rows.where((F.col("_rank") <= n_best) & F.col("_ok") & ~F.col("_worst")).select("query_id", "idx", F.col("choice").alias("positive"), "score")
-    return top.join(worst, "query_id")
+        rows = rows.withColumn("_good", F.count_if(F.col("_o") > 0).over(by)).where(F.col("_good") - 1 < int((n_samples or 0) * easy)).drop("_good")
+    down = by.orderBy(F.col("score").desc(), F.col("idx").desc())
+    rows = rows.drop("_o").withColumns({"_rank": F.row_number().over(down), "negative": F.last("choice").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    top = rows.where((F.col("_rank") <= n_best) & F.col("_ok") & (F.col("_rank") < F.col("_size")))
+    return top.select("query_id", "idx", F.col("choice").alias("positive"), "score", "negative")
 
 
 def all_choices(df: DataFrame) -> DataFrame:

@@ -464,3 +464,33 @@ def test_repetition_penalty_splits_a_text_once(spark, n):
     for t, r in out.collect():
         assert r is None if t is None else abs(r - plain(t)) < 1e-12
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_best_of_n_sorts_a_query_once(spark):
+    """Against plain Python, with ties, missing choices and a null query; the rows aren't read again for the worst."""
+    rng, rows = random.Random(9), []
+    for q in [*range(120), None]:
+        rows += [(q, i, rng.choice([None, f"{q}-{i}", f"{q}-{i}"]), rng.choice([0.0, 0.5, 1.0]), rng.choice([0.0, 0.2, 1.0])) for i in range(rng.randint(1, 8))]
+    df = spark.createDataFrame(rows, "query_id long, idx long, choice string, orm double, prm double")
+
+    def plain(n_best, threshold, easy, n_samples):
+        def normal(values):
+            low, high = min(values), max(values)
+            return [min(1.0, low) if low == high else (v - low) / (high - low + 1e-5) for v in values]
+
+        out = []
+        for q in range(120):
+            own = [r for r in rows if r[0] == q]
+            o, p = normal([r[3] for r in own]), normal([r[4] for r in own])
+            ok = [threshold is None or (r[3] > threshold and r[4] > threshold) for r in own]
+            if not any(ok) or easy is not None and sum(v > 0 for v in o) - 1 >= int(n_samples * easy):
+                continue
+            ranked = sorted(range(len(own)), key=lambda i: (p[i] + 10 * o[i], own[i][1]), reverse=True)
+            out += [(q, own[i][1], own[i][2], round(p[i] + 10 * o[i], 6), own[ranked[-1]][2]) for i in ranked[:n_best] if ok[i] and i != ranked[-1]]
+        return sorted(out, key=repr)
+
+    for how in ((2, 0.0, None, None), (5, None, None, None), (3, 0.1, 0.5, 8)):
+        got = advantage.best_of_n(df, n_best=how[0], threshold=how[1], easy=how[2], n_samples=how[3])
+        assert sorted(((r.query_id, r.idx, r.positive, round(r.score, 6), r.negative) for r in got.collect()), key=repr) == plain(*how)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("DESC") and sum("ASC" in line and "Window" in line for line in plan.splitlines()) == 0

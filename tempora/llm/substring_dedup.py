@@ -33,7 +33,7 @@ MIN_WORDS = 25
 #: that neighbouring paragraphs leave no gap.
 REACH = 25
 SPANS = "array<struct<start:int,end:int>>"
-MATCHES = "array<struct<at:int,clip:int,left:binary,right:binary>>"
+MATCHES = "array<struct<at:int,to:int,clip:int,left:binary,right:binary>>"
 
 
 def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,18 +78,25 @@ def paragraphs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarra
     return both[0][at].view(np.int64), both[1][at].view(np.int64), at
 
 
+def folded(d1: np.ndarray, d2: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring paragraphs of one digest as one: its digests, the places of the first and the last. Where words
+    repeat in a row, all sequences are such paragraphs; as neighbours leave no gap, they are one span."""
+    first = np.flatnonzero(np.r_[True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])][: len(at)])
+    return d1[first], d2[first], at[first], at[np.r_[first[1:], len(at)] - 1] if len(at) else at
+
+
 def _paragraph_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, h, text = (batch.column(x) for x in ("doc", "h", "text"))
-            found = [paragraphs(_words(t.as_py())[0], min_words) for t in text.cast(pa.binary())]
+            found = [folded(*paragraphs(_words(t.as_py())[0], min_words)) for t in text.cast(pa.binary())]
             n = np.array([len(f[0]) for f in found], np.int64)
             for a in range(0, len(n), 256):  # texts of a batch of rows
                 part, m = found[a : a + 256], n[a : a + 256]
                 row = pa.array(np.repeat(np.arange(a, a + len(m)), m))
-                d1, d2, at = (np.concatenate(x) for x in zip(*part, strict=True))
+                d1, d2, at, to = (np.concatenate(x) for x in zip(*part, strict=True))
                 i = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), doc.take(row), h.take(row), pa.array(i.astype(np.int32)), pa.array(at.astype(np.int32))], ["d1", "d2", "doc", "h", "i", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), doc.take(row), h.take(row), pa.array(i.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(to.astype(np.int32))], ["d1", "d2", "doc", "h", "i", "at", "to"])
 
     return run
 
@@ -102,7 +109,7 @@ def _context_rows(min_words: int, docs: Broadcast, digests: Broadcast):
             batch = batch.filter(pa.array(bits_at(docs.value, batch.column("bit").to_numpy())))
             for row in range(len(batch)):
                 words = _words(batch.column("text")[row].as_py().encode())[0]
-                d1, d2, at = paragraphs(words, min_words)
+                d1, d2, at, _ = folded(*paragraphs(words, min_words))
                 pick = np.flatnonzero(bits_at(digests.value, d1 & (n_bits - 1)))
                 if not len(pick):
                     continue
@@ -132,7 +139,7 @@ def _spans_of(min_words: int):
         words, start, end = _words(text)
         runs = []
         for m in matches:
-            a, b = m["at"], m["at"] + min_words
+            a, b = m["at"], m["to"] + min_words
             if m["left"]:
                 a -= _same(words[:a][::-1], np.frombuffer(m["left"], np.uint64)[::-1])
             if m["right"]:
@@ -172,19 +179,21 @@ def repeated(scratch: Scratch, docs: DataFrame, *, min_words: int = MIN_WORDS) -
     doc, h = _key()
     texts = docs.where("text is not null").select(doc.alias("doc"), h.alias("h"), "text")
     key = ["d1", "d2"]
-    found = scratch(texts.mapInArrow(_paragraph_rows(min_words), "d1 long, d2 long, doc long, h long, i int, at int"), "paragraphs")
+    found = scratch(texts.mapInArrow(_paragraph_rows(min_words), "d1 long, d2 long, doc long, h long, i int, at int, to int"), "paragraphs")
     # written, so that the joins on them have exchanges of their own, which Spark can split at a hot digest
-    often = scratch(found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "often")
+    often = scratch(found.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.col("to") > F.col("at")).alias("twice")).where("n > 1 or twice").select(*key), "often")
     # rows that repeat doc_id and text give equal rows, which fold before they are shuffled
     copies = scratch(found.join(often, key, "left_semi").dropDuplicates(["d1", "d2", "doc", "h", "i", "at"]), "copies")
     scratch.done("paragraphs", "often")
     kept = scratch(copies.groupBy(*key).agg(F.min(F.struct("doc", "h", "at")).alias("kept")), "kept")
-    again = copies.join(kept, key).where("struct(doc, h, at) <> kept")
+    # of neighbours of one digest that begin with the kept occurrence, the others repeat it: a run of their own
+    again = copies.join(kept, key).where("to > at or struct(doc, h, at) <> kept").withColumn("anew", F.expr("struct(doc, h, at) = kept"))
     own = (F.col("doc") == F.col("kept.doc")) & (F.col("h") == F.col("kept.h"))
-    again = again.select(*key, "doc", "h", "i", "at", F.when(own, F.col("kept.at") + min_words).otherwise(0).alias("clip"), F.struct("kept.doc", "kept.h").alias("of"))
+    again = again.select(*key, "doc", "h", "i", "at", "to", "anew", F.when(own, F.col("kept.at") + min_words).otherwise(0).alias("clip"), F.struct("kept.doc", "kept.h").alias("of"))
     run = Window.partitionBy("doc", "h").orderBy("i")  # within one text
-    goes_on = lambda other, step: F.coalesce((other("i").over(run) == F.col("i") + step) & (other("of").over(run) == F.col("of")), F.lit(False))
-    again = scratch(again.withColumns({"first": ~goes_on(F.lag, -1), "last": ~goes_on(F.lead, 1)}).drop("of"), "again")
+    goes_on = lambda other, step, anew: F.coalesce((other("i").over(run) == F.col("i") + step) & (other("of").over(run) == F.col("of")) & ~anew, F.lit(False))
+    ends = {"first": ~goes_on(F.lag, -1, F.col("anew")), "last": ~goes_on(F.lead, 1, F.lead("anew").over(run))}
+    again = scratch(again.withColumns(ends).drop("of", "anew"), "again")
     scratch.done("copies")
     edges = again.where("first or last")
     wanted = kept.join(edges.select(*key).distinct(), key).select(*key, "kept.*")
@@ -195,9 +204,9 @@ def repeated(scratch: Scratch, docs: DataFrame, *, min_words: int = MIN_WORDS) -
     around = texts.select("doc", "h", "text", place.alias("bit")).mapInArrow(_context_rows(min_words, in_docs, in_digests), "d1 long, d2 long, doc long, h long, at int, left binary, right binary")
     around = around.join(wanted, [*key, "doc", "h", "at"], "left_semi").dropDuplicates(key).select(*key, "left", "right")
     edges = edges.join(scratch(around, "around"), key)
-    at_edges = edges.select("doc", "h", "at", "clip", F.when(F.col("first"), F.col("left")).alias("left"), F.when(F.col("last"), F.col("right")).alias("right"))
-    inner = again.where("not (first or last)").select("doc", "h", "at", "clip", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"))
-    return at_edges.unionByName(inner).groupBy("doc", "h").agg(F.collect_list(F.struct("at", "clip", "left", "right")).alias("matches"))
+    at_edges = edges.select("doc", "h", "at", "to", "clip", F.when(F.col("first"), F.col("left")).alias("left"), F.when(F.col("last"), F.col("right")).alias("right"))
+    inner = again.where("not (first or last)").select("doc", "h", "at", "to", "clip", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"))
+    return at_edges.unionByName(inner).groupBy("doc", "h").agg(F.collect_list(F.struct("at", "to", "clip", "left", "right")).alias("matches"))
 
 
 def without(text: Column, spans: Column) -> Column:

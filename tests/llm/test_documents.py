@@ -507,3 +507,16 @@ def test_mix_draws_and_joins_equal_plain_python(spark):
         assert [w for _, t in sorted(pieces[r.shard, r.slot]) for w in t] == words_of[r.i][r.block * b : (r.block + 1) * b]
     plain = sorted(map(tuple, mixing.plan_mix(frame.select("doc_id", "text", "source"), block=8, shard=50, seed=7).taken().collect()), key=repr)
     assert plain == sorted(map(tuple, mix.taken().collect()), key=repr)
+
+
+def test_a_word_repeated_in_a_row_is_one_match_of_a_text(spark):
+    """Each sequence of such words is a paragraph of one digest; as neighbours they go together."""
+    own = lambda i: " ".join(f"d{i}w{j}" for j in range(30))
+    rows = [(i, f"{own(i)} {' '.join(['so'] * 200)} {own(-i)}") for i in range(1, 9)] + [(99, " ".join(["p q"] * 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with Scratch() as scratch:
+        found = {r.doc: len(r.matches) for r in substring_dedup.repeated(scratch, docs).collect()}
+    assert max(found.values()) <= 2 and set(found) == {*range(1, 9), 99}
+    left = {r.doc_id: r.text.split() for r in substring_dedup.deduplicated(docs).collect()}
+    assert left[1].count("so") == 25 and all("so" not in left[i] for i in range(2, 9))
+    assert all(left[i] == f"{own(i)} {own(-i)}".split() for i in range(2, 9))
